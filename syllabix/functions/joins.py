@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup is broadcast only when it has been counted and stays below both limits.
+from syllabix.session import ensure_checkpoint_dir
+
+# A lookup is broadcast only below both limits.
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# A planner estimate this far below the limits is trusted without measuring
+# (compression makes estimates inexact, hence the wide margin).
 TRUSTED_PLAN_BYTES = 4 * 1024 * 1024
 
 
@@ -44,14 +48,7 @@ def fits_broadcast(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> bool:
-    """Whether a table is small enough to broadcast.
-
-    A planner estimate far below the limits settles it (compression makes estimates
-    inexact, hence the wide margin). Otherwise at most ``max_rows + 1`` rows are
-    counted and measured.
-    """
-    if planned_bytes(df) <= TRUSTED_PLAN_BYTES:
-        return True
+    """Measure a table against the broadcast limits, reading at most ``max_rows + 1`` rows."""
     width = sum(
         (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns),
         F.lit(16),
@@ -67,9 +64,13 @@ def fits_broadcast(
 def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe join of a large table with a codebook-like table.
 
-    The lookup is measured first. Below the limits it is broadcast and the large
-    side is not shuffled; above them it becomes an ordinary shuffle join, where
-    adaptive execution splits skewed partitions.
+    A lookup the planner knows to be tiny is broadcast. Any other is computed once
+    into a checkpoint and measured there: below the limits it is broadcast, so that
+    the large side is not shuffled; above them it becomes an ordinary shuffle join,
+    where adaptive execution splits skewed partitions.
     """
-    side = F.broadcast(lookup) if fits_broadcast(lookup) else lookup
-    return null_safe_join(left, side, keys, how)
+    if planned_bytes(lookup) <= TRUSTED_PLAN_BYTES:
+        return null_safe_join(left, F.broadcast(lookup), keys, how)
+    ensure_checkpoint_dir(lookup.sparkSession)
+    kept = lookup.checkpoint()
+    return null_safe_join(left, F.broadcast(kept) if fits_broadcast(kept) else kept, keys, how)

@@ -58,12 +58,16 @@ class FoldedMoments:
 
     def best_theta(self, use: list[int]) -> float:
         """Coarse scan including the boundary 0, then repeated narrowing around the best point."""
-        grid = _COARSE
-        for _ in range(8):
-            at = int(np.nanargmin(self.deviance(grid, use)))
-            low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-            best = grid[at]
-            grid = np.unique(np.concatenate([np.linspace(low, high, 33), [best]]))
+        at = int(np.nanargmin(self.deviance(_COARSE, use)))
+        low, high = _COARSE[max(at - 1, 0)], _COARSE[min(at + 1, len(_COARSE) - 1)]
+        best, least = _COARSE[at], self.deviance(_COARSE[at:at + 1], use)[0]
+        for _ in range(7):
+            grid = np.linspace(low, high, 33)
+            deviance = self.deviance(grid, use)
+            at = int(np.nanargmin(deviance))
+            if deviance[at] < least:
+                best, least = grid[at], deviance[at]
+            low, high = grid[max(at - 1, 0)], grid[min(at + 1, 32)]
         return float(best)
 
     def fit(self, use: list[int]) -> dict:

@@ -12,6 +12,7 @@ from math import exp, lgamma, log
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -108,21 +109,21 @@ def _columnwise(function, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v else v for v in values], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _columnwise(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _columnwise(f_upper, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return _columnwise(chi2_upper, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     return _columnwise(t_quantile, p, df)

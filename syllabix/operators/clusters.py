@@ -2,34 +2,98 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from syllabix.functions.joins import lookup_join
 
-def _vectors(df: DataFrame, features: Sequence[str], scaled: bool) -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(df)
-    if not scaled:
-        return assembled.withColumnRenamed("_raw", "features")
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
-    return scaler.fit(assembled).transform(assembled).drop("_raw")
+Starts = list[np.ndarray]
 
 
-def _best_of(vectors: DataFrame, k: int, restarts: int, max_iter: int, seed: int, parallelism: int) -> KMeansModel:
-    """The fit with the least within-cluster cost over several seeds."""
+def _start_pool(points: DataFrame, features: Sequence[str], size: int, seed: int) -> np.ndarray:
+    """A random set of at most ``size`` distinct rows, to start clusters from."""
+    ticket = F.xxhash64(F.lit(seed), *features)
+    rows = points.select(*features).distinct().orderBy(ticket, *features).limit(size).collect()
+    return np.array([list(r) for r in rows], dtype=float).reshape(-1, len(features))
 
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="random").fit(vectors)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        fits = list(pool.map(fit, range(restarts)))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def lloyd(points: DataFrame, features: Sequence[str], starts: Starts, max_iter: int) -> tuple[Starts, np.ndarray]:
+    """Improve many sets of centres at the same time; returns them with their costs.
+
+    Each round is one pass over the rows for all sets together: tasks add up counts,
+    coordinates and squared distances per centre, Spark sums these over tasks, and
+    only one row per centre comes back. An empty cluster keeps its centre.
+    """
+    names = [f"s_{i}" for i in range(len(features))]
+    first = np.cumsum([0, *[len(c) for c in starts]])
+    current = starts
+
+    def assign(batches: Iterator[pd.DataFrame], centres: Starts) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            for at, of_set in zip(first, centres):
+                distance = ((x[:, None, :] - of_set[None, :, :]) ** 2).sum(axis=2)
+                nearest = distance.argmin(axis=1)
+                member = np.eye(len(of_set))[nearest]
+                out = pd.DataFrame(member.T @ x, columns=names)
+                out["slot"] = at + np.arange(len(of_set))
+                out["n"] = member.sum(axis=0)
+                out["cost"] = member.T @ distance.min(axis=1)
+                yield out
+
+    schema = "slot int, n double, cost double, " + ", ".join(f"{n} double" for n in names)
+    costs = np.zeros(len(starts))
+    for _ in range(max_iter):
+        fixed = current
+        sums = (
+            points.select(*features)
+            .mapInPandas(lambda batches, c=fixed: assign(batches, c), schema)
+            .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
+            .collect()
+        )
+        by_slot = {r["slot"]: r for r in sums}
+        moved = []
+        for s, (at, of_set) in enumerate(zip(first, current)):
+            rows = [by_slot[at + i] for i in range(len(of_set))]
+            costs[s] = sum(r["cost"] for r in rows)
+            moved.append(np.array([
+                [r[n] / r["n"] for n in names] if r["n"] > 0 else of_set[i] for i, r in enumerate(rows)
+            ]))
+        if all(np.array_equal(a, b) for a, b in zip(moved, current)):
+            break
+        current = moved
+    return current, costs
+
+
+def nearest_cluster(features: Sequence[str], centres: np.ndarray) -> Column:
+    """Index 1..k of the closest centre."""
+    distances = F.array(*[
+        sum(((F.col(f) - F.lit(float(v))) ** 2 for f, v in zip(features, centre)), F.lit(0.0)) for centre in centres
+    ])
+    return F.array_position(distances, F.array_min(distances)).cast("bigint")
+
+
+def best_centres(
+    points: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int, max_iter: int, seed: int
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Per number of clusters, the centres of least cost over ``restarts`` random starts."""
+    pool = _start_pool(points, features, restarts * max(ks), seed)
+    random = np.random.default_rng(seed)
+    plan = [k for k in ks if k <= len(pool) for _ in range(restarts)]
+    starts = [pool[random.choice(len(pool), k, replace=False)] for k in plan]
+    centres, costs = lloyd(points, features, starts, max_iter)
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for k, c, cost in zip(plan, centres, costs):
+        if k not in best or cost < best[k][1]:
+            best[k] = (c, float(cost))
+    return best
 
 
 def choose_k(
@@ -39,23 +103,28 @@ def choose_k(
     restarts: int = 50,
     max_iter: int = 15,
     seed: int = 1,
-    parallelism: int = 8,
 ) -> DataFrame:
     """Mean silhouette per number of clusters on z-scored features; ``best`` marks the highest.
 
-    The silhouette is the evaluator's squared-Euclidean one, which needs no distances
-    between pairs of rows. The table is kept in memory (or on disk) across fits.
+    The silhouette is the squared-Euclidean one, which needs no distances between
+    pairs of rows. The scaled table is kept in memory (or on disk) across rounds.
     """
-    vectors = _vectors(df, features, scaled=True).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    complete = df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop()
+    scale = complete.agg(*[g(f) for f in features for g in (F.avg, F.stddev_samp)]).first()
+    points = complete.select(*[
+        ((F.col(f) - scale[2 * i]) / (scale[2 * i + 1] or 1.0)).alias(f) for i, f in enumerate(features)
+    ]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = []
-        for k in ks:
-            model = _best_of(vectors, k, restarts, max_iter, seed, parallelism)
-            width = ClusteringEvaluator(featuresCol="features").evaluate(model.transform(vectors))
-            rows.append((int(k), float(model.summary.trainingCost), float(width)))
+        for k, (centres, cost) in best_centres(points, features, ks, restarts, max_iter, seed).items():
+            assigned = points.select(
+                array_to_vector(F.array(*features)).alias("features"),
+                nearest_cluster(features, centres).cast("double").alias("prediction"),
+            )
+            rows.append((k, cost, float(ClusteringEvaluator().evaluate(assigned))))
     finally:
-        vectors.unpersist()
-    top = max(rows, key=lambda r: r[2])[0]
+        points.unpersist()
+    top = max(rows, key=lambda r: r[2])[0] if rows else None
     return df.sparkSession.createDataFrame(
         [(*r, r[0] == top) for r in rows], "k bigint, cost double, silhouette double, best boolean"
     )
@@ -68,19 +137,15 @@ def cluster_rows(
     restarts: int = 10,
     max_iter: int = 15,
     seed: int = 1,
-    parallelism: int = 8,
 ) -> DataFrame:
-    """Each row's cluster, 1..k, from k-means on the unscaled features."""
-    vectors = _vectors(df, features, scaled=False).persist(StorageLevel.MEMORY_AND_DISK)
+    """Each row with its ``cluster`` 1..k, from k-means on the unscaled features."""
+    points = df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop()
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _best_of(vectors, k, restarts, max_iter, seed, parallelism)
+        centres, _ = best_centres(points, features, [k], restarts, max_iter, seed)[k]
     finally:
-        vectors.unpersist()
-    return (
-        model.transform(_vectors(df, features, scaled=False))
-        .withColumn("cluster", (F.col("prediction") + 1).cast("bigint"))
-        .drop("features", "prediction")
-    )
+        points.unpersist()
+    return df.na.drop(subset=list(features)).withColumn("cluster", nearest_cluster(features, centres))
 
 
 def correlation_profiles(cells: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -91,14 +156,14 @@ def correlation_profiles(cells: DataFrame, cols: Sequence[str]) -> DataFrame:
 def cluster_profiles(cells: DataFrame, cols: Sequence[str], k: int = 2, restarts: int = 10) -> DataFrame:
     """Correlation table with the cluster of both variables, ordered by cluster.
 
-    Variables are clustered on their unscaled rows of the correlation matrix, so the
-    k-means input has one row per variable.
+    Variables are clustered on their unscaled rows of the correlation matrix, so
+    k-means and the join below see one row per variable.
     """
     members = cluster_rows(correlation_profiles(cells, cols), cols, k, restarts).select("variable", "cluster")
     left = members.withColumnsRenamed({"variable": "var_i", "cluster": "cluster_i"})
     right = members.withColumnsRenamed({"variable": "var_j", "cluster": "cluster_j"})
     return (
-        cells.join(F.broadcast(left), "var_i").join(F.broadcast(right), "var_j")
+        lookup_join(lookup_join(cells, left, ["var_i"], "inner"), right, ["var_j"], "inner")
         .orderBy("cluster_i", "var_i", "cluster_j", "var_j")
         .select("var_i", "cluster_i", "var_j", "cluster_j", "r", "p")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from syllabix.functions.mixed import FoldedMoments
 from syllabix.functions.moments import complete_cases, fold_by_size, full_matrix, moment_arrays, moment_columns
-from syllabix.functions.tails import chi2_p_value, f_p_value, t_critical, t_p_value, t_quantile, t_two_sided
+from syllabix.functions.tails import chi2_p_value, f_p_value, t_critical, t_p_value, t_two_sided
 from syllabix.operators.describe import pearson
 
 OLS_SCHEMA = (
@@ -113,7 +114,7 @@ def nested_f_test(fits: DataFrame, smaller: str, larger: str) -> DataFrame:
 
 def correlation_test(df: DataFrame, x: str, y: str, level: float = 0.95) -> DataFrame:
     """Pearson correlation with t, df, two-sided p and Fisher-z interval, as one row."""
-    normal_quantile = t_quantile(0.5 + level / 2, 1e12)
+    normal_quantile = NormalDist().inv_cdf(0.5 + level / 2)
     pair = (F.col(y).cast("double"), F.col(x).cast("double"))
     moments = df.agg(
         F.regr_count(*pair).alias("n"), F.regr_sxx(*pair).alias("sxx"),
@@ -189,7 +190,7 @@ def model_sweep(df: DataFrame, y: str, group: str, specs: Mapping[str, Sequence[
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(mixed_rows(pdf, xs, order), columns=[c.split()[0] for c in MIXED_SCHEMA.split(", ")])
 
-    return intercept_moments(df, y, xs, group).groupBy(F.lit(0)).applyInPandas(solve, MIXED_SCHEMA)
+    return intercept_moments(df, y, xs, group).groupBy(F.lit("all")).applyInPandas(solve, MIXED_SCHEMA)
 
 
 def fit_random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str, model: str = "model") -> DataFrame:

@@ -10,8 +10,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from syllabix.operators import engagement, merge, quiz, survey
 
 SURVEY_ITEM = ("class_id", "release", "student_id", "lrn_question_reference")
@@ -105,19 +103,13 @@ def survey_items(
 ) -> DataFrame:
     """Survey answers with constructs, multi-select questions collapsed."""
     combined = survey_with_codebook(study, responses, codebook)
-    items = survey.attach_construct(
+    return survey.attach_construct(
         survey.collapse_multiselect(combined), lookup, study.construct_overrides, drop_unmapped
     )
-    return items
 
 
-def construct_scores(study: Study, items: DataFrame) -> DataFrame:
-    """Construct mean and row count per student."""
-    if not study.drop_missing_answers:
-        items = survey.normalize_response(
-            items.withColumn("response_choice", F.col("response_choice").cast("string")),
-            null_tokens=study.null_tokens, drop_missing=False,
-        )
+def construct_scores(items: DataFrame) -> DataFrame:
+    """Construct mean and row count per student; kept missing answers count as rows."""
     return merge.construct_means(items)
 
 
@@ -163,5 +155,5 @@ def quiz_scores(study: Study, responses: DataFrame, pages: DataFrame) -> DataFra
 
 def combined(study: Study, items: DataFrame, engaged: DataFrame, quizzes: DataFrame, constructs: list[str]) -> DataFrame:
     """Students' chapters with construct scores, engagement and quiz score."""
-    wide = merge.widen_constructs(construct_scores(study, items), constructs)
+    wide = merge.widen_constructs(construct_scores(items), constructs)
     return merge.merge_sources(wide, engaged, quizzes, study.chapter_keys)

@@ -78,12 +78,22 @@ SELECT c_custkey AS student_id, CASE WHEN c_acctbal >= 0 THEN c_acctbal / 10000
 SELECT d.doc_id AS student_id, CASE WHEN l.quality = 1 THEN 'B' ELSE 'A' END AS module_variation,
   cast(d.n_chars AS double) / 1000 AS y1, cast(l.toxic AS double) AS y2
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
+    "condition_waves": """
+SELECT d.source AS source, d.doc_id AS student_id,
+  CASE WHEN l.toxic = 1 THEN 'C' WHEN l.quality = 1 THEN 'B' ELSE 'A' END AS module_variation,
+  CASE WHEN d.doc_id % 10 > 0 THEN cast(d.n_chars AS double) / 1000 END AS y1, cast(l.toxic AS double) AS y2
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
+    "item_codebook": """
+SELECT p_partkey AS item_id, CASE WHEN p_size % 2 = 0 THEN p_brand END AS lrn_option_0,
+  CASE WHEN p_size % 3 = 0 THEN p_type END AS lrn_option_1,
+  CASE WHEN p_retailprice > 1000 THEN p_name END AS lrn_option_2
+FROM {part}""",
     "profiles": """
 SELECT vec_id AS student_id, label AS class_id, {E1} AS c1, {E2} AS c2, {E3} AS c3, {E4} AS c4, {E5} AS c5,
   {E6} AS c6, {E7} AS c7, {E8} AS y FROM {embeddings}""",
 }
 
-_TABLES = ("events", "lineitem", "orders", "customer", "documents", "labels", "embeddings")
+_TABLES = ("events", "lineitem", "orders", "customer", "documents", "labels", "embeddings", "part")
 
 
 def _names(first_index: int, quote: str) -> dict[str, str]:

@@ -65,4 +65,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name)
         for f in df.schema.fields
     ])
-    flat.write.mode(mode).csv(path, header=True, nullValue="NA", quote='"', escape='"')
+    flat.write.mode(mode).csv(
+        path, header=True, nullValue="NA", quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
