@@ -19,6 +19,10 @@ def r6(expression: str, name: str) -> str:
     return f"round(cast({expression} AS double), 6) + 0.0 AS {name}"
 
 
+def r4(expression: str, name: str) -> str:
+    return f"round(cast({expression} AS double), 4) + 0.0 AS {name}"
+
+
 def same(a: str, b: str, keys: str) -> str:
     return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys.split(", "))
 
@@ -167,7 +171,8 @@ FROM first{tag} f JOIN page_totals{tag} t ON f.class_id = t.class_id AND f.{ch}
 FROM progress{tag}"""
 STEPS["class_pages"] = """SELECT class_id, page, arg_min(chapter_num, (student_id, chapter_num)) AS chapter_num
 FROM first GROUP BY class_id, page"""
-STEPS["halves"] = f"""SELECT *, count(*) OVER (PARTITION BY iter, class_id, split) AS split_total FROM (
+STEPS["halves"] = f"""SELECT *, count(*) OVER (PARTITION BY iter, class_id, split) AS split_total,
+  count(*) OVER (PARTITION BY iter, class_id) AS total_unique_pages_accessed_class FROM (
   SELECT i.iter, class_id, chapter_num, page, (row_number() OVER (PARTITION BY i.iter, class_id
     ORDER BY md5(concat_ws('|', '130', i.iter, class_id, page)), page) - 1) % 2 + 1 AS split
   FROM class_pages, range(1, {ITERATIONS + 1}) i(iter)) s"""
@@ -504,9 +509,9 @@ def _bootstrap(final: str) -> str:
 
 
 def _relative_columns() -> str:
-    columns = [r6(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'baseline')", f"rel_{m}") for m in QUIZ_MODELS]
+    columns = [r4(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'baseline')", f"rel_{m}") for m in QUIZ_MODELS]
     columns += [
-        r6(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'nervous_confval')", f"nervous_confval_rel_{m}")
+        r4(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'nervous_confval')", f"nervous_confval_rel_{m}")
         for m in ("attitudes", "nervous_confval")
     ]
     return ", ".join(columns)
@@ -578,7 +583,7 @@ FROM mapped_raw WHERE construct IS NULL GROUP BY ALL"""
     sql["d5_running_progress_experimental"] = f"SELECT chapter, {PROGRESS} FROM progress_x"
     sql["d6_engagement_summary"] = f"SELECT {ENGAGED.format(num='chapter_num, ')} FROM engaged"
     sql["d6_engagement_summary_experimental"] = f"SELECT {ENGAGED.format(num='')} FROM engaged_x"
-    sql["d7_split_half_assign"] = "SELECT iter, class_id, chapter_num, page, split, split_total FROM halves"
+    sql["d7_split_half_assign"] = "SELECT * FROM halves"
     sql["d8_split_half_scores"] = (
         f"SELECT iter, institution_id, class_id, student_id, {r6('half_1', 'half_1')}, {r6('half_2', 'half_2')} FROM half_scores"
     )
@@ -668,12 +673,12 @@ SELECT 'baseline' AS model_0, 'attitudes' AS model_1, cast(df AS bigint) AS df,
                                        f"SELECT model, {r6(relative, 'aic_value')} FROM models")
     sql["g4_model_sweep"] = mixed_sql("outcomes", "outcome", "class_id", ENGAGEMENT_MODELS, fitted)
     sql["g5_stratified_resample"] = "SELECT iter, class_id, student_id, w FROM resample"
-    sql["g6_bootstrap_models"] = _bootstrap(f"SELECT iter, model, {r6('aic', 'aic')} FROM models")
+    sql["g6_bootstrap_models"] = _bootstrap(f"SELECT iter, model, {r4('aic', 'aic')} FROM models")
     sql["g7_bootstrap_relative"] = _bootstrap(f"SELECT iter, {_relative_columns()} FROM models GROUP BY iter")
     compared = {m: QUIZ_MODELS[m] for m in ("baseline", "attitudes", "nervous", "exp_confval")}
     actual = mixed_sql("outcomes", "outcome", "class_id", compared, f"SELECT model, {relative} AS aic_value FROM models")
-    sql["g8_transpose_summary"] = _bootstrap(f"""SELECT model, {r6("avg(rel)", "mean")}, {r6("quantile_cont(rel, 0.025)", "lb")},
-  {r6("quantile_cont(rel, 0.975)", "ub")}, {r6("any_value(aic_value)", "aic_value")}
+    sql["g8_transpose_summary"] = _bootstrap(f"""SELECT model, {r4("avg(rel)", "mean")}, {r4("quantile_cont(rel, 0.025)", "lb")},
+  {r4("quantile_cont(rel, 0.975)", "ub")}, {r4("any_value(aic_value)", "aic_value")}
 FROM (SELECT iter, model, {REL.format("baseline", "PARTITION BY iter")} AS rel FROM models) r
 LEFT JOIN ({actual}) actual USING (model) GROUP BY model""")
     sql["g9_fit_ols"] = ols_sql("profiles", "y", OLS_MODELS, _ols_terms())

@@ -129,11 +129,8 @@ class Tables:
         """Profiles with an outcome that differs between classes."""
         return self.profiles.withColumn("outcome", F.col("y") + F.col("class_id") * 0.02 + F.col("c1") * 0.2)
 
-    def halves(self) -> DataFrame:
-        return engagement.split_half_assign(self.first(), ITERATIONS)
-
     def half_scores(self) -> DataFrame:
-        return engagement.split_half_scores(self.first(), self.halves())
+        return studies.split_half(OBSERVATIONAL, self.views(), ITERATIONS)[1]
 
     def conditions(self) -> DataFrame:
         return models.arm_indicator(self.condition_survey, "module_variation", "B", "arm_b")
@@ -356,7 +353,7 @@ def d6_engagement_summary_experimental(t: Tables) -> DataFrame:
 
 @registered
 def d7_split_half_assign(t: Tables) -> DataFrame:
-    return t.halves()
+    return engagement.split_half_assign(t.first(), ITERATIONS)
 
 
 @registered
@@ -583,21 +580,26 @@ def _relative(t: Tables) -> DataFrame:
     )
 
 
+def _to_4(df: DataFrame, keys: set[str]) -> DataFrame:
+    """AICs run into the hundreds, so their sums agree to fewer places."""
+    return df.withColumns({c: F.round(c, 4) for c in df.columns if c not in keys})
+
+
 @registered
 def g6_bootstrap_models(t: Tables) -> DataFrame:
-    return _bootstrap(t)
+    return _to_4(_bootstrap(t), {"iter", "model"})
 
 
 @registered
 def g7_bootstrap_relative(t: Tables) -> DataFrame:
-    return _relative(t)
+    return _to_4(_relative(t), {"iter"})
 
 
 @registered
 def g8_transpose_summary(t: Tables) -> DataFrame:
     compared = {m: QUIZ_MODELS[m] for m in ("baseline", "attitudes", "nervous", "exp_confval")}
     actual = models.relative_aic(models.model_sweep(t.outcomes(), "outcome", "class_id", compared), "baseline")
-    return resample.transpose_summary(_relative(t), actual)
+    return _to_4(resample.transpose_summary(_relative(t), actual), {"model"})
 
 
 OLS_MODELS = {"baseline": [], "two": ["c1", "c2"], "five": ["c1", "c2", "c3", "c4", "c5"]}

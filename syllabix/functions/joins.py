@@ -38,7 +38,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def planned_bytes(df: DataFrame) -> float:
     """The planner's size estimate; unknown (no classic session) counts as infinite."""
     try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return float("inf")
 

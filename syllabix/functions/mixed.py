@@ -16,6 +16,13 @@ from syllabix.functions.moments import full_matrix
 _COARSE = np.concatenate([[0.0], np.geomspace(1e-4, 1e4, 65)])
 
 
+def _solve(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of systems; minimum-norm ones if predictors are redundant."""
+    if np.linalg.matrix_rank(xx[0], hermitian=True) == xx.shape[1]:
+        return np.linalg.solve(xx, xy[:, :, None])[:, :, 0]
+    return np.einsum("tij,tj->ti", np.linalg.pinv(xx, rcond=1e-12, hermitian=True), xy)
+
+
 class FoldedMoments:
     """Centred and scaled moments of (columns..., y), ready for any subset of columns."""
 
@@ -38,18 +45,18 @@ class FoldedMoments:
         means = np.ones((len(rows), k + 1, k + 1))
         means[:, 0, 1:] = means[:, 1:, 0] = offset / self.scale
         means[:, 1:, 1:] = spread / np.outer(self.scale, self.scale)
-        self.means = means * self.groups[:, None, None]
+        self.means = (means * self.groups[:, None, None]).reshape(len(rows), -1)
 
     def cross_products(self, theta: np.ndarray) -> np.ndarray:
         weight = self.size / (1 + self.size * theta[:, None] ** 2)
-        return self.within + np.einsum("tg,gij->tij", weight, self.means)
+        return self.within + (weight @ self.means).reshape(-1, *self.within.shape)
 
     def deviance(self, theta: np.ndarray, use: list[int]) -> np.ndarray:
         """-2 log-likelihood at each theta, with the residual variance profiled out."""
         full = self.cross_products(theta)
         x, y = [0, *[c + 1 for c in use]], full.shape[1] - 1
         xx, xy = full[:, x][:, :, x], full[:, x, y]
-        beta = np.einsum("tij,tj->ti", np.linalg.pinv(xx, rcond=1e-12, hermitian=True), xy)
+        beta = _solve(xx, xy)
         rss = full[:, y, y] - np.einsum("ti,ti->t", xy, beta)
         spread = (self.groups * np.log1p(self.size * theta[:, None] ** 2)).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):

@@ -65,29 +65,25 @@ def running_total(
     )
 
 
-def group_quantiles(
-    df: DataFrame,
+def count_quantiles(
+    counts: DataFrame,
     keys: Sequence[str],
     value: str,
+    weight: str,
     probs: dict[str, float],
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Equal values are counted together first, then located by cumulative count, so
-    neither a frequent value nor a large group has to fit one task.
+    ``counts`` has one row per group and distinct value, so neither a frequent value
+    nor a large group has to fit one task. Positions come from cumulative counts.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    placed = running_total(counts, keys, [F.col("_x").asc()], "_upto", "_n", max_group_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    placed = running_total(counts, keys, [F.col(value).asc()], "_upto", weight, max_group_rows)
+    totals = counts.groupBy(*keys).agg(F.sum(weight).alias("_rows"))
     located = lookup_join(placed, totals, keys, "inner")
 
     def at(position: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > position, F.col("_x")))
+        return F.min(F.when(F.col("_upto") > position, F.col(value)))
 
     parts, result = [], []
     for name, p in probs.items():
@@ -100,3 +96,15 @@ def group_quantiles(
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         result.append((low + (high - low) * F.col(f"_f_{name}")).alias(name))
     return located.groupBy(*keys).agg(*parts).select(*keys, *result)
+
+
+def group_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """``count_quantiles`` of plain rows, missing values left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return count_quantiles(counts, keys, value, "_n", probs, max_group_rows)

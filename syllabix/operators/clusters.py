@@ -36,17 +36,23 @@ def lloyd(points: DataFrame, features: Sequence[str], starts: Starts, max_iter:
     current = starts
 
     def assign(batches: Iterator[pd.DataFrame], centres: Starts) -> Iterator[pd.DataFrame]:
+        stacked = np.vstack(centres)
+        totals = np.zeros((len(stacked), 2 + len(names)))
         for pdf in batches:
-            x = pdf.to_numpy(dtype=float)
-            for at, of_set in zip(first, centres):
-                distance = ((x[:, None, :] - of_set[None, :, :]) ** 2).sum(axis=2)
-                nearest = distance.argmin(axis=1)
-                member = np.eye(len(of_set))[nearest]
-                out = pd.DataFrame(member.T @ x, columns=names)
-                out["slot"] = at + np.arange(len(of_set))
-                out["n"] = member.sum(axis=0)
-                out["cost"] = member.T @ distance.min(axis=1)
-                yield out
+            for x in np.array_split(pdf.to_numpy(dtype=float), max(1, len(pdf) // 1000)):
+                distance = np.maximum(
+                    (x * x).sum(axis=1)[:, None] - 2 * x @ stacked.T + (stacked * stacked).sum(axis=1), 0.0
+                )
+                member = np.zeros_like(distance)
+                for at, of_set in zip(first, centres):
+                    nearest = distance[:, at:at + len(of_set)].argmin(axis=1)
+                    member[np.arange(len(x)), at + nearest] = 1.0
+                totals[:, 0] += member.sum(axis=0)
+                totals[:, 1] += (member * distance).sum(axis=0)
+                totals[:, 2:] += member.T @ x
+        out = pd.DataFrame(totals, columns=["n", "cost", *names])
+        out.insert(0, "slot", np.arange(len(stacked)))
+        yield out
 
     schema = "slot int, n double, cost double, " + ", ".join(f"{n} double" for n in names)
     costs = np.zeros(len(starts))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join, null_safe_join
-from syllabix.functions.ranks import group_quantiles
+from syllabix.functions.ranks import count_quantiles
 from syllabix.functions.tails import t_critical, t_p_value
 from syllabix.functions.text import mean_of
+from syllabix.session import ensure_checkpoint_dir
 
 
 def widen_labels(
@@ -33,7 +34,7 @@ def widen_labels(
 def category_share(df: DataFrame, col: str) -> DataFrame:
     """Count and percentage per category, most frequent first; missing is a category."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("total_count")).scalar()
+    total = counts.agg(F.sum("count").alias("total_count")).scalar()
     return (
         counts.withColumn("total_count", total)
         .withColumn("percentage", F.col("count") * 100 / F.col("total_count"))
@@ -157,22 +158,29 @@ def density_by_group(
     data = df.select(F.col(group).alias("grp"), F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
     if limits is not None:
         data = data.filter(F.col("x").between(*limits))
-    counts = data.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("w"))
-    low, high = limits if limits is not None else data.agg(F.min("x"), F.max("x")).first()
-    most = counts.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    ensure_checkpoint_dir(df.sparkSession)
+    # Everything below follows from the distinct values and their counts.
+    counts = data.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("w")).checkpoint()
+    sizes = counts.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("w").alias("n"), F.min("x").alias("_min"),
+        (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("_mean"),
+    )
+    most, least_x, most_x = sizes.select("k").agg(F.max("k")).first()[0] or 0, *counts.agg(F.min("x"), F.max("x")).first()
+    low, high = limits if limits is not None else (least_x, most_x)
 
     spread = F.least("_sd", F.col("_iqr") / 1.34)
     base = F.coalesce(
         F.nullif(spread, F.lit(0.0)), F.nullif(F.col("_sd"), F.lit(0.0)),
         F.nullif(F.abs(F.col("_min")), F.lit(0.0)), F.lit(1.0),
     )
-    quartiles = group_quantiles(data, ["grp"], "x", {"_q1": 0.25, "_q3": 0.75})
-    stats = null_safe_join(
-        data.groupBy("grp").agg(
-            F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("_sd"), F.min("x").alias("_min")
-        ),
-        quartiles, ["grp"],
-    ).withColumn("_iqr", F.col("_q3") - F.col("_q1")).select(
+    squares = lookup_join(counts, sizes, ["grp"], "inner").groupBy("grp", "n", "_min").agg(
+        F.sum(F.col("w") * (F.col("x") - F.col("_mean")) ** 2).alias("_ss")
+    )
+    quartiles = count_quantiles(counts, ["grp"], "x", "w", {"_q1": 0.25, "_q3": 0.75})
+    stats = null_safe_join(squares, quartiles, ["grp"]).withColumns({
+        "_sd": F.sqrt(F.try_divide(F.col("_ss"), F.nullif(F.col("n") - 1, F.lit(0)))),
+        "_iqr": F.col("_q3") - F.col("_q1"),
+    }).select(
         "grp", "n", (F.lit(0.9 * adjust) * base * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw")
     )
     if most > max_points and high > low:

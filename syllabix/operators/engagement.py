@@ -125,45 +125,46 @@ def split_half_assign(first: DataFrame, iters: int = 100, seed: int = 130) -> Da
     ticket = F.md5(F.concat_ws("|", F.lit(str(seed)), "iter", "class_id", "page"))
     of_class = Window.partitionBy("iter", "class_id")
     place = F.row_number().over(of_class.orderBy(ticket, "page"))
+    pages_of_class = F.col("total_unique_pages_accessed_class")
     return draws.select(
         "iter", "class_id", "chapter_num", "page",
         ((place - 1) % 2 + 1).cast("bigint").alias("split"),
-        F.count(F.lit(1)).over(of_class).alias("_n"),
-    ).select(
-        "iter", "class_id", "chapter_num", "page", "split",
-        F.when(F.col("split") == 1, F.ceil(F.col("_n") / 2)).otherwise(F.floor(F.col("_n") / 2)).alias("split_total"),
+        F.count(F.lit(1)).over(of_class).alias("total_unique_pages_accessed_class"),
+    ).withColumn(
+        "split_total",
+        F.when(F.col("split") == 1, F.ceil(pages_of_class / 2)).otherwise(F.floor(pages_of_class / 2)),
     )
 
 
-def split_half_scores(first: DataFrame, halves: DataFrame) -> DataFrame:
+def split_half_scores(first: DataFrame, halves: DataFrame, iters: int = 100) -> DataFrame:
     """Share of each half a student completed, per iteration, as ``half_1`` and ``half_2``.
 
     No completed page in a half gives NULL. A page found under another chapter than
-    in ``halves`` belongs to no half. A class's half sizes are the same in every
-    iteration, so a page's membership packs into one digit per iteration: each
-    completion is joined and moved once and unpacked only where a student's counts
-    are summed, on data already partitioned by student.
+    in ``halves`` belongs to no half. A page's membership packs into one digit per
+    iteration: each completion is joined and moved once and unpacked only where a
+    student's counts are summed, on data already partitioned by student.
     """
-    packed = halves.groupBy("class_id", "chapter_num", "page").agg(
+    pages_of_class = F.col("total_unique_pages_accessed_class")
+    packed = halves.groupBy("class_id", "chapter_num", "page", pages_of_class).agg(
         F.concat_ws("", F.transform(
             F.array_sort(F.collect_list(F.struct("iter", "split"))), lambda d: d["split"].cast("string")
         )).alias("_digits")
     )
-    sizes = halves.groupBy("class_id").agg(
-        F.max("iter").alias("_iters"),
-        *[F.max(F.when(F.col("split") == h, F.col("split_total"))).alias(f"_size_{h}") for h in (1, 2)],
-    )
     done = first.select("institution_id", "class_id", "student_id", "chapter_num", "page")
-    placed = lookup_join(null_safe_join(done, packed, ["class_id", "chapter_num", "page"], "left"), sizes, ["class_id"])
-    digits = F.coalesce("_digits", F.expr("repeat('0', cast(_iters AS int))"))
+    placed = null_safe_join(done, packed, ["class_id", "chapter_num", "page"], "left")
     unpacked = placed.repartition("class_id", "student_id").select(
-        "institution_id", "class_id", "student_id", "_size_1", "_size_2",
-        F.posexplode(F.split(digits, "")).alias("_at", "_half"),
+        "institution_id", "class_id", "student_id", pages_of_class,
+        F.posexplode(F.split(F.coalesce("_digits", F.lit("0" * iters)), "")).alias("_at", "_half"),
     ).withColumn("iter", (F.col("_at") + 1).cast("bigint"))
-    return unpacked.groupBy("iter", "institution_id", "class_id", "student_id").agg(*[
-        F.try_divide(F.nullif(F.count_if(F.col("_half") == str(h)), F.lit(0)), F.max(f"_size_{h}")).alias(f"half_{h}")
-        for h in (1, 2)
-    ])
+    most = F.max(pages_of_class)
+
+    def share(half: int, size: Column) -> Column:
+        done_in_half = F.nullif(F.count_if(F.col("_half") == str(half)), F.lit(0))
+        return F.try_divide(done_in_half, size).alias(f"half_{half}")
+
+    return unpacked.groupBy("iter", "institution_id", "class_id", "student_id").agg(
+        share(1, F.ceil(most / 2)), share(2, F.floor(most / 2))
+    )
 
 
 def split_half_reliability(scores: DataFrame) -> DataFrame:

@@ -77,11 +77,13 @@ def derive_page_numbers(df: DataFrame) -> DataFrame:
     two-digit numbers; ``x.19`` and ``x.20`` keep the known defects of the rule.
     """
     title = F.when(F.length("page") > 8, F.concat(F.substring("page", 1, 5), F.lit("..."))).otherwise(F.col("page"))
-    pages = df.select("release", "book", "chapter", "page").distinct().select(
-        "*",
+    numbers = F.struct(
         F.regexp_replace("chapter", r"\D", "").try_cast("double").alias("chapter_num"),
         F.nullif(F.regexp_extract(title, r"\d+\.*\d*", 0), F.lit("")).alias("_text"),
     )
+    # A generator keeps the title parsing above the distinct: as plain columns, the
+    # final filter would be pushed down and parse every view instead of every page.
+    pages = df.select("release", "book", "chapter", "page").distinct().select("*", F.inline(F.array(numbers)))
     within = F.round((F.col("_text").try_cast("double") - F.col("chapter_num")) / 10, 3)
     two_digits = F.col("_text").contains(".10") | ((within > 0.010) & (within < 0.019))
     return (

@@ -123,7 +123,11 @@ def bootstrap_models(
             fits = []
         return pd.DataFrame(fits, columns=["iter", "model", "aic"])
 
-    return bootstrap_moments(df, y, xs, group, entity, iters, seed).groupBy("iter").applyInPandas(solve, BOOTSTRAP_SCHEMA)
+    moments = bootstrap_moments(df, y, xs, group, entity, iters, seed)
+    # Solving takes far longer than the few bytes of moments suggest: one partition
+    # per core, which adaptive execution must not merge.
+    tasks = min(iters, df.sparkSession.sparkContext.defaultParallelism)
+    return moments.repartition(tasks, "iter").groupBy("iter").applyInPandas(solve, BOOTSTRAP_SCHEMA)
 
 
 def bootstrap_relative(

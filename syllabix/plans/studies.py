@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from syllabix.operators import engagement, merge, quiz, survey
+from syllabix.session import ensure_checkpoint_dir
 
 SURVEY_ITEM = ("class_id", "release", "student_id", "lrn_question_reference")
 
@@ -134,6 +135,20 @@ def first_completions(study: Study, views: DataFrame) -> DataFrame:
     )
 
 
+def split_half(study: Study, views: DataFrame, iters: int = 100, seed: int = 130) -> tuple[DataFrame, DataFrame]:
+    """Random halves of each class's pages and the students' share of them, per iteration.
+
+    First completions feed both the draw and the scores, so they are computed once
+    into a checkpoint.
+    """
+    ensure_checkpoint_dir(views.sparkSession)
+    first = first_completions(study, views).select(
+        "institution_id", "class_id", "student_id", "chapter_num", "page"
+    ).checkpoint()
+    halves = engagement.split_half_assign(first, iters, seed)
+    return halves, engagement.split_half_scores(first, halves, iters)
+
+
 def student_progress(study: Study, views: DataFrame) -> DataFrame:
     """Running completion per student and chapter from enriched views."""
     totals = engagement.class_page_totals(views.filter(completed(study, views)), ("class_id", study.chapter))
