@@ -599,6 +599,8 @@ FROM mapped_raw WHERE construct IS NULL GROUP BY ALL"""
     audit = "SELECT class_id, student_id, variable_name, count(*) AS nrows FROM items GROUP BY ALL HAVING count(*) > {}"
     sql["e1_uniqueness_audit"] = audit.format(1)
     sql["e1_uniqueness_audit_two_rows"] = audit.format(2)
+    sql["e1_uniqueness_audit_submissions"] = """SELECT class_id, student_id, lrn_question_reference, count(*) AS nrows
+FROM survey_responses GROUP BY ALL HAVING count(*) > 1"""
     uid = "concat(coalesce(class_id::varchar, 'NA'), ', ', coalesce(student_id::varchar, 'NA'))"
     sql["e2_entity_set"] = f"SELECT DISTINCT {uid} AS \"UID\" FROM engaged"
     sets = {"survey": "items", "quiz": "quizzes", "engagement": "engaged"}

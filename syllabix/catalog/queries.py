@@ -386,6 +386,11 @@ def e1_uniqueness_audit_two_rows(t: Tables) -> DataFrame:
     return merge.uniqueness_audit(t.items(), ["class_id", "student_id", "variable_name"], max_rows=2)
 
 
+@registered
+def e1_uniqueness_audit_submissions(t: Tables) -> DataFrame:
+    return merge.uniqueness_audit(t.survey_responses, ["class_id", "student_id", "lrn_question_reference"])
+
+
 @registered
 def e2_entity_set(t: Tables) -> DataFrame:
     return merge.entity_set(t.engaged())

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabix.session import ensure_checkpoint_dir
+from syllabix.session import pin
 
 # A lookup is broadcast only below both limits.
 MAX_BROADCAST_ROWS = 500_000
@@ -71,6 +71,5 @@ def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     """
     if planned_bytes(lookup) <= TRUSTED_PLAN_BYTES:
         return null_safe_join(left, F.broadcast(lookup), keys, how)
-    ensure_checkpoint_dir(lookup.sparkSession)
-    kept = lookup.checkpoint()
+    kept = pin(lookup)
     return null_safe_join(left, F.broadcast(kept) if fits_broadcast(kept) else kept, keys, how)

@@ -8,11 +8,13 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syllabix.functions.joins import lookup_join, null_safe_join
-from syllabix.session import ensure_checkpoint_dir
+from syllabix.functions.joins import lookup_join, null_safe_join, planned_bytes
+from syllabix.session import pin
 
 # Largest group one task may sort. A bigger group is cut into ordered ranges.
 MAX_GROUP_ROWS = 5_000_000
+# A table the planner puts below this fits one task whole: no group needs counting.
+SMALL_TABLE_BYTES = 32 * 1024 * 1024
 
 
 def running_total(
@@ -25,14 +27,17 @@ def running_total(
 ) -> DataFrame:
     """Running sum of ``weight`` (or row number, if none) inside each group.
 
-    ``order_by`` must order the rows of a group without ties. The largest group is
-    counted first (a partial aggregate over the key columns only). If it fits one
-    task this is a plain window. Otherwise rows are range-partitioned on keys and
+    ``order_by`` must order the rows of a group without ties. Unless the table is
+    small, its largest group is counted first (a partial aggregate over the key
+    columns only). If that fits one task this is a plain window. Otherwise rows are range-partitioned on keys and
     order, so that a hot group spans many partitions; each partition is summed on
     its own and shifted by the total of the partitions before it.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if max_group_rows >= MAX_GROUP_ROWS and planned_bytes(df) <= SMALL_TABLE_BYTES:
+        largest = rows = 0
+    else:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        largest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
     step = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     if (largest or 0) <= max_group_rows:
         window = Window.partitionBy(*keys).orderBy(*order_by)
@@ -40,15 +45,11 @@ def running_total(
             return df.withColumn(out, F.row_number().over(window).cast("bigint"))
         return df.withColumn(out, F.sum(step).over(window.rowsBetween(Window.unboundedPreceding, 0)))
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * ceil(rows / max_group_rows))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * ceil(rows / max_group_rows))
     # The range boundaries come from a sample, so the partition number must be
     # written down before two branches of the plan may both rely on it.
-    ranged = (
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order_by)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
+    ranged = pin(
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order_by).withColumn("_part", F.spark_partition_id())
     )
     inside = Window.partitionBy("_part", *keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from syllabix.functions.joins import lookup_join, null_safe_join
 from syllabix.functions.ranks import count_quantiles
 from syllabix.functions.tails import t_critical, t_p_value
 from syllabix.functions.text import mean_of
-from syllabix.session import ensure_checkpoint_dir
+from syllabix.session import pin
 
 
 def widen_labels(
@@ -33,10 +33,10 @@ def widen_labels(
 
 def category_share(df: DataFrame, col: str) -> DataFrame:
     """Count and percentage per category, most frequent first; missing is a category."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total_count")).scalar()
+    counts = pin(df.groupBy(col).agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count")).first()[0]
     return (
-        counts.withColumn("total_count", total)
+        counts.withColumn("total_count", F.lit(total).cast("bigint"))
         .withColumn("percentage", F.col("count") * 100 / F.col("total_count"))
         .orderBy(F.col("percentage").desc(), F.col(col).asc_nulls_last())
     )
@@ -95,7 +95,7 @@ def correlation_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pearson(sxy: Column, sxx: Column, syy: Column) -> Column:
     """Correlation from centred sums, kept within [-1, 1]; NULL if either side is constant."""
     r = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -158,9 +158,8 @@ def density_by_group(
     data = df.select(F.col(group).alias("grp"), F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
     if limits is not None:
         data = data.filter(F.col("x").between(*limits))
-    ensure_checkpoint_dir(df.sparkSession)
     # Everything below follows from the distinct values and their counts.
-    counts = data.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("w")).checkpoint()
+    counts = pin(data.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("w")))
     sizes = counts.groupBy("grp").agg(
         F.count(F.lit(1)).alias("k"), F.sum("w").alias("n"), F.min("x").alias("_min"),
         (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("_mean"),
@@ -235,7 +234,7 @@ def trend_by_group(
         F.regr_sxx(*pair).alias("sxx"), F.regr_syy(*pair).alias("syy"), F.regr_sxy(*pair).alias("sxy"),
         F.min("value").alias("low"), F.max("value").alias("high"),
     ).withColumn("slope", F.try_divide("sxy", "sxx")).withColumn("df", (F.col("n") - 2).cast("double")).withColumn(
-        "s2", F.try_divide(F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)), F.nullif(F.col("df"), F.lit(0.0)))
+        "s2", F.try_divide(F.col("syy") - F.col("slope") * F.col("sxy"), F.when(F.col("df") > 0, F.col("df")))
     ).withColumn("q", t_critical(F.lit(0.5 + level / 2), F.col("df")))
     grid = fits.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1)))).withColumn(
         "x", F.col("low") + F.col("i") * (F.col("high") - F.col("low")) / (n_grid - 1)
@@ -243,7 +242,7 @@ def trend_by_group(
     off = F.col("x") - F.col("mx")
     return (
         grid.withColumn("fit", F.col("my") + F.col("slope") * off)
-        .withColumn("se", F.sqrt(F.col("s2") * (1 / F.col("n") + F.try_divide(off * off, F.col("sxx")))))
+        .withColumn("se", F.sqrt(F.when(F.col("s2") < 0, 0.0).otherwise(F.col("s2")) * (1 / F.col("n") + F.try_divide(off * off, F.col("sxx")))))
         .select(
             "construct_variable", F.col("i").cast("bigint").alias("grid_index"), "x", "fit", "se",
             (F.col("fit") - F.col("q") * F.col("se")).alias("lower"),

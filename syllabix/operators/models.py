@@ -209,7 +209,8 @@ def likelihood_ratio_test(fits: DataFrame, smaller: str, larger: str) -> DataFra
         (of(larger, "n_params") - of(smaller, "n_params")).alias("df"),
     )
     return (
-        sides.withColumn("chisq", F.greatest(2 * (F.col("ll1") - F.col("ll0")), F.lit(0.0)))
+        sides.withColumn("chisq", 2 * (F.col("ll1") - F.col("ll0")))
+        .withColumn("chisq", F.when(F.col("chisq") < 0, 0.0).otherwise(F.col("chisq")))
         .withColumn("p_value", chi2_p_value("chisq", F.col("df").cast("double")))
         .select(F.lit(smaller).alias("model_0"), F.lit(larger).alias("model_1"), "ll0", "ll1", "df", "chisq", "p_value")
     )

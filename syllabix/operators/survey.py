@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join
@@ -129,30 +129,30 @@ def collapse_multiselect(
     number of rows, and the raw response becomes the list of chosen variables. All
     other rows pass with their raw response as a one-element list. Rows without a
     variable fall out. A numbered item matches at most its codebook rows, so a
-    group, and with it the list, is no longer than the codebook.
+    group, and with it the list, is no longer than the codebook. One pass over the
+    items serves both kinds of rows.
     """
-    is_match = F.col("variable_name").contains(match)
-    others = df.filter(~is_match).withColumn(raw_col, F.array(raw_col))
-    position = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in (*order_by, "variable_name")])
-    matched = df.filter(is_match)
-    summary = matched.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("_rows"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(position.alias("at"), F.col("variable_name").alias("v")))),
-            lambda item: item["v"],
-        ).alias("_list"),
-        F.min_by(F.struct(*[c for c in df.columns if c not in keys]), position).alias("_first"),
+    of_question = Window.partitionBy(*keys, "_match")
+    by_order = of_question.orderBy(*[F.col(c).asc_nulls_last() for c in (*order_by, "variable_name")])
+    whole = by_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    matched = F.col("_match")
+    marked = (
+        df.filter(F.col("variable_name").isNotNull())
+        .withColumn("_match", F.col("variable_name").contains(match))
+        .withColumns({
+            "_nth": F.row_number().over(by_order),
+            "_rows": F.count(F.lit(1)).over(of_question),
+            "_names": F.collect_list(F.when(matched, F.col("variable_name"))).over(whole),
+        })
+        .filter(~matched | (F.col("_nth") == 1))
     )
     replaced = {
-        "variable_name": F.lit(new_var),
-        "num_response_options": F.lit(n_options).cast("bigint"),
-        "response_choice": F.col("_rows"),
-        raw_col: F.col("_list"),
+        "variable_name": F.when(matched, F.lit(new_var)).otherwise(F.col("variable_name")),
+        "num_response_options": F.when(matched, F.lit(n_options)).otherwise(F.col("num_response_options")).cast("bigint"),
+        "response_choice": F.when(matched, F.col("_rows")).otherwise(F.col("response_choice").try_cast("double")),
+        raw_col: F.when(matched, F.col("_names")).otherwise(F.array(raw_col)),
     }
-    collapsed = summary.select(*[
-        F.col(c) if c in keys else replaced.get(c, F.col("_first").getField(c)).alias(c) for c in df.columns
-    ])
-    return others.withColumn("response_choice", F.col("response_choice").try_cast("double")).unionByName(collapsed)
+    return marked.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns])
 
 
 def attach_construct(

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from syllabix.operators import engagement, merge, quiz, survey
-from syllabix.session import ensure_checkpoint_dir
+from syllabix.session import pin
 
 SURVEY_ITEM = ("class_id", "release", "student_id", "lrn_question_reference")
 
@@ -141,10 +141,9 @@ def split_half(study: Study, views: DataFrame, iters: int = 100, seed: int = 130
     First completions feed both the draw and the scores, so they are computed once
     into a checkpoint.
     """
-    ensure_checkpoint_dir(views.sparkSession)
-    first = first_completions(study, views).select(
+    first = pin(first_completions(study, views).select(
         "institution_id", "class_id", "student_id", "chapter_num", "page"
-    ).checkpoint()
+    ))
     halves = engagement.split_half_assign(first, iters, seed)
     return halves, engagement.split_half_scores(first, halves, iters)
 

@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "syllabix", **conf: str) -> SparkSession:
@@ -50,6 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a table once into the checkpoint folder, for plans that read it repeatedly.
+
+    Files on shared storage outlive lost executors, unlike cached blocks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 _SHIPPED: set[str] = set()
 
 
