@@ -654,7 +654,7 @@ FROM survey_responses GROUP BY ALL HAVING count(*) > 1"""
     sql["f10_group_means"] = f"""SELECT module_variation, {r6("avg(y1)", "sample_avg_y1")}, {r6("avg(y2)", "sample_avg_y2")}
 FROM condition_survey GROUP BY module_variation"""
     sql["f11_row_mean"] = f"""SELECT {AVERAGES}, {r6("quiz_mean", "quiz_mean")},
-  {r6("(coalesce(avg_eoc_score, 0) + quiz_mean) / (1 + (avg_eoc_score IS NOT NULL)::int)", "avg_eoc_quiz")}
+  {r6("(avg_eoc_score + avg_prop_pages_complete + quiz_mean) / 3", "avg_all")}
 FROM averages JOIN assessments USING (student_id) WHERE quiz_mean IS NOT NULL"""
     sql["f12_attach_assessment"] = f"""SELECT {ENGAGED.format(num='chapter_num, ')}, {r6("quiz_mean", "quiz_mean")}
 FROM engaged JOIN assessments USING (student_id) WHERE quiz_mean IS NOT NULL"""

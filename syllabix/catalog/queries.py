@@ -523,7 +523,7 @@ def f10_group_means(t: Tables) -> DataFrame:
 @registered
 def f11_row_mean(t: Tables) -> DataFrame:
     graded = describe.attach_assessment(t.averages(), t.assessments)
-    return describe.row_mean(graded, ["avg_eoc_score", "quiz_mean"], "avg_eoc_quiz")
+    return describe.row_mean(graded, ["avg_eoc_score", "avg_prop_pages_complete", "quiz_mean"], "avg_all")
 
 
 @registered

@@ -65,11 +65,11 @@ def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     """Null-safe join of a large table with a codebook-like table.
 
     A lookup the planner knows to be tiny is broadcast. Any other is computed once
-    into a checkpoint and measured there: below the limits it is broadcast, so that
-    the large side is not shuffled; above them it becomes an ordinary shuffle join,
+    into files and measured there: below the limits it is broadcast, so that the
+    large side is not shuffled; above them it becomes an ordinary shuffle join,
     where adaptive execution splits skewed partitions.
     """
-    if planned_bytes(lookup) <= TRUSTED_PLAN_BYTES:
-        return null_safe_join(left, F.broadcast(lookup), keys, how)
-    kept = pin(lookup)
-    return null_safe_join(left, F.broadcast(kept) if fits_broadcast(kept) else kept, keys, how)
+    if planned_bytes(lookup) > TRUSTED_PLAN_BYTES:
+        lookup = pin(lookup)
+    small = planned_bytes(lookup) <= TRUSTED_PLAN_BYTES or fits_broadcast(lookup)
+    return null_safe_join(left, F.broadcast(lookup) if small else lookup, keys, how)

@@ -160,26 +160,27 @@ def density_by_group(
         data = data.filter(F.col("x").between(*limits))
     # Everything below follows from the distinct values and their counts.
     counts = pin(data.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("w")))
-    sizes = counts.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("w").alias("n"), F.min("x").alias("_min"),
-        (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("_mean"),
-    )
-    most, least_x, most_x = sizes.select("k").agg(F.max("k")).first()[0] or 0, *counts.agg(F.min("x"), F.max("x")).first()
+    most, least_x, most_x = counts.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("k"), F.min("x").alias("a"), F.max("x").alias("b")
+    ).agg(F.max("k"), F.min("a"), F.max("b")).first()
+    most = most or 0
     low, high = limits if limits is not None else (least_x, most_x)
 
+    middle = ((least_x or 0.0) + (most_x or 0.0)) / 2
+    off = F.col("x") - F.lit(middle)
+    rows = F.sum("w")
+    squares = F.sum(F.col("w") * off * off) - F.pow(F.sum(F.col("w") * off), F.lit(2)) / rows
     spread = F.least("_sd", F.col("_iqr") / 1.34)
     base = F.coalesce(
         F.nullif(spread, F.lit(0.0)), F.nullif(F.col("_sd"), F.lit(0.0)),
         F.nullif(F.abs(F.col("_min")), F.lit(0.0)), F.lit(1.0),
     )
-    squares = lookup_join(counts, sizes, ["grp"], "inner").groupBy("grp", "n", "_min").agg(
-        F.sum(F.col("w") * (F.col("x") - F.col("_mean")) ** 2).alias("_ss")
+    moments = counts.groupBy("grp").agg(
+        rows.alias("n"), F.min("x").alias("_min"),
+        F.when(F.min("x") == F.max("x"), 0.0).otherwise(F.sqrt(F.try_divide(squares, F.nullif(rows - 1, F.lit(0))))).alias("_sd"),
     )
     quartiles = count_quantiles(counts, ["grp"], "x", "w", {"_q1": 0.25, "_q3": 0.75})
-    stats = null_safe_join(squares, quartiles, ["grp"]).withColumns({
-        "_sd": F.sqrt(F.try_divide(F.col("_ss"), F.nullif(F.col("n") - 1, F.lit(0)))),
-        "_iqr": F.col("_q3") - F.col("_q1"),
-    }).select(
+    stats = null_safe_join(moments, quartiles, ["grp"]).withColumn("_iqr", F.col("_q3") - F.col("_q1")).select(
         "grp", "n", (F.lit(0.9 * adjust) * base * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw")
     )
     if most > max_points and high > low:

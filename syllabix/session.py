@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute a table once into the checkpoint folder, for plans that read it repeatedly.
+    """Compute a table once into the shared checkpoint folder and continue from the files.
 
-    Files on shared storage outlive lost executors, unlike cached blocks.
+    For plans that read an intermediate table repeatedly. Files on shared storage
+    outlive lost executors, unlike cached blocks, and give the planner true sizes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 _SHIPPED: set[str] = set()
