@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join, null_safe_join
 from syllabix.functions.text import count_tuples, iterations, strip
+from syllabix.session import spread
 
 
 def completed_text() -> Column:
@@ -79,16 +80,13 @@ def running_progress(
     first: DataFrame,
     chapter: str = "chapter_num",
     ts: str = "dt_accessed_processed",
-    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Pages and share of pages completed so far and in total, per student and chapter.
 
     ``first`` holds each page once per student, so a window is at most as long as
-    the chapter has pages. ``totals`` may come from all completed views instead of
-    ``first``: the distinct pages are the same, and that branch then needs no sort.
+    the chapter has pages. It is read twice: pin it if it is expensive.
     """
-    if totals is None:
-        totals = class_page_totals(first, ("class_id", chapter))
+    totals = class_page_totals(first, ("class_id", chapter))
     whole = Window.partitionBy("class_id", "student_id", chapter)
     by_time = whole.orderBy(F.col(ts).asc_nulls_last(), F.col("page").asc())
     counted = first.withColumns({
@@ -152,7 +150,7 @@ def split_half_scores(first: DataFrame, halves: DataFrame, iters: int = 100) ->
     )
     done = first.select("institution_id", "class_id", "student_id", "chapter_num", "page")
     placed = null_safe_join(done, packed, ["class_id", "chapter_num", "page"], "left")
-    unpacked = placed.repartition("class_id", "student_id").select(
+    unpacked = spread(placed, "class_id", "student_id").select(
         "institution_id", "class_id", "student_id", pages_of_class,
         F.posexplode(F.split(F.coalesce("_digits", F.lit("0" * iters)), "")).alias("_at", "_half"),
     ).withColumn("iter", (F.col("_at") + 1).cast("bigint"))

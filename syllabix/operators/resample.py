@@ -15,6 +15,7 @@ from syllabix.functions.ranks import MAX_GROUP_ROWS, running_total
 from syllabix.functions.text import iterations
 from syllabix.operators.engagement import interval_summary
 from syllabix.operators.models import mixed_rows
+from syllabix.session import spread
 
 BOOTSTRAP_SCHEMA = "iter bigint, model string, aic double"
 
@@ -46,12 +47,12 @@ def stratified_resample(
     """Draw, per iteration and stratum, as many entities as it has, with replacement.
 
     Returns weights ``(iter, stratum, entity, w)``; entities never drawn are absent.
-    Every entity makes one draw per iteration from its own slot number, so drawing
-    is spread over the entities, not over the strata.
+    Every entity makes one draw per iteration from its own slot number, and entities
+    are spread over all tasks first, so a large stratum does not draw in one task.
     """
     numbered = numbered_entities(df, stratum, entity, max_group_rows)
     draws = (
-        numbered.select(stratum, "slot", "stratum_size", F.explode(iterations(iters)).alias("iter"))
+        spread(numbered, stratum, "slot").select(stratum, "slot", "stratum_size", F.explode(iterations(iters)).alias("iter"))
         .select("iter", stratum,
                 _draw(seed, stratum, F.col("slot"), F.col("stratum_size")).alias("slot"))
         .groupBy("iter", stratum, "slot")
@@ -84,7 +85,7 @@ def bootstrap_moments(
     shifted = rows.select(group, entity, *[
         (F.col(c) - F.lit(m if m is not None else 0.0)).alias(f"z_{i}") for i, (c, m) in enumerate(zip(cols, centre))
     ])
-    drawn = null_safe_join(shifted, packed, [group, entity]).select(
+    drawn = spread(null_safe_join(shifted, packed, [group, entity]), group, entity).select(
         group, *[f"z_{i}" for i in range(k)], F.inline("_draws")
     )
     sums = [F.sum("w").alias("n")]

@@ -149,9 +149,15 @@ def split_half(study: Study, views: DataFrame, iters: int = 100, seed: int = 130
 
 
 def student_progress(study: Study, views: DataFrame) -> DataFrame:
-    """Running completion per student and chapter from enriched views."""
-    totals = engagement.class_page_totals(views.filter(completed(study, views)), ("class_id", study.chapter))
-    return engagement.running_progress(first_completions(study, views), study.chapter, totals=totals)
+    """Running completion per student and chapter from enriched views.
+
+    The class totals and the students' rows both come from the first completions;
+    these are far fewer than the views and are computed once into files.
+    """
+    needed = ["book", "release", "institution_id", "class_id", "student_id", *study.chapter_keys, "page",
+              "dt_accessed_processed"]
+    first = pin(first_completions(study, views).select(*needed))
+    return engagement.running_progress(first, study.chapter)
 
 
 def student_engagement(study: Study, views: DataFrame) -> DataFrame:

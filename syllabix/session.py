@@ -62,6 +62,15 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's shuffle partitions, and keep them.
+
+    Used before rows multiply: adaptive execution would merge partitions that are
+    still small here. It also breaks up the partition of a hot group.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _SHIPPED: set[str] = set()
 
 
