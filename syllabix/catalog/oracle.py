@@ -517,6 +517,23 @@ def _relative_columns() -> str:
     return ", ".join(columns)
 
 
+# Integer columns DuckDB types more narrowly than the registered query, which reports bigint.
+BIGINT = {
+    "a1_read_table": ["c_nationkey"],
+    "a2_drop_index_column": ["s_nationkey"],
+    **dict.fromkeys(["b9_attach_construct", "b9_attach_construct_experimental"], ["scale_values"]),
+    **dict.fromkeys([
+        "c2_codebook_totals", "c3_score_quiz_codebook", "d3_first_completion", "d4_class_page_totals",
+        "d5_running_progress", "d6_engagement_summary", "d7_split_half_assign", "e6_merge_sources", "f3_model_frame",
+        "f4_entity_average", "f8_density_by_group", "f11_row_mean", "f12_attach_assessment",
+    ], ["chapter_num"]),
+    "d2_enrich_views": ["chapter_num", "page_num"],
+    **dict.fromkeys(["f5_correlation_matrix", "f5_correlation_matrix_pairwise"], ["n"]),
+    **dict.fromkeys(["f8_density_by_group_open", "g5_stratified_resample"], ["class_id"]),
+    **dict.fromkeys(["g1_fit_random_intercept", "g1_fit_random_intercept_boundary", "g4_model_sweep"], ["n_params"]),
+}
+
+
 def oracle() -> dict[str, str]:
     """SQL per registered query. Clustering (f6, f7) has none: k-means is iterative."""
     sql: dict[str, str] = {}
@@ -699,4 +716,7 @@ FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT count(*) AS n,
     SELECT *, sum(n) OVER () - count(*) OVER () * 1.0 AS df FROM (
       SELECT module_variation, count(*) AS n, avg(y1) AS m, var_pop(y1) * count(*) AS ss
       FROM condition_survey GROUP BY module_variation) a) b) c"""
+    for name, columns in BIGINT.items():
+        casts = ", ".join(f"cast({c} AS bigint) AS {c}" for c in columns)
+        sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]}) result"
     return {name: with_steps(text) for name, text in sql.items()}

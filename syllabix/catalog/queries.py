@@ -45,7 +45,7 @@ def comparable(df: DataFrame) -> DataFrame:
         elif isinstance(kind, IntegerType):
             c = c.cast("bigint")
         elif isinstance(kind, TimestampType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            c = F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, ArrayType):
             c = F.concat_ws("|", c)
         return c.alias(field.name)

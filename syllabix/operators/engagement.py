@@ -23,11 +23,12 @@ def completed_flag() -> Column:
 
 
 def parse_access_time(df: DataFrame, col: str = "dt_accessed") -> DataFrame:
-    """Parse access times with optional fractional seconds; unreadable text gives NULL.
+    """Parse access times (UTC) with optional fractional seconds; unreadable text gives NULL.
 
     Adds ``<col>_processed`` and its epoch milliseconds, and trims the page title.
     """
-    parsed = F.try_to_timestamp(F.col(col), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))
+    # The zone is part of the text, so the session's time zone does not matter.
+    parsed = F.try_to_timestamp(F.concat(F.col(col), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]X"))
     return (
         df.withColumn(f"{col}_processed", parsed)
         .withColumn(f"{col}_processed_ms", F.unix_micros(f"{col}_processed") / 1000)
