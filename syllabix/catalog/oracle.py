@@ -470,7 +470,7 @@ AVERAGES = ("class_id, student_id, chapter_num, " + ", ".join(r6(c, c) for c in
     "construct_mean_anxiety_math", "construct_mean_stress_expectation", "avg_prop_pages_complete", "avg_eoc_score")))
 CORRELATIONS = "var_i, var_j, n, " + ", ".join(r6(c, c) for c in ("r", "t", "p", "p_holm"))
 MIXED = ("model, term, rows AS n, n_params, round(theta, 4) AS theta, round(theta * sigma, 4) AS group_sd, "
-         + ", ".join(r6(c, c) for c in ("estimate", "std_error", "sigma", "log_likelihood", "aic")))
+         + ", ".join([*[r4(c, c) for c in ("estimate", "std_error")], *[r6(c, c) for c in ("sigma", "log_likelihood", "aic")]]))
 REL = "aic - max(aic) FILTER (model = '{}') OVER ({})"
 
 QUIZ_MODELS = {

@@ -540,8 +540,8 @@ def f13_condition_frame(t: Tables) -> DataFrame:
 
 
 def _fits(fits: DataFrame) -> DataFrame:
-    """The likelihood is flat at its maximum, so theta is reported to 4 places."""
-    return fits.withColumns({c: F.round(c, 4) for c in ("theta", "group_sd")})
+    """The likelihood is flat at its maximum, so theta and what follows from it are reported to 4 places."""
+    return fits.withColumns({c: F.round(c, 4) for c in ("theta", "group_sd", "estimate", "std_error")})
 
 
 @registered

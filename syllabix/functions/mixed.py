@@ -68,7 +68,7 @@ class FoldedMoments:
         at = int(np.nanargmin(self.deviance(_COARSE, use)))
         low, high = _COARSE[max(at - 1, 0)], _COARSE[min(at + 1, len(_COARSE) - 1)]
         best, least = _COARSE[at], self.deviance(_COARSE[at:at + 1], use)[0]
-        for _ in range(5):
+        for _ in range(7):
             grid = np.linspace(low, high, 33)
             deviance = self.deviance(grid, use)
             at = int(np.nanargmin(deviance))
