@@ -6,23 +6,46 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from syllabix.llm import exact_dedup, packing, token_counts
-from syllabix.llm.common import table
+from syllabix.llm import exact_dedup, near_dedup, packing, quality, token_counts, toxicity
+from syllabix.llm.common import fold, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; every third fold is never learned from."""
+    docs, held_out = table(spark, folder, "documents"), fold("doc_id", 3) == 1
+    scored = quality.quality_classifier(docs, table(spark, folder, "labels"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pieces of at most 4,096 tokens, packed into few sequences."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document; every fourth fold is never learned from."""
+    docs, held_out = table(spark, folder, "documents"), fold("doc_id", 4) == 2
+    scored = toxicity.toxicity(docs, docs, table(spark, folder, "labels"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of identical texts; the largest doc_id stays."""
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), digest_all=True)
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near copies; the smallest doc_id stays."""
+    return near_dedup.near_dedup(table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens per document."""
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY), limit=2048)
@@ -30,5 +53,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op6_best_fit_packing, op8_exact_dedup, op10_token_counts)
+    for query in (
+        op1_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_token_counts,
+    )
 }
