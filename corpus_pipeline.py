@@ -11,18 +11,52 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from syllabix.llm.common import table
+from syllabix.llm.common import drop_documents, fold, table
 from syllabix.llm.exact_dedup import exact_dedup
+from syllabix.llm.mixing import mix
+from syllabix.llm.near_dedup import near_dedup
 from syllabix.llm.packing import pack_documents
-from syllabix.llm.queries import WORD_VOCABULARY
-from syllabix.session import ensure_checkpoint_dir
+from syllabix.llm.queries import TREE_WEIGHTS, WORD_VOCABULARY, source_tree
+from syllabix.llm.toxicity import Settings, reject_toxic, train
+from syllabix.llm.training import labelled_sample
+from syllabix.session import ensure_checkpoint_dir, pin
+
+# Share of the tokens that mixing keeps, and the score from which a document is toxic.
+MIXED_SHARE, TOXIC_FROM = 0.8, 0.3
+
+
+def _without(docs: DataFrame, decided: DataFrame, kept: str) -> DataFrame:
+    """Documents of which ``decided`` keeps a row; rows that share an identifier share its fate."""
+    dropped = decided.groupBy("doc_id").agg(F.max(F.col(kept).cast("int")).alias("_any")).filter("_any = 0")
+    return drop_documents(docs, pin(dropped.select("doc_id")))
+
+
+def reject_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A model learned from the labelled documents of three folds of four rejects toxic ones."""
+    settings = Settings()
+    sample = labelled_sample(
+        docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 4) != 2, settings.per_class, settings.max_chars)
+    return reject_toxic(docs, train(sample, settings), TOXIC_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts, the row with the largest doc_id stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, exact_dedup(docs), "kept")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies, the row with the smallest doc_id stays."""
+    return _without(docs, near_dedup(docs), "kept")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens, mixed to the weights of the source tree; no document twice."""
+    chosen = mix(docs, source_tree(), TREE_WEIGHTS, MIXED_SHARE, max_epochs=1, seed=20)
+    decided = docs.select("doc_id").distinct().join(
+        chosen.select("doc_id").distinct().withColumn("_chosen", F.lit(True)), "doc_id", "left")
+    return drop_documents(docs, pin(decided.filter("_chosen IS NULL").select("doc_id")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +65,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic_documents),
     ("exact dedup", drop_copies),
-    ("packing", pack_sequences),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
 # The toxicity model, the near-duplicate confirmation and the tokenizer are not SQL.

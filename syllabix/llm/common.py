@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from syllabix.session import ship_package
 
@@ -42,3 +44,45 @@ def map_batches(df: DataFrame, function: Callable[..., dict[str, list]], schema:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def append_column(df: DataFrame, name: str, kind: str, function: Callable[..., list], column: str, *args) -> DataFrame:
+    """``df`` with one more column, ``function(values of column, *args)`` per Arrow batch; the others pass through untouched."""
+    ship_package(df.sparkSession)
+    schema = StructType([*df.schema.fields]).add(name, kind)
+    target = to_arrow_schema(schema)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = pa.array(function(batch.column(at).to_pylist(), *args), target[-1].type)
+            arrays = [a.cast(f.type) for a, f in zip(batch.columns, target, strict=False)]
+            yield pa.RecordBatch.from_arrays([*arrays, new], schema=target)
+
+    return df.mapInArrow(run, schema)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+# A filter passed to all tasks is a set of bucket numbers below this, whatever the corpus size.
+FILTER_BUCKETS = 1 << 20
+
+
+def drop_documents(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the identifiers in ``dropped``; rows without identifier stay.
+
+    Rows whose bucket holds no dropped identifier pass without a shuffle; only the
+    others meet the list itself. A missing identifier cannot be named and so stays.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(FILTER_BUCKETS)).cast("bigint")
+    mark, hit = unused_name(docs, "_bucket"), unused_name(docs, "_hit")
+    hits = F.broadcast(dropped.select(bucket.alias(mark)).distinct().withColumn(hit, F.lit(True)))
+    marked = docs.withColumn(mark, bucket).join(hits, mark, "left")
+    clear = marked.filter(F.col(hit).isNull()).select(docs.columns)
+    unclear = marked.filter(F.col(hit)).select(docs.columns)
+    return clear.unionByName(unclear.join(dropped.select(doc_id).distinct(), doc_id, "left_anti").select(docs.columns))

@@ -11,4 +11,58 @@ SELECT doc_id,
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents)
 """
 
-ORACLE: dict[str, str] = {"op8_exact_dedup": EXACT_DEDUP}
+# Levels of the tree from the top, with the fixed weights of op5.
+_LEVELS = ("domain", "lang", "source")
+
+
+def mixing(weights: dict[str, dict[str, int]], max_epochs: int, seed: int, fraction: float) -> str:
+    """Budgets level by level with window functions, then prefixes in hash order."""
+    parts = ["""
+base AS (
+  SELECT doc_id, n_tokens, lang, source, CASE WHEN number IS NULL THEN 'other'
+         WHEN number % 3 = 0 THEN 'web' WHEN number % 3 = 1 THEN 'books' ELSE 'forum' END AS domain
+  FROM (SELECT doc_id, coalesce(lang, '(missing)') AS lang, coalesce(source, '(missing)') AS source,
+               try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS number,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+        FROM documents))""", """
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM base GROUP BY ALL)""", f"""
+b0 AS (SELECT floor(sum(supply) * {fraction})::BIGINT AS budget FROM leaves)"""]
+    for depth in range(1, len(_LEVELS) + 1):
+        path, name = ", ".join(_LEVELS[:depth]), _LEVELS[depth - 1]
+        above = ", ".join(_LEVELS[: depth - 1])
+        family = f"PARTITION BY {above}" if above else ""
+        named = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.get(name, {}).items())
+        weight = f"CASE {name} {named} ELSE 1 END" if named else "1"
+        joined = f"JOIN b{depth - 1} USING ({above})" if above else "CROSS JOIN b0"
+        parts.append(f"""
+c{depth} AS (
+  SELECT *, cap::DOUBLE * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= weight::DOUBLE * (budget - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled
+  FROM (SELECT {path}, (sum(supply) * {max_epochs})::BIGINT AS cap, {weight} AS weight FROM leaves GROUP BY {path}) {joined}
+  WINDOW w AS ({family} ORDER BY cap / weight, {name})),
+b{depth} AS (
+  SELECT {path}, CASE WHEN filled THEN cap
+         ELSE weight * (budget - coalesce(sum(cap) FILTER (filled) OVER ({family}), 0))
+              // sum(weight) FILTER (NOT filled) OVER ({family}) END::BIGINT AS budget
+  FROM c{depth})""")
+    return "WITH " + ",".join(parts) + f""",
+shares AS (SELECT domain, lang, source, budget // supply AS whole, budget % supply AS rest
+           FROM b{len(_LEVELS)} JOIN leaves USING (domain, lang, source) WHERE supply > 0 AND budget > 0),
+placed AS (
+  SELECT *, ('0x' || substr(md5('{seed}:' || whole || ':' || doc_id), 1, 13))::BIGINT AS place
+  FROM base JOIN shares USING (domain, lang, source)),
+ordered AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS before
+  FROM placed WHERE rest > 0)
+SELECT doc_id, domain, lang, source, epoch::BIGINT AS epoch, n_tokens
+FROM (SELECT *, unnest(range(whole)) AS epoch FROM placed WHERE whole > 0)
+UNION ALL
+SELECT doc_id, domain, lang, source, whole, n_tokens FROM ordered WHERE before < rest
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op5_source_mixing": mixing({"domain": {"web": 2, "books": 1, "forum": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}, 4, 20, 1.0),
+    "op8_exact_dedup": EXACT_DEDUP,
+}

@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabix.llm import exact_dedup, near_dedup, packing, quality, token_counts, toxicity
+from syllabix.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity
 from syllabix.llm.common import fold, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+TREE_WEIGHTS = {"domain": {"web": 2, "books": 1, "forum": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+
+
+def source_tree() -> dict[str, Column]:
+    """Levels of the source tree, from the top."""
+    return {"domain": mixing.source_domain(), "lang": F.col("lang"), "source": F.col("source")}
 
 
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +28,16 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.98."""
+    return embedding_dedup.embedding_dedup(table(spark, folder, "embeddings"), 0.98)
+
+
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as there are, mixed to the tree's weights with up to four epochs."""
+    return mixing.mix(table(spark, folder, "documents"), source_tree(), TREE_WEIGHTS, 1.0, max_epochs=4, seed=20)
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pieces of at most 4,096 tokens, packed into few sequences."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
@@ -54,6 +70,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op1_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_token_counts,
+        op1_quality_classifier, op4_embedding_near_dedup, op5_source_mixing, op6_best_fit_packing,
+        op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_token_counts,
     )
 }

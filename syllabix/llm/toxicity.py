@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabix.llm.common import map_batches
+from syllabix.llm.common import append_column, map_batches, unused_name
 from syllabix.llm.training import Sample, labelled_sample
 
 _SENTENCES = re.compile(r"[^.!?\n]+[.!?\n]*").finditer
@@ -177,6 +177,19 @@ def score_toxicity(
     return map_batches(rows, _score, schema, shared, threshold).withColumnRenamed("id", doc_id)
 
 
+def _scores(texts: list[str | None], broadcast) -> list[float]:
+    weights = _word_weights(broadcast.value)
+    return [score_text(t or "", weights, None)[0] for t in texts]
+
+
+def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text scores below ``threshold``; scored as in ``score_toxicity``, no shuffle."""
+    score = unused_name(docs, "_toxicity")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = append_column(docs, score, "double", _scores, text, shared)
+    return scored.filter(F.col(score) < threshold).drop(score)
+
+
 def toxicity(
     docs: DataFrame, labelled: DataFrame, labels: DataFrame, usable: Column, settings: Settings = Settings(),
     threshold: float | None = 0.3, label: str = "toxic", text: str = "text", doc_id: str = "doc_id",
