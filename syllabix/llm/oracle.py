@@ -11,6 +11,39 @@ SELECT doc_id,
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents)
 """
 
+# Runs are compared as whole strings; the shortest runs come from sums over every start and end.
+LINE_DEDUP = """
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS cut FROM documents),
+lines AS (
+  SELECT doc_id, line, content, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS p,
+         len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT doc_id, i - 1 AS line, trim(cut[i], e' \\t\\n\\r\\f\\v') AS content
+        FROM (SELECT doc_id, cut, unnest(range(1, len(cut) + 1)) AS i FROM texts))
+  WHERE content <> ''),
+sequences AS (
+  SELECT doc_id, list(content ORDER BY p) AS content, list(words ORDER BY p) AS words, max(p) AS n FROM lines GROUP BY doc_id),
+ends AS (
+  SELECT l.doc_id, l.p AS s, list_position(list_transform(range(1, least(n - p + 1, 10) + 1),
+         lambda k: list_sum(s.words[l.p : l.p + k - 1]) >= 10), true) AS size FROM lines l JOIN sequences s USING (doc_id)),
+starts AS (
+  SELECT l.doc_id, l.p AS e, list_position(list_transform(range(1, least(p, 10) + 1),
+         lambda k: list_sum(s.words[l.p - k + 1 : l.p]) >= 10), true) AS size FROM lines l JOIN sequences s USING (doc_id)),
+runs AS (
+  SELECT doc_id, s, size FROM ends WHERE size IS NOT NULL
+  UNION SELECT doc_id, e - size + 1, size FROM starts WHERE size IS NOT NULL),
+placed AS (
+  SELECT doc_id, r.s, size, array_to_string(content[r.s : r.s + size - 1], chr(10)) AS run FROM runs r JOIN sequences USING (doc_id)),
+copies AS (
+  SELECT doc_id, unnest(range(s, s + size)) AS p
+  FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS copy FROM placed) WHERE copy > 1),
+gone AS (SELECT DISTINCT doc_id, line FROM copies JOIN lines USING (doc_id, p)),
+removed AS (SELECT doc_id, list(line) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(gone), 0)::INTEGER AS n_removed,
+       array_to_string(list_transform(list_filter(range(1, len(cut) + 1),
+         lambda i: NOT list_contains(coalesce(gone, []), i - 1)), lambda i: cut[i]), chr(10)) AS text
+FROM texts LEFT JOIN removed USING (doc_id)
+"""
+
 # Levels of the tree from the top, with the fixed weights of op5.
 _LEVELS = ("domain", "lang", "source")
 
@@ -63,6 +96,7 @@ SELECT doc_id, domain, lang, source, whole, n_tokens FROM ordered WHERE before <
 
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP,
     "op5_source_mixing": mixing({"domain": {"web": 2, "books": 1, "forum": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}, 4, 20, 1.0),
     "op8_exact_dedup": EXACT_DEDUP,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabix.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity
+from syllabix.llm import embedding_dedup, exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity
 from syllabix.llm.common import fold, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +28,16 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without later copies of line runs of ten words or more."""
+    return line_dedup.line_dedup(table(spark, folder, "documents"), 10)
+
+
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of one label linked at cosine 0.98."""
     return embedding_dedup.embedding_dedup(table(spark, folder, "embeddings"), 0.98)
@@ -70,7 +80,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op1_quality_classifier, op4_embedding_near_dedup, op5_source_mixing, op6_best_fit_packing,
+        op1_quality_classifier, op2_line_dedup, op3_html_extraction, op4_embedding_near_dedup, op5_source_mixing, op6_best_fit_packing,
         op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_token_counts,
     )
 }
