@@ -11,6 +11,7 @@ import re
 from syllabix.sources.roles import ROLES, duckdb_sql
 
 ITERATIONS = 100
+DENSITY_CELLS = 1024
 FEATURES = [f"c{i}" for i in range(1, 8)]
 STUDENT = "release, book, institution_id, class_id, student_id"
 
@@ -276,12 +277,44 @@ STEPS["correlations_wide"] = _correlations("pair_moments_wide")
 def _density(source: str, x: str, group: str, adjust: float, low: str, high: str, keep: str) -> str:
     return f"""WITH v AS (SELECT {group} AS g, cast({x} AS double) AS x FROM {source} WHERE {x} IS NOT NULL {keep}),
 span AS (SELECT cast({low} AS double) AS lo, cast({high} AS double) AS hi FROM v),
-stat AS (SELECT g, count(*) AS n, {0.9 * adjust!r}::double * coalesce(
+stat AS (SELECT g, count(*) AS n, min(x) AS lowest, (max(x) - min(x)) / {DENSITY_CELLS - 1} AS width,
+  {0.9 * adjust!r}::double * coalesce(
     nullif(least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::double), 0),
-    nullif(stddev_samp(x), 0), nullif(abs(min(x)), 0), 1) * pow(count(*), -0.2::double) AS bw FROM v GROUP BY g)
+    nullif(stddev_samp(x), 0), nullif(abs(min(x)), 0), 1) * pow(count(*), -0.2::double) AS bw FROM v GROUP BY g),
+in_cell AS (SELECT g, spot, least(floor(spot), {DENSITY_CELLS - 2}) AS cell
+  FROM (SELECT g, CASE WHEN width > 0 THEN (x - lowest) / width ELSE 0 END AS spot FROM v JOIN stat USING (g))),
+cell_sums AS (SELECT g, cell, sum(w) AS w FROM (
+  SELECT g, cell, 1 - (spot - cell) AS w FROM in_cell UNION ALL SELECT g, cell + 1, spot - cell FROM in_cell) GROUP BY g, cell)
 SELECT g AS {group}, i AS grid_index, {r6("lo + i * (hi - lo) / 511", "x")},
-  {r6("sum(exp(-0.5::double * pow((lo + i * (hi - lo) / 511 - v.x) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi()))", "density")}
-FROM v JOIN stat USING (g) CROSS JOIN span CROSS JOIN range(512) r(i) GROUP BY g, i, lo, hi"""
+  {r6("sum(w * exp(-0.5::double * pow((lo + i * (hi - lo) / 511 - (lowest + cell * width)) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi()))", "density")}
+FROM cell_sums JOIN stat USING (g) CROSS JOIN span CROSS JOIN range(512) r(i) GROUP BY g, i, lo, hi"""
+
+
+# Clusters: the few variables allow every partition to be looked at.
+
+STEPS["profile_cells"] = """SELECT var_i, var_j, r FROM correlations UNION ALL SELECT var_j, var_i, r FROM correlations
+UNION ALL SELECT DISTINCT var_i, var_i, 1.0::double FROM (SELECT var_i FROM correlations UNION ALL SELECT var_j FROM correlations) v"""
+STEPS["scaled_cells"] = """SELECT var_i, var_j, (r - avg(r) OVER (PARTITION BY var_j)) / stddev_samp(r) OVER (PARTITION BY var_j) AS r
+FROM profile_cells"""
+for _tag, _source in (("scaled", "scaled_cells"), ("plain", "profile_cells")):
+    STEPS[f"apart_{_tag}"] = f"""SELECT a.var_i AS v, b.var_i AS u, sum(pow(a.r - b.r, 2)) AS d2
+FROM {_source} a JOIN {_source} b USING (var_j) GROUP BY ALL"""
+
+
+def partitions(tag: str, variables: list[str], ks: str) -> str:
+    """Every partition into ``ks`` blocks (numbered by smallest member) with its cost, and the cheapest per k."""
+    return f"""WITH RECURSIVE grown AS (
+  SELECT [1] AS blocks, 1 AS k UNION ALL
+  SELECT list_append(blocks, n), greatest(k, n) FROM grown, range(1, {len(variables) + 1}) t(n)
+  WHERE n <= k + 1 AND len(blocks) < {len(variables)}),
+numbered AS (SELECT *, row_number() OVER (ORDER BY blocks) AS id FROM grown WHERE len(blocks) = {len(variables)} AND k IN {ks}),
+member AS (SELECT id, k, v, block FROM (SELECT id, k, unnest({variables!r}) AS v, unnest(blocks) AS block FROM numbered) m),
+block_cost AS (
+  SELECT a.id, a.k, a.block, sum(d2) / 2 / count(DISTINCT a.v) AS cost
+  FROM member a JOIN member b ON a.id = b.id AND a.block = b.block JOIN apart_{tag} d ON d.v = a.v AND d.u = b.v GROUP BY ALL),
+cheapest AS (
+  SELECT id, k, cost FROM (SELECT id, k, sum(cost) AS cost FROM block_cost GROUP BY id, k)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, id) = 1)"""
 
 
 # Models
@@ -443,6 +476,8 @@ def with_steps(sql: str) -> str:
     if not needed:
         return sql
     ctes = ",\n".join(f"{name} AS ({known[name]})" for name in needed)
+    if sql.lstrip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{sql.lstrip()[15:]}"
     if sql.lstrip().startswith("WITH "):
         return f"WITH {ctes},\n{sql.lstrip()[5:]}"
     return f"WITH {ctes}\n{sql}"
@@ -535,7 +570,7 @@ BIGINT = {
 
 
 def oracle() -> dict[str, str]:
-    """SQL per registered query. Clustering (f6, f7) has none: k-means is iterative."""
+    """SQL per registered query."""
     sql: dict[str, str] = {}
     sql["a1_read_table"] = "SELECT * REPLACE (round(c_acctbal, 6) AS c_acctbal) FROM customer"
     sql["a1_read_table_csv"] = "SELECT doc_id, lang, text FROM documents"
@@ -654,6 +689,22 @@ FROM survey_responses GROUP BY ALL HAVING count(*) > 1"""
     sql["f5_correlation_table"] = f"""SELECT var_i, var_j, {r6("r", "r")}, {r6("p", "p")} FROM (
   SELECT var_i, var_j, r, p_holm AS p FROM correlations UNION ALL SELECT var_j, var_i, r, p FROM correlations
   UNION ALL {diagonal}) c"""
+    sql["f6_choose_k"] = partitions("scaled", FEATURES, "(2, 3, 4, 5, 6)") + f""",
+near AS (
+  SELECT a.id, a.k, a.v, a.block AS own, b.block AS other, sum(sqrt(d2)) AS total, count(*) AS n
+  FROM cheapest c JOIN member a USING (id, k) JOIN member b ON b.id = a.id JOIN apart_scaled d ON d.v = a.v AND d.u = b.v GROUP BY ALL),
+widths AS (
+  SELECT k, v, max(n) FILTER (own = other) AS size, max(total) FILTER (own = other) / nullif(max(n) FILTER (own = other) - 1, 0) AS a,
+    min(total / n) FILTER (own <> other) AS b FROM near GROUP BY k, v),
+silhouettes AS (SELECT k, avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM widths GROUP BY k)
+SELECT cast(k AS bigint) AS k, {r6("cost", "cost")}, {r6("silhouette", "silhouette")},
+  silhouette = max(silhouette) OVER () AS best, true AS converged FROM silhouettes JOIN cheapest USING (k)"""
+    sql["f7_cluster_profiles"] = partitions("plain", FEATURES, "(2)") + f""",
+chosen AS (SELECT v, cast(block AS bigint) AS block FROM cheapest JOIN member USING (id, k)),
+shown AS (SELECT var_i, var_j, r, p_holm AS p FROM correlations UNION ALL SELECT var_j, var_i, r, p FROM correlations
+  UNION ALL {diagonal})
+SELECT var_i, i.block AS cluster_i, var_j, j.block AS cluster_j, {r6("r", "r")}, {r6("p", "p")}
+FROM shown JOIN chosen i ON i.v = var_i JOIN chosen j ON j.v = var_j"""
     sql["f8_density_by_group"] = _density(
         "engaged", "proportion_pages_complete_student", "chapter_num", 1.5, "0", "1",
         "AND proportion_pages_complete_student BETWEEN 0 AND 1").replace("FROM v)", "FROM v LIMIT 1)")
@@ -671,7 +722,7 @@ FROM survey_responses GROUP BY ALL HAVING count(*) > 1"""
     sql["f10_group_means"] = f"""SELECT module_variation, {r6("avg(y1)", "sample_avg_y1")}, {r6("avg(y2)", "sample_avg_y2")}
 FROM condition_survey GROUP BY module_variation"""
     sql["f11_row_mean"] = f"""SELECT {AVERAGES}, {r6("quiz_mean", "quiz_mean")},
-  {r6("(avg_eoc_score + avg_prop_pages_complete + quiz_mean) / 3", "avg_all")}
+  cast(round(cast((avg_eoc_score + quiz_mean) / 2 AS DECIMAL(20, 10)), 6) AS double) + 0.0 AS avg_all
 FROM averages JOIN assessments USING (student_id) WHERE quiz_mean IS NOT NULL"""
     sql["f12_attach_assessment"] = f"""SELECT {ENGAGED.format(num='chapter_num, ')}, {r6("quiz_mean", "quiz_mean")}
 FROM engaged JOIN assessments USING (student_id) WHERE quiz_mean IS NOT NULL"""

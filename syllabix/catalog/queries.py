@@ -81,7 +81,7 @@ class Tables:
         return f"{ensure_checkpoint_dir(self.spark)}/written-{uuid.uuid4().hex}"
 
     def views(self, study: Study = OBSERVATIONAL) -> DataFrame:
-        pages = self.page_codebook if study is OBSERVATIONAL else None
+        pages = self.page_codebook if study.page_codebook else None
         return studies.page_views(study, self.page_views, self.classes, pages)
 
     def first(self, study: Study = OBSERVATIONAL) -> DataFrame:
@@ -91,7 +91,7 @@ class Tables:
         return studies.student_engagement(study, self.views(study))
 
     def quiz_pages(self, study: Study) -> DataFrame:
-        if study is OBSERVATIONAL:
+        if study.page_codebook:
             return self.quiz_codebook
         return quiz.derive_page_numbers(engagement.attach_classes(self.page_views, self.classes))
 
@@ -491,7 +491,8 @@ def f5_correlation_table(t: Tables) -> DataFrame:
 
 @registered
 def f6_choose_k(t: Tables) -> DataFrame:
-    return clusters.choose_k(t.profiles, FEATURES)
+    cells = describe.full_correlation_table(describe.correlation_matrix(t.profiles, FEATURES), FEATURES)
+    return clusters.choose_k_of_profiles(clusters.correlation_profiles(cells, FEATURES), "variable", FEATURES)
 
 
 @registered
@@ -523,7 +524,10 @@ def f10_group_means(t: Tables) -> DataFrame:
 @registered
 def f11_row_mean(t: Tables) -> DataFrame:
     graded = describe.attach_assessment(t.averages(), t.assessments)
-    return describe.row_mean(graded, ["avg_eoc_score", "avg_prop_pages_complete", "quiz_mean"], "avg_all")
+    averaged = describe.row_mean(graded, ["avg_eoc_score", "quiz_mean"], "avg_all")
+    # The mean of two values of six places can end exactly half way: decimals round it alike everywhere.
+    exact = F.round(F.col("avg_all").cast("decimal(20,10)"), 6)
+    return averaged.withColumn("avg_all", exact.cast("double"))
 
 
 @registered

@@ -13,9 +13,6 @@ from syllabix.session import pin
 # A lookup is broadcast only below both limits.
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# A planner estimate this far below the limits is trusted without measuring
-# (compression makes estimates inexact, hence the wide margin).
-TRUSTED_PLAN_BYTES = 4 * 1024 * 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -43,6 +40,14 @@ def planned_bytes(df: DataFrame) -> float:
         return float("inf")
 
 
+def is_local(df: DataFrame) -> bool:
+    """Whether the plan is nothing but rows of a local relation."""
+    try:
+        return df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
+    except AttributeError:
+        return False
+
+
 def fits_broadcast(
     df: DataFrame,
     max_rows: int = MAX_BROADCAST_ROWS,
@@ -64,12 +69,15 @@ def fits_broadcast(
 def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe join of a large table with a codebook-like table.
 
-    A lookup the planner knows to be tiny is broadcast. Any other is computed once
-    into files and measured there: below the limits it is broadcast, so that the
-    large side is not shuffled; above them it becomes an ordinary shuffle join,
-    where adaptive execution splits skewed partitions.
+    A lookup made of rows the driver already holds is broadcast. Any other is computed
+    once into files and its rows and bytes are counted there (the planner's estimate is
+    of compressed size and not trusted): below the limits it is broadcast, so that the
+    large side is not shuffled; above them it becomes an ordinary shuffle join, where
+    adaptive execution splits skewed partitions.
     """
-    if planned_bytes(lookup) > TRUSTED_PLAN_BYTES:
+    if is_local(lookup):
+        small = True
+    else:
         lookup = pin(lookup)
-    small = planned_bytes(lookup) <= TRUSTED_PLAN_BYTES or fits_broadcast(lookup)
+        small = fits_broadcast(lookup)
     return null_safe_join(left, F.broadcast(lookup) if small else lookup, keys, how)

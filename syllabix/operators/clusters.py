@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from syllabix.functions.joins import lookup_join
+from syllabix.session import pin
 
 Starts = list[np.ndarray]
 
@@ -24,19 +24,45 @@ def _start_pool(points: DataFrame, features: Sequence[str], size: int, seed: int
     return np.array([list(r) for r in rows], dtype=float).reshape(-1, len(features))
 
 
-def lloyd(points: DataFrame, features: Sequence[str], starts: Starts, max_iter: int) -> tuple[Starts, np.ndarray]:
-    """Improve many sets of centres at the same time; returns them with their costs.
+def lloyd(
+    points: DataFrame, features: Sequence[str], starts: Starts, max_iter: int
+) -> tuple[Starts, np.ndarray, np.ndarray]:
+    """Improve many sets of centres at the same time; returns them, their costs, and whether they have settled.
 
-    Each round is one pass over the rows for all sets together: tasks add up counts,
-    coordinates and squared distances per centre, Spark sums these over tasks, and
-    only one row per centre comes back. An empty cluster keeps its centre.
+    Each round is one pass over the rows for all moving sets together: tasks add up
+    counts, coordinates and squared distances per centre, Spark sums these over tasks,
+    and only one row per centre comes back. Sets that stay in place leave the rounds; a
+    last pass takes the costs of those that ``max_iter`` rounds did not settle. An empty
+    cluster keeps its centre.
     """
+    current, costs, settled = list(starts), np.zeros(len(starts)), np.zeros(len(starts), bool)
+    for turn in range(max_iter + 1):
+        moving = np.flatnonzero(~settled).tolist()
+        if not moving:
+            break
+        sums = _sums(points, features, [current[s] for s in moving])
+        at = 0
+        for s in moving:
+            rows = sums[at:at + len(current[s])]
+            at += len(rows)
+            costs[s] = sum(r["cost"] for r in rows)
+            if turn < max_iter:
+                moved = np.array([
+                    [r[f"s_{i}"] / r["n"] for i in range(len(features))] if r["n"] > 0 else old
+                    for r, old in zip(rows, current[s], strict=True)
+                ])
+                settled[s] = np.array_equal(moved, current[s])
+                current[s] = moved
+    return current, costs, settled
+
+
+def _sums(points: DataFrame, features: Sequence[str], centres: Starts) -> list:
+    """Count, cost and coordinate sums of every centre of every set, in order."""
     names = [f"s_{i}" for i in range(len(features))]
-    first = np.cumsum([0, *[len(c) for c in starts]])
-    current = starts
+    first = np.cumsum([0, *[len(c) for c in centres]])
+    stacked = np.vstack(centres)
 
-    def assign(batches: Iterator[pd.DataFrame], centres: Starts) -> Iterator[pd.DataFrame]:
-        stacked = np.vstack(centres)
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros((len(stacked), 2 + len(names)))
         for pdf in batches:
             for x in np.array_split(pdf.to_numpy(dtype=float), max(1, len(pdf) // 1000)):
@@ -55,27 +81,11 @@ def lloyd(points: DataFrame, features: Sequence[str], starts: Starts, max_iter:
         yield out
 
     schema = "slot int, n double, cost double, " + ", ".join(f"{n} double" for n in names)
-    costs = np.zeros(len(starts))
-    for _ in range(max_iter):
-        fixed = current
-        sums = (
-            points.select(*features)
-            .mapInPandas(lambda batches, c=fixed: assign(batches, c), schema)
-            .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
-            .collect()
-        )
-        by_slot = {r["slot"]: r for r in sums}
-        moved = []
-        for s, (at, of_set) in enumerate(zip(first, current)):
-            rows = [by_slot[at + i] for i in range(len(of_set))]
-            costs[s] = sum(r["cost"] for r in rows)
-            moved.append(np.array([
-                [r[n] / r["n"] for n in names] if r["n"] > 0 else of_set[i] for i, r in enumerate(rows)
-            ]))
-        if all(np.array_equal(a, b) for a, b in zip(moved, current)):
-            break
-        current = moved
-    return current, costs
+    rows = (
+        points.select(*features).mapInPandas(assign, schema)
+        .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)]).collect()
+    )
+    return sorted(rows, key=lambda r: r["slot"])
 
 
 def nearest_cluster(features: Sequence[str], centres: np.ndarray) -> Column:
@@ -88,20 +98,34 @@ def nearest_cluster(features: Sequence[str], centres: np.ndarray) -> Column:
 
 def best_centres(
     points: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int, max_iter: int, seed: int
-) -> dict[int, tuple[np.ndarray, float]]:
-    """Per number of clusters, the centres of least cost over ``restarts`` random starts."""
+) -> dict[int, tuple[np.ndarray, float, bool]]:
+    """Per number of clusters, the centres of least cost over ``restarts`` random starts, the cost, and whether they settled.
+
+    Starts are drawn from one random pool of at most ``restarts * max(ks)`` distinct
+    rows; all rows are clustered. More clusters than distinct rows are refused.
+    """
     pool = _start_pool(points, features, restarts * max(ks), seed)
+    if len(pool) < max(ks):
+        raise ValueError(f"{max(ks)} clusters need as many distinct complete rows, there are {len(pool)}")
     random = np.random.default_rng(seed)
-    plan = [k for k in ks if k <= len(pool) for _ in range(restarts)]
+    plan = [k for k in ks for _ in range(restarts)]
     starts = [pool[random.choice(len(pool), k, replace=False)] for k in plan]
-    centres, costs = lloyd(points, features, starts, max_iter)
-    best: dict[int, tuple[np.ndarray, float]] = {}
-    for k, c, cost in zip(plan, centres, costs):
+    best: dict[int, tuple[np.ndarray, float, bool]] = {}
+    for k, c, cost, settled in zip(plan, *lloyd(points, features, starts, max_iter), strict=True):
         if k not in best or cost < best[k][1]:
-            best[k] = (c, float(cost))
+            best[k] = (c, float(cost), bool(settled))
     return best
 
 
+def _scaled(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Complete rows with z-scored features; a constant feature becomes 0."""
+    complete = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]).na.drop(subset=list(features))
+    scale = complete.agg(*[g(f) for f in features for g in (F.avg, F.stddev_samp)]).first()
+    return complete.select(*keep, *[
+        ((F.col(f) - scale[2 * i]) / (scale[2 * i + 1] or 1.0)).alias(f) for i, f in enumerate(features)
+    ])
+
+
 def choose_k(
     df: DataFrame,
     features: Sequence[str],
@@ -110,32 +134,71 @@ def choose_k(
     max_iter: int = 15,
     seed: int = 1,
 ) -> DataFrame:
-    """Mean silhouette per number of clusters on z-scored features; ``best`` marks the highest.
+    """Mean silhouette per number of clusters of many rows, on z-scored features; ``best`` marks the highest.
 
-    The silhouette is the squared-Euclidean one, which needs no distances between
-    pairs of rows. The scaled table is kept in memory (or on disk) across rounds.
+    The silhouette is the squared-Euclidean one, which needs no distances between pairs
+    of rows. The scaled table is pinned. ``cost`` belongs to the returned centres and
+    ``converged`` tells whether they had settled after ``max_iter`` rounds. Starts: see
+    ``best_centres``.
     """
-    complete = df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop()
-    scale = complete.agg(*[g(f) for f in features for g in (F.avg, F.stddev_samp)]).first()
-    points = complete.select(*[
-        ((F.col(f) - scale[2 * i]) / (scale[2 * i + 1] or 1.0)).alias(f) for i, f in enumerate(features)
-    ]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = []
-        for k, (centres, cost) in best_centres(points, features, ks, restarts, max_iter, seed).items():
-            assigned = points.select(
-                array_to_vector(F.array(*features)).alias("features"),
-                nearest_cluster(features, centres).cast("double").alias("prediction"),
-            )
-            rows.append((k, cost, float(ClusteringEvaluator().evaluate(assigned))))
-    finally:
-        points.unpersist()
-    top = max(rows, key=lambda r: r[2])[0] if rows else None
+    points = pin(_scaled(df, features))
+    rows = []
+    for k, (centres, cost, settled) in best_centres(points, features, ks, restarts, max_iter, seed).items():
+        assigned = points.select(
+            array_to_vector(F.array(*features)).alias("features"),
+            nearest_cluster(features, centres).cast("double").alias("prediction"),
+        )
+        rows.append((k, cost, float(ClusteringEvaluator().evaluate(assigned)), settled))
+    return _marked(df, rows)
+
+
+def _marked(df: DataFrame, rows: list[tuple[int, float, float, bool]]) -> DataFrame:
+    top = max(rows, key=lambda r: r[2])[0]
     return df.sparkSession.createDataFrame(
-        [(*r, r[0] == top) for r in rows], "k bigint, cost double, silhouette double, best boolean"
+        [(k, cost, silhouette, k == top, settled) for k, cost, silhouette, settled in rows],
+        "k bigint, cost double, silhouette double, best boolean, converged boolean",
     )
 
 
+def choose_k_of_profiles(
+    profiles: DataFrame,
+    name: str,
+    features: Sequence[str],
+    ks: Sequence[int] = (2, 3, 4, 5, 6),
+    restarts: int = 50,
+    max_iter: int = 15,
+    seed: int = 1,
+) -> DataFrame:
+    """``choose_k`` for a table of one row per variable, with the Euclidean silhouette.
+
+    Distances between all pairs of variables come from an equi-join on the feature, so
+    this is for profile tables, whose rows are as few as their columns. A variable alone
+    in its cluster has silhouette 0.
+    """
+    points = pin(_scaled(profiles, features, [name]))
+    long = points.unpivot([name], [F.col(f) for f in features], "feature", "z")
+    other = long.select(F.col(name).alias("other"), "feature", F.col("z").alias("z_other"))
+    apart = pin(
+        long.join(other, "feature").groupBy(name, "other")
+        .agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("z_other"), F.lit(2)))).alias("distance"))
+    )
+    rows = []
+    for k, (centres, cost, settled) in best_centres(points, features, ks, restarts, max_iter, seed).items():
+        member = points.select(name, nearest_cluster(features, centres).alias("own"))
+        joined = lookup_join(apart, member, [name], "inner")
+        joined = lookup_join(joined, member.select(F.col(name).alias("other"), F.col("own").alias("theirs")), ["other"], "inner")
+        per_cluster = joined.groupBy(name, "own", "theirs").agg(F.sum("distance").alias("total"), F.count(F.lit(1)).alias("n"))
+        same = F.col("own") == F.col("theirs")
+        widths = per_cluster.groupBy(name).agg(
+            F.max(F.when(same, F.col("n"))).alias("size"),
+            F.max(F.when(same, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
+            F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"),
+        )
+        width = F.when(F.col("size") == 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
+        rows.append((k, cost, float(widths.agg(F.avg(width)).first()[0]), settled))
+    return _marked(profiles, rows)
+
+
 def cluster_rows(
     df: DataFrame,
     features: Sequence[str],
@@ -144,13 +207,9 @@ def cluster_rows(
     max_iter: int = 15,
     seed: int = 1,
 ) -> DataFrame:
-    """Each row with its ``cluster`` 1..k, from k-means on the unscaled features."""
-    points = df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop()
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centres, _ = best_centres(points, features, [k], restarts, max_iter, seed)[k]
-    finally:
-        points.unpersist()
+    """Each complete row with its ``cluster`` 1..k, from k-means on the unscaled features; starts: see ``best_centres``."""
+    points = pin(df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop())
+    centres = best_centres(points, features, [k], restarts, max_iter, seed)[k][0]
     return df.na.drop(subset=list(features)).withColumn("cluster", nearest_cluster(features, centres))
 
 
@@ -163,9 +222,13 @@ def cluster_profiles(cells: DataFrame, cols: Sequence[str], k: int = 2, restarts
     """Correlation table with the cluster of both variables, ordered by cluster.
 
     Variables are clustered on their unscaled rows of the correlation matrix, so
-    k-means and the join below see one row per variable.
+    k-means, the windows and the join below see one row per variable. Clusters are
+    numbered by their alphabetically first variable.
     """
-    members = cluster_rows(correlation_profiles(cells, cols), cols, k, restarts).select("variable", "cluster")
+    found = cluster_rows(correlation_profiles(cells, cols), cols, k, restarts).select("variable", "cluster")
+    leader = F.min("variable").over(Window.partitionBy("cluster"))
+    number = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("_leader")).cast("bigint")
+    members = found.withColumn("_leader", leader).select("variable", number.alias("cluster"))
     left = members.withColumnsRenamed({"variable": "var_i", "cluster": "cluster_i"})
     right = members.withColumnsRenamed({"variable": "var_j", "cluster": "cluster_j"})
     return (

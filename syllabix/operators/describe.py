@@ -133,8 +133,8 @@ def full_correlation_table(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
     return upper.unionByName(lower).unionByName(diagonal)
 
 
-# Distinct values of one group that are evaluated on the grid as they are.
-MAX_KERNEL_POINTS = 16_384
+# Cells over which a group's values are shared, whatever their number.
+DENSITY_CELLS = 1024
 
 
 def density_by_group(
@@ -144,26 +144,24 @@ def density_by_group(
     adjust: float = 1.0,
     limits: tuple[float, float] | None = None,
     n_grid: int = 512,
-    max_points: int = MAX_KERNEL_POINTS,
+    cells: int = DENSITY_CELLS,
 ) -> DataFrame:
     """Gaussian kernel density per group on ``n_grid`` points.
 
     Values outside ``limits`` are dropped; without limits the grid spans the data of
     all groups. Bandwidth is ``adjust * 0.9 * min(sd, IQR / 1.34) * n^(-1/5)``; a zero
-    spread falls back to sd, then to the value itself, then to 1. Equal values are
-    counted first. A group with more than ``max_points`` distinct values has them
-    shared linearly between that many equally spaced points, so the work per group
-    is bounded whatever its size.
+    spread falls back to sd, then to the value itself, then to 1. Every value is shared
+    linearly between the two nearest of ``cells`` points that divide its own group's span
+    evenly, and the kernel is summed over these points. The rule is the same at every
+    size and for every group alone, and bounds the work per group. A group with one value
+    has the density of that value.
     """
     data = df.select(F.col(group).alias("grp"), F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
     if limits is not None:
         data = data.filter(F.col("x").between(*limits))
     # Everything below follows from the distinct values and their counts.
     counts = pin(data.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("w")))
-    most, least_x, most_x = counts.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("k"), F.min("x").alias("a"), F.max("x").alias("b")
-    ).agg(F.max("k"), F.min("a"), F.max("b")).first()
-    most = most or 0
+    least_x, most_x = counts.agg(F.min("x"), F.max("x")).first()
     low, high = limits if limits is not None else (least_x, most_x)
 
     middle = ((least_x or 0.0) + (most_x or 0.0)) / 2
@@ -176,28 +174,28 @@ def density_by_group(
         F.nullif(F.abs(F.col("_min")), F.lit(0.0)), F.lit(1.0),
     )
     moments = counts.groupBy("grp").agg(
-        rows.alias("n"), F.min("x").alias("_min"),
+        rows.alias("n"), F.min("x").alias("_min"), F.max("x").alias("_max"),
         F.when(F.min("x") == F.max("x"), 0.0).otherwise(F.sqrt(F.try_divide(squares, F.nullif(rows - 1, F.lit(0))))).alias("_sd"),
     )
     quartiles = count_quantiles(counts, ["grp"], "x", "w", {"_q1": 0.25, "_q3": 0.75})
-    stats = null_safe_join(moments, quartiles, ["grp"]).withColumn("_iqr", F.col("_q3") - F.col("_q1")).select(
-        "grp", "n", (F.lit(0.9 * adjust) * base * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw")
+    stats = pin(null_safe_join(moments, quartiles, ["grp"]).withColumn("_iqr", F.col("_q3") - F.col("_q1")).select(
+        "grp", "n", "_min", ((F.col("_max") - F.col("_min")) / (cells - 1)).alias("_width"),
+        (F.lit(0.9 * adjust) * base * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"),
+    ))
+    at = F.coalesce(F.try_divide(F.col("x") - F.col("_min"), F.col("_width")), F.lit(0.0))
+    left = F.least(F.floor(at), F.lit(cells - 2))
+    shared = (
+        lookup_join(counts, stats.select("grp", "_min", "_width"), ["grp"], "inner")
+        .withColumn("_share", at - left)
+        .select("grp", F.inline(F.array(
+            F.struct(left.alias("cell"), (F.col("w") * (1 - F.col("_share"))).alias("w")),
+            F.struct((left + 1).alias("cell"), (F.col("w") * F.col("_share")).alias("w")),
+        )))
+        .groupBy("grp", "cell").agg(F.sum("w").alias("w")).filter("w > 0")
     )
-    if most > max_points and high > low:
-        width = (high - low) / (max_points - 1)
-        at = (F.col("x") - low) / width
-        left = F.least(F.floor(at), F.lit(max_points - 2))
-        counts = (
-            counts.withColumn("_share", at - left)
-            .select("grp", F.inline(F.array(
-                F.struct(left.alias("cell"), (F.col("w") * (1 - F.col("_share"))).alias("w")),
-                F.struct((left + 1).alias("cell"), (F.col("w") * F.col("_share")).alias("w")),
-            )))
-            .groupBy("grp", "cell").agg(F.sum("w").alias("w"))
-            .select("grp", (F.lit(low) + F.col("cell") * F.lit(width)).alias("x"), "w")
-        )
-    points = lookup_join(counts, stats, ["grp"], "inner").withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1)))
+    points = lookup_join(shared, stats, ["grp"], "inner").select(
+        "grp", "n", "bw", "w", (F.col("_min") + F.col("cell") * F.col("_width")).alias("x"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"),
     )
     step = 0.0 if low is None else (high - low) / (n_grid - 1)
     z = (F.lit(low or 0.0) + F.col("i") * F.lit(step) - F.col("x")) / F.col("bw")

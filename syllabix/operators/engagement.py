@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join, null_safe_join
+from syllabix.functions.ranks import running_total
 from syllabix.functions.text import count_tuples, iterations, strip
-from syllabix.session import spread
+from syllabix.session import pin, spread
 
 
 def completed_text() -> Column:
@@ -113,12 +114,12 @@ def split_half_assign(first: DataFrame, iters: int = 100, seed: int = 130) -> Da
     """Split each class's pages at random into two halves, once per iteration.
 
     A title that occurs in several chapters counts under its first one (lowest
-    student, then lowest chapter). Halves have ceil(n/2) and floor(n/2) pages. The
+    student, then lowest chapter; a missing student comes last). Halves have ceil(n/2) and floor(n/2) pages. The
     random order is an md5 hash of seed, iteration, class and page, so it does not
     depend on how the data is partitioned. A window holds one class's pages.
     """
     pages = first.groupBy("class_id", "page").agg(
-        F.min(F.struct("student_id", "chapter_num")).getField("chapter_num").alias("chapter_num")
+        F.min(F.struct(F.col("student_id").isNull(), "student_id", "chapter_num")).getField("chapter_num").alias("chapter_num")
     )
     draws = pages.withColumn("iter", F.explode(iterations(iters)))
     ticket = F.md5(F.concat_ws("|", F.lit(str(seed)), "iter", "class_id", "page"))
@@ -135,22 +136,24 @@ def split_half_assign(first: DataFrame, iters: int = 100, seed: int = 130) -> Da
     )
 
 
-def split_half_scores(first: DataFrame, halves: DataFrame, iters: int = 100) -> DataFrame:
+def split_half_scores(first: DataFrame, halves: DataFrame) -> DataFrame:
     """Share of each half a student completed, per iteration, as ``half_1`` and ``half_2``.
 
     No completed page in a half gives NULL. A page found under another chapter than
     in ``halves`` belongs to no half. A page's membership packs into one digit per
-    iteration: each completion is joined and moved once and unpacked only where a
-    student's counts are summed, on data already partitioned by student.
+    iteration: each completion meets it in a measured lookup join, moves once, and is
+    unpacked only where a student's counts are summed, on data already partitioned by
+    student. The number of iterations is that of ``halves``.
     """
     pages_of_class = F.col("total_unique_pages_accessed_class")
-    packed = halves.groupBy("class_id", "chapter_num", "page", pages_of_class).agg(
+    packed = pin(halves.groupBy("class_id", "chapter_num", "page", pages_of_class).agg(
         F.concat_ws("", F.transform(
             F.array_sort(F.collect_list(F.struct("iter", "split"))), lambda d: d["split"].cast("string")
         )).alias("_digits")
-    )
+    ))
+    iters = packed.agg(F.max(F.length("_digits"))).first()[0] or 0
     done = first.select("institution_id", "class_id", "student_id", "chapter_num", "page")
-    placed = null_safe_join(done, packed, ["class_id", "chapter_num", "page"], "left")
+    placed = lookup_join(done, packed, ["class_id", "chapter_num", "page"], "left")
     unpacked = spread(placed, "class_id", "student_id").select(
         "institution_id", "class_id", "student_id", pages_of_class,
         F.posexplode(F.split(F.coalesce("_digits", F.lit("0" * iters)), "")).alias("_at", "_half"),
@@ -171,25 +174,24 @@ def split_half_reliability(scores: DataFrame) -> DataFrame:
 
     Students without both halves are left out. Students are first counted per pair
     of shares: a share is a ratio of two page counts, so these tables stay small
-    whatever the number of students, and the ranks are computed on them.
+    whatever the number of students. Ranks come from running counts per share and means
+    from sums, so no task holds all pairs of an iteration.
     """
     pairs = (
         scores.filter(F.col("half_1").isNotNull() & F.col("half_2").isNotNull())
         .groupBy("iter", "half_1", "half_2")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    whole = Window.partitionBy("iter")
-
-    def average_rank(column: str) -> Column:
-        upto = F.sum("w").over(whole.orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        ties = F.sum("w").over(Window.partitionBy("iter", column))
-        return upto - (ties - 1) / 2
-
-    ranked = pairs.withColumns({"rank_1": average_rank("half_1"), "rank_2": average_rank("half_2")})
+    ranked = pin(pairs)
+    for at in ("1", "2"):
+        # Ranks from the counts per share; a running total holds any number of shares.
+        shares = ranked.groupBy("iter", f"half_{at}").agg(F.sum("w").alias("_ties"))
+        upto = running_total(shares, ["iter"], [F.col(f"half_{at}")], "_upto", "_ties")
+        ranks = upto.select("iter", f"half_{at}", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(f"rank_{at}"))
+        ranked = lookup_join(ranked, ranks, ["iter", f"half_{at}"], "inner")
     measured = ("half_1", "half_2", "rank_1", "rank_2")
-    centred = ranked.withColumns({
-        f"_{c}": F.col(c) - F.sum(F.col(c) * F.col("w")).over(whole) / F.sum("w").over(whole) for c in measured
-    })
+    means = ranked.groupBy("iter").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"_mean_{c}") for c in measured])
+    centred = lookup_join(ranked, means, ["iter"], "inner").withColumns({f"_{c}": F.col(c) - F.col(f"_mean_{c}") for c in measured})
 
     def product(a: str, b: str) -> Column:
         return F.sum(F.col("w") * F.col(f"_{a}") * F.col(f"_{b}"))

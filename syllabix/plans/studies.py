@@ -55,6 +55,8 @@ class Study:
     construct_overrides: Mapping[str, str] = field(default_factory=dict)
     chapter: str = "chapter_num"
     chapter_keys: tuple[str, ...] = ("chapter", "chapter_num")
+    # Page numbers and the quiz denominator come from a codebook, or from the views and answers.
+    page_codebook: bool = True
 
 
 OBSERVATIONAL = Study(
@@ -74,6 +76,7 @@ EXPERIMENTAL = Study(
     default_order=1,
     chapter="chapter",
     chapter_keys=("chapter",),
+    page_codebook=False,
 )
 
 
@@ -145,7 +148,7 @@ def split_half(study: Study, views: DataFrame, iters: int = 100, seed: int = 130
         "institution_id", "class_id", "student_id", "chapter_num", "page"
     ))
     halves = engagement.split_half_assign(first, iters, seed)
-    return halves, engagement.split_half_scores(first, halves, iters)
+    return halves, engagement.split_half_scores(first, halves)
 
 
 def student_progress(study: Study, views: DataFrame) -> DataFrame:
@@ -168,7 +171,7 @@ def student_engagement(study: Study, views: DataFrame) -> DataFrame:
 def quiz_scores(study: Study, responses: DataFrame, pages: DataFrame) -> DataFrame:
     """Quiz score per student and chapter; the denominator depends on the study."""
     review = quiz.select_review(responses)
-    if study is OBSERVATIONAL:
+    if study.page_codebook:
         return quiz.score_quiz_codebook(review, pages, quiz.codebook_totals(pages))
     return quiz.score_quiz_observed(review, pages)
 

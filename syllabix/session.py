@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +58,36 @@ def pin(df: DataFrame) -> DataFrame:
 
     For plans that read an intermediate table repeatedly. Files on shared storage
     outlive lost executors, unlike cached blocks, and give the planner true sizes.
+    ``release_pinned`` or the context manager ``pinned_tables`` deletes them.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    _PINNED.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_PINNED: list[str] = []
+
+
+def release_pinned(spark: SparkSession, after: int = 0) -> None:
+    """Delete the files of pinned tables, but for the first ``after``; results that still read them become invalid."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_PINNED) > after:
+        path = hadoop.Path(_PINNED.pop())
+        path.getFileSystem(settings).delete(path, True)
+
+
+@contextmanager
+def pinned_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables pinned inside are deleted at the end: write or collect results before."""
+    before = len(_PINNED)
+    try:
+        yield
+    finally:
+        release_pinned(spark, before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's shuffle partitions, and keep them.
 

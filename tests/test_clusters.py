@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from syllabix.operators import clusters, describe
 
@@ -29,6 +30,23 @@ def test_cost_is_within_cluster_squares(spark):
     assert sorted(best[0].ravel()) == [0.5, 11.0] and np.isclose(best[1], 2.5)
 
 
+def test_cost_belongs_to_the_returned_centres(spark):
+    random = np.random.default_rng(3)
+    x = random.normal(size=(400, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    for k, (centres, cost, settled) in clusters.best_centres(df, ["a", "b", "c"], [4, 6], 3, 2, 1).items():
+        squares = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert len(centres) == k and not settled and np.isclose(cost, squares)
+
+
+def test_too_many_clusters_are_refused(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,)], "a double")
+    with pytest.raises(ValueError, match="distinct"):
+        clusters.choose_k(df, ["a"], ks=(2, 3))
+    with pytest.raises(ValueError, match="distinct"):
+        clusters.cluster_rows(df.limit(0), ["a"], k=2)
+
+
 def test_variables_cluster_by_their_correlations(spark):
     random = np.random.default_rng(1)
     u, v = random.normal(size=(2, 200))

@@ -60,7 +60,7 @@ def test_halves_are_balanced_and_repeatable(spark):
 def test_scores_match_pandas(spark):
     first = firsts(spark)
     halves = engagement.split_half_assign(first, 5, 7)
-    got = engagement.split_half_scores(first, halves, 5).toPandas().set_index(["iter", "student_id"]).sort_index()
+    got = engagement.split_half_scores(first, halves).toPandas().set_index(["iter", "student_id"]).sort_index()
     joined = first.toPandas().merge(halves.toPandas(), on=["class_id", "chapter_num", "page"])
     share = joined.groupby(["iter", "student_id", "split"]).agg(n=("page", "size"), total=("split_total", "first"))
     wide = (share.n / share.total).unstack("split").sort_index()
@@ -71,7 +71,7 @@ def test_a_title_repeated_in_another_chapter_belongs_to_no_half(spark):
     first = engagement.first_completion(views(spark, [
         (1, 1, "same", "2024-01-01 00:00:01", "true"), (1, 2, "other", "2024-01-01 00:00:02", "true"),
         (2, 2, "same", "2024-01-01 00:00:03", "true")]))
-    scores = engagement.split_half_scores(first, engagement.split_half_assign(first, 3), 3).collect()
+    scores = engagement.split_half_scores(first, engagement.split_half_assign(first, 3)).collect()
     assert len(scores) == 6
     assert all(r.half_1 is None and r.half_2 is None for r in scores if r.student_id == 2)
 
