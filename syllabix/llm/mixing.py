@@ -24,8 +24,8 @@ def word_count(text: str = "text") -> Column:
 def source_domain(source: str = "source") -> Column:
     """Domain of a source by its trailing number: web, books and forum in turn, other without a number."""
     number = F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as bigint)")
-    named = F.element_at(F.array(*map(F.lit, ("web", "books", "forum"))), (F.pmod(number, F.lit(3)) + 1).cast("int"))
-    return F.coalesce(named, F.lit("other"))
+    turn = F.pmod(number, F.lit(3))
+    return F.when(number.isNull(), "other").when(turn == 0, "web").when(turn == 1, "books").otherwise("forum")
 
 
 def budgets(
