@@ -8,11 +8,18 @@ from __future__ import annotations
 
 import re
 
+from syllabix.catalog.specs import (
+    ENGAGEMENT_MODELS,
+    FEATURES,
+    ITERATIONS,
+    MERGED_MODELS,
+    MERGED_QUIZ_MODELS,
+    OLS_MODELS,
+    QUIZ_MODELS,
+)
 from syllabix.sources.roles import ROLES, duckdb_sql
 
-ITERATIONS = 100
 DENSITY_CELLS = 1024
-FEATURES = [f"c{i}" for i in range(1, 8)]
 STUDENT = "release, book, institution_id, class_id, student_id"
 
 
@@ -270,6 +277,10 @@ def _correlations(moments: str) -> str:
 
 STEPS["pair_moments"] = _pairs("profiles", FEATURES)
 STEPS["correlations"] = _correlations("pair_moments")
+STEPS["pair_moments_merged"] = _pairs("averages", [
+    "avg_prop_pages_complete", "avg_eoc_score", "construct_mean_anxiety_math", "construct_mean_stress_expectation"])
+STEPS["correlations_merged"] = _correlations("pair_moments_merged")
+STEPS["graded"] = "SELECT * FROM averages JOIN assessments USING (student_id) WHERE quiz_mean IS NOT NULL"
 STEPS["pair_moments_wide"] = _pairs("wide", [f"construct_mean_{c}" for c in CONSTRUCTS])
 STEPS["correlations_wide"] = _correlations("pair_moments_wide")
 
@@ -508,19 +519,6 @@ MIXED = ("model, term, rows AS n, n_params, round(theta, 4) AS theta, round(thet
          + ", ".join([*[r4(c, c) for c in ("estimate", "std_error")], *[r6(c, c) for c in ("sigma", "log_likelihood", "aic")]]))
 REL = "aic - max(aic) FILTER (model = '{}') OVER ({})"
 
-QUIZ_MODELS = {
-    "baseline": [],
-    "attitudes": FEATURES,
-    "nervous": ["c1", "c2"],
-    "exp": ["c3"],
-    "confval": ["c4", "c5", "c6", "c7"],
-    "nervous_confval": ["c1", "c2", "c4", "c5", "c6", "c7"],
-    "nervous_exp": ["c1", "c2", "c3"],
-    "exp_confval": ["c3", "c4", "c5", "c6", "c7"],
-}
-ENGAGEMENT_MODELS = {"baseline": [], "attitudes": FEATURES, **{f"only_{c}": [c] for c in FEATURES}}
-OLS_MODELS = {"baseline": [], "two": ["c1", "c2"], "five": ["c1", "c2", "c3", "c4", "c5"]}
-
 
 def _ols_terms() -> str:
     p = t_tail("(estimate / std_error)", "(df_residual * 1.0)")
@@ -552,6 +550,14 @@ def _relative_columns() -> str:
     return ", ".join(columns)
 
 
+def sql_g11(source: str, x: str, y: str) -> str:
+    """Pearson test with the interval of Fisher's transformation."""
+    half = "1.959963984540054::double / sqrt(n - 3)"
+    return f"""SELECT '{x}' AS x, '{y}' AS y, n, n - 2 AS df, {r6("r", "r")}, {r6("t", "t")},
+  {r6(t_tail("t", "(n - 2.0)"), "p")}, {r6(f"tanh(atanh(r) - {half})", "lower")}, {r6(f"tanh(atanh(r) + {half})", "upper")}
+FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT count(*) AS n, corr({x}, {y}) AS r FROM {source}) a) b"""
+
+
 # Integer columns DuckDB types more narrowly than the registered query, which reports bigint.
 BIGINT = {
     "a1_read_table": ["c_nationkey"],
@@ -563,9 +569,10 @@ BIGINT = {
         "f4_entity_average", "f8_density_by_group", "f11_row_mean", "f12_attach_assessment",
     ], ["chapter_num"]),
     "d2_enrich_views": ["chapter_num", "page_num"],
-    **dict.fromkeys(["f5_correlation_matrix", "f5_correlation_matrix_pairwise"], ["n"]),
+    **dict.fromkeys(["f5_correlation_matrix", "f5_correlation_matrix_pairwise", "f5_correlation_matrix_merged"], ["n"]),
     **dict.fromkeys(["f8_density_by_group_open", "g5_stratified_resample"], ["class_id"]),
-    **dict.fromkeys(["g1_fit_random_intercept", "g1_fit_random_intercept_boundary", "g4_model_sweep"], ["n_params"]),
+    **dict.fromkeys(["g1_fit_random_intercept", "g1_fit_random_intercept_boundary", "g4_model_sweep", "g4_model_sweep_merged",
+                     "g4_model_sweep_merged_quiz"], ["n_params"]),
 }
 
 
@@ -575,6 +582,8 @@ def oracle() -> dict[str, str]:
     sql["a1_read_table"] = "SELECT * REPLACE (round(c_acctbal, 6) AS c_acctbal) FROM customer"
     sql["a1_read_table_csv"] = "SELECT doc_id, lang, text FROM documents"
     sql["a2_drop_index_column"] = f"SELECT s_name, s_nationkey, {r6('s_acctbal', 's_acctbal')} FROM supplier"
+    sql["a2_drop_index_column_csv"] = f"""SELECT release, book, chapter, page, {r6("chapter_num", "chapter_num")},
+  {r6("page_num", "page_num")} FROM page_codebook"""
     sql["a3_write_table"] = (
         f'SELECT student_id, variable_name, "order", {r6("response_choice", "response_choice")}, response FROM items'
     )
@@ -733,15 +742,25 @@ FROM condition_waves WHERE source = 'src3' AND module_variation IN ('A', 'B') AN
     sql["g1_fit_random_intercept"] = mixed_sql("outcomes", "outcome", "class_id", {"model": ["c1", "c2"]}, fitted)
     sql["g1_fit_random_intercept_boundary"] = mixed_sql("profiles", "y", "class_id", {"model": ["c1"]}, fitted)
     chisq = "greatest(2 * (ll1 - ll0), 0)"
-    sql["g2_likelihood_ratio_test"] = mixed_sql("outcomes", "outcome", "class_id", ENGAGEMENT_MODELS, f"""
-SELECT 'baseline' AS model_0, 'attitudes' AS model_1, cast(df AS bigint) AS df, {r6("ll0", "ll0")}, {r6("ll1", "ll1")},
+    lrt = f"""
+SELECT 'baseline' AS model_0, '{{0}}' AS model_1, cast(df AS bigint) AS df, {r6("ll0", "ll0")}, {r6("ll1", "ll1")},
   {r6(chisq, "chisq")}, {r6(chi2_tail(chisq, "(df * 1.0)"), "p_value")} FROM (
-  SELECT max(log_likelihood) FILTER (model = 'baseline') AS ll0, max(log_likelihood) FILTER (model = 'attitudes') AS ll1,
-    max(n_params) FILTER (model = 'attitudes') - max(n_params) FILTER (model = 'baseline') AS df FROM models) a""")
+  SELECT max(log_likelihood) FILTER (model = 'baseline') AS ll0, max(log_likelihood) FILTER (model = '{{0}}') AS ll1,
+    max(n_params) FILTER (model = '{{0}}') - max(n_params) FILTER (model = 'baseline') AS df FROM models) a"""
+    sql["g2_likelihood_ratio_test"] = mixed_sql("outcomes", "outcome", "class_id", ENGAGEMENT_MODELS, lrt.format("attitudes"))
     relative = REL.format("baseline", "")
     sql["g3_relative_aic"] = mixed_sql("outcomes", "outcome", "class_id", QUIZ_MODELS,
                                        f"SELECT model, {r6(relative, 'aic_value')} FROM models")
     sql["g4_model_sweep"] = mixed_sql("outcomes", "outcome", "class_id", ENGAGEMENT_MODELS, fitted)
+    sql["g4_model_sweep_merged"] = mixed_sql("averages", "avg_prop_pages_complete", "class_id", MERGED_MODELS, fitted)
+    sql["g4_model_sweep_merged_quiz"] = mixed_sql("averages", "avg_eoc_score", "class_id", MERGED_QUIZ_MODELS, fitted)
+    sql["g2_likelihood_ratio_test_merged"] = mixed_sql(
+        "averages", "avg_prop_pages_complete", "class_id", MERGED_MODELS, lrt.format("both"))
+    sql["f5_correlation_matrix_merged"] = f"SELECT {CORRELATIONS} FROM correlations_merged"
+    sql["g11_correlation_test_merged"] = sql_g11("graded", "avg_prop_pages_complete", "quiz_mean")
+    sql["g10_nested_f_test_merged"] = ols_sql("graded", "quiz_mean", {
+        "smaller": ["avg_prop_pages_complete"], "larger": ["avg_prop_pages_complete", "construct_mean_anxiety_math"],
+    }, _f_test("smaller", "larger"))
     sql["g5_stratified_resample"] = "SELECT iter, class_id, student_id, w FROM resample"
     sql["g6_bootstrap_models"] = _bootstrap(f"SELECT iter, model, {r4('aic', 'aic')} FROM models")
     sql["g7_bootstrap_relative"] = _bootstrap(f"SELECT iter, {_relative_columns()} FROM models GROUP BY iter")
@@ -756,10 +775,7 @@ LEFT JOIN ({actual}) actual USING (model) GROUP BY model""")
     sql["g10_nested_f_test"] = ols_sql("profiles", "y", OLS_MODELS, _f_test("two", "five"))
     sql["g10_nested_f_test_arm"] = ols_sql(
         "conditions", "y1", {"baseline": [], "condition": ["arm_b"]}, _f_test("baseline", "condition"))
-    half = "1.959963984540054::double / sqrt(n - 3)"
-    sql["g11_correlation_test"] = f"""SELECT 'c1' AS x, 'y' AS y, n, n - 2 AS df, {r6("r", "r")}, {r6("t", "t")},
-  {r6(t_tail("t", "(n - 2.0)"), "p")}, {r6(f"tanh(atanh(r) - {half})", "lower")}, {r6(f"tanh(atanh(r) + {half})", "upper")}
-FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT count(*) AS n, corr(c1, y) AS r FROM profiles) a) b"""
+    sql["g11_correlation_test"] = sql_g11("profiles", "c1", "y")
     margin = f"{t_975('df')} * std_error"
     sql["g12_predicted_means"] = f"""SELECT module_variation, n, {r6("m", "predicted")}, {r6("std_error", "std_error")},
   {r6(f"m - {margin}", "lower")}, {r6(f"m + {margin}", "upper")}, {r6("m", "sample_avg")} FROM (

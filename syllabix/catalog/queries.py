@@ -9,29 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType, DoubleType, FloatType, IntegerType, TimestampType
 
+from syllabix.catalog.specs import (
+    ENGAGEMENT_MODELS,
+    FEATURES,
+    ITERATIONS,
+    MERGED_MODELS,
+    MERGED_QUIZ_MODELS,
+    OLS_MODELS,
+    QUIZ_MODELS,
+)
 from syllabix.operators import clusters, describe, engagement, merge, models, quiz, resample, survey
 from syllabix.plans import studies
 from syllabix.plans.studies import EXPERIMENTAL, OBSERVATIONAL, Study
 from syllabix.session import ensure_checkpoint_dir, ship_package
 from syllabix.sources.roles import role
-from syllabix.sources.tables import drop_index_column, read_table, write_table
+from syllabix.sources.tables import VIEW_PAGE_CODEBOOK, drop_index_column, read_table, write_table
 
 CONSTRUCTS = ["anxiety_math", "stress_expectation", "value_task", "experience_math"]
-FEATURES = [f"c{i}" for i in range(1, 8)]
-ITERATIONS = 100
-# Predictor sets compared in the bootstrap, on the seven profile columns.
-QUIZ_MODELS = {
-    "baseline": [],
-    "attitudes": FEATURES,
-    "nervous": ["c1", "c2"],
-    "exp": ["c3"],
-    "confval": ["c4", "c5", "c6", "c7"],
-    "nervous_confval": ["c1", "c2", "c4", "c5", "c6", "c7"],
-    "nervous_exp": ["c1", "c2", "c3"],
-    "exp_confval": ["c3", "c4", "c5", "c6", "c7"],
-}
-ENGAGEMENT_MODELS = {"baseline": [], "attitudes": FEATURES, **{f"only_{c}": [c] for c in FEATURES}}
-
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -81,7 +75,7 @@ class Tables:
         return f"{ensure_checkpoint_dir(self.spark)}/written-{uuid.uuid4().hex}"
 
     def views(self, study: Study = OBSERVATIONAL) -> DataFrame:
-        pages = self.page_codebook if study.page_codebook else None
+        pages = self.page_codebook if study.page_codebook else studies.view_pages(self.titles())
         return studies.page_views(study, self.page_views, self.classes, pages)
 
     def first(self, study: Study = OBSERVATIONAL) -> DataFrame:
@@ -93,7 +87,12 @@ class Tables:
     def quiz_pages(self, study: Study) -> DataFrame:
         if study.page_codebook:
             return self.quiz_codebook
-        return quiz.derive_page_numbers(engagement.attach_classes(self.page_views, self.classes))
+        return studies.quiz_pages(self.titles())
+
+    def titles(self) -> DataFrame:
+        if "_titles" not in self.__dict__:
+            self._titles = studies.page_titles(self.page_views, self.classes)
+        return self._titles
 
     def quizzes(self, study: Study = OBSERVATIONAL) -> DataFrame:
         return studies.quiz_scores(study, self.quiz_responses, self.quiz_pages(study))
@@ -125,6 +124,9 @@ class Tables:
             ["chapter_num"],
         )
 
+    def graded(self) -> DataFrame:
+        return describe.attach_assessment(self.averages(), self.assessments)
+
     def outcomes(self) -> DataFrame:
         """Profiles with an outcome that differs between classes."""
         return self.profiles.withColumn("outcome", F.col("y") + F.col("class_id") * 0.02 + F.col("c1") * 0.2)
@@ -151,7 +153,18 @@ def a1_read_table(t: Tables) -> DataFrame:
 def a1_read_table_csv(t: Tables) -> DataFrame:
     target = t.scratch()
     write_table(t.spark.read.parquet(t.path("documents")).select("doc_id", "lang", "text"), target, "csv")
-    return read_table(t.spark, target, "doc_id bigint, lang string, text string", "csv")
+    return read_table(t.spark, target, "doc_id bigint, lang string, text string", "csv", multiline=True)
+
+
+@registered
+def a2_drop_index_column_csv(t: Tables) -> DataFrame:
+    """A page codebook written with its index column and read back without it."""
+    target = t.scratch()
+    book = t.page_codebook.select(
+        F.concat_ws("-", "release", "chapter", "page").alias("index"), "release", "book", "chapter", "page",
+        F.col("chapter_num").cast("double").alias("chapter_num"), F.col("page_num").cast("double").alias("page_num"))
+    write_table(book, target, "csv")
+    return drop_index_column(read_table(t.spark, target, VIEW_PAGE_CODEBOOK, "csv"))
 
 
 @registered
@@ -574,6 +587,45 @@ def g4_model_sweep(t: Tables) -> DataFrame:
     return _fits(models.model_sweep(t.outcomes(), "outcome", "class_id", ENGAGEMENT_MODELS))
 
 
+def _merged_sweep(t: Tables) -> DataFrame:
+    return studies.observational_models(t.averages(), "avg_prop_pages_complete", MERGED_MODELS)
+
+
+@registered
+def g4_model_sweep_merged(t: Tables) -> DataFrame:
+    """End of the first study's chain: engagement models on the merged students' averages."""
+    return _fits(_merged_sweep(t))
+
+
+@registered
+def g4_model_sweep_merged_quiz(t: Tables) -> DataFrame:
+    """Quiz models with engagement as predictor."""
+    return _fits(studies.observational_models(t.averages(), "avg_eoc_score", MERGED_QUIZ_MODELS))
+
+
+@registered
+def g2_likelihood_ratio_test_merged(t: Tables) -> DataFrame:
+    return models.likelihood_ratio_test(_merged_sweep(t), "baseline", "both")
+
+
+@registered
+def f5_correlation_matrix_merged(t: Tables) -> DataFrame:
+    return describe.correlation_matrix(t.averages(), [
+        "avg_prop_pages_complete", "avg_eoc_score", "construct_mean_anxiety_math", "construct_mean_stress_expectation"])
+
+
+@registered
+def g11_correlation_test_merged(t: Tables) -> DataFrame:
+    """End of the second study's chain: engagement and the gradebook."""
+    return models.correlation_test(t.graded(), "avg_prop_pages_complete", "quiz_mean")
+
+
+@registered
+def g10_nested_f_test_merged(t: Tables) -> DataFrame:
+    return studies.experimental_test(
+        t.graded(), "quiz_mean", ["avg_prop_pages_complete"], ["avg_prop_pages_complete", "construct_mean_anxiety_math"])
+
+
 @registered
 def g5_stratified_resample(t: Tables) -> DataFrame:
     return resample.stratified_resample(t.profiles, "class_id", "student_id", ITERATIONS)
@@ -611,9 +663,6 @@ def g8_transpose_summary(t: Tables) -> DataFrame:
     return _to_4(resample.transpose_summary(_relative(t), actual), {"model"})
 
 
-OLS_MODELS = {"baseline": [], "two": ["c1", "c2"], "five": ["c1", "c2", "c3", "c4", "c5"]}
-
-
 @registered
 def g9_fit_ols(t: Tables) -> DataFrame:
     return models.fit_ols_sweep(t.profiles, "y", OLS_MODELS)

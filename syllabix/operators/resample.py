@@ -15,7 +15,7 @@ from syllabix.functions.ranks import MAX_GROUP_ROWS, running_total
 from syllabix.functions.text import iterations
 from syllabix.operators.engagement import interval_summary
 from syllabix.operators.models import mixed_rows
-from syllabix.session import spread
+from syllabix.session import pin, spread
 
 BOOTSTRAP_SCHEMA = "iter bigint, model string, aic double"
 
@@ -30,7 +30,7 @@ def numbered_entities(
     df: DataFrame, stratum: str, entity: str, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Distinct entities numbered 1..n inside their stratum, with the stratum's size."""
-    entities = df.select(stratum, entity).distinct()
+    entities = pin(df.select(stratum, entity).distinct())
     sizes = entities.groupBy(stratum).agg(F.count(F.lit(1)).alias("stratum_size"))
     numbered = running_total(entities, [stratum], [F.col(entity).asc_nulls_last()], "slot", max_group_rows=max_group_rows)
     return lookup_join(numbered, sizes, [stratum], "inner")
@@ -50,7 +50,7 @@ def stratified_resample(
     Every entity makes one draw per iteration from its own slot number, and entities
     are spread over all tasks first, so a large stratum does not draw in one task.
     """
-    numbered = numbered_entities(df, stratum, entity, max_group_rows)
+    numbered = pin(numbered_entities(df, stratum, entity, max_group_rows))
     draws = (
         spread(numbered, stratum, "slot").select(stratum, "slot", "stratum_size", F.explode(iterations(iters)).alias("iter"))
         .select("iter", stratum,
@@ -77,7 +77,8 @@ def bootstrap_moments(
     """
     cols = [*xs, y]
     k = len(cols)
-    rows = complete_cases(df, cols, also=[group, entity])
+    # Read once: the draws, the centre and the join all start from here.
+    rows = pin(complete_cases(df, cols, also=[group, entity]))
     weights = stratified_resample(rows, group, entity, iters, seed)
     packed = weights.groupBy(group, entity).agg(F.collect_list(F.struct("iter", "w")).alias("_draws"))
     # One row of means: sums of products are taken about them, for accuracy.

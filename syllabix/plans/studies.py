@@ -6,11 +6,13 @@ takes and returns DataFrames and nothing is written between the stages.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from syllabix.operators import engagement, merge, quiz, survey
+
+from syllabix.functions.text import strip
+from syllabix.operators import engagement, merge, models, quiz, survey
 from syllabix.session import pin
 
 SURVEY_ITEM = ("class_id", "release", "student_id", "lrn_question_reference")
@@ -85,6 +87,8 @@ def survey_choices(study: Study, responses: DataFrame) -> DataFrame:
     kept = survey.filter_activity(responses)
     if study.drop_free_text:
         kept = survey.drop_item_types(kept)
+    # One exchange serves the numbering of choices here and the collapsing of questions later.
+    kept = kept.repartition("class_id", "student_id", "lrn_question_reference")
     choices = survey.explode_multiselect(kept, SURVEY_ITEM, ["ord"])
     if study.drop_missing_answers:
         return survey.normalize_response(choices, null_tokens=study.null_tokens)
@@ -123,12 +127,26 @@ def completed(study: Study, views: DataFrame) -> Column:
     return engagement.completed_text() if is_text else engagement.completed_flag()
 
 
+def page_titles(views: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pages as their titles stand in the views, pinned: both page tables of a study derive from it."""
+    return pin(engagement.attach_classes(views, classes).select("release", "book", "chapter", "page").distinct())
+
+
+def quiz_pages(titles: DataFrame) -> DataFrame:
+    """Page numbers by title as it stands."""
+    return quiz.derive_page_numbers(titles)
+
+
+def view_pages(titles: DataFrame) -> DataFrame:
+    """Page numbers by trimmed title, as the parsed views have it."""
+    return quiz.derive_page_numbers(titles.withColumn("page", strip("page")))
+
+
 def page_views(study: Study, views: DataFrame, classes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Parsed views with class context and page numbers; without a codebook pages are derived."""
     parsed = engagement.parse_access_time(views)
     if pages is None:
-        placed = engagement.attach_classes(parsed, classes)
-        pages = quiz.derive_page_numbers(placed)
+        pages = view_pages(page_titles(views, classes))
     return engagement.enrich_views(parsed, classes, pages, keep=study.chapter)
 
 
@@ -180,3 +198,14 @@ def combined(study: Study, items: DataFrame, engaged: DataFrame, quizzes: DataFr
     """Students' chapters with construct scores, engagement and quiz score."""
     wide = merge.widen_constructs(construct_scores(items), constructs)
     return merge.merge_sources(wide, engaged, quizzes, study.chapter_keys)
+
+
+def observational_models(averages: DataFrame, outcome: str, specs: Mapping[str, Sequence[str]]) -> DataFrame:
+    """End of the first study's chain: random-intercept models of the students' averages, grouped by class."""
+    return models.model_sweep(averages, outcome, "class_id", specs)
+
+
+def experimental_test(graded: DataFrame, outcome: str, smaller: Sequence[str], larger: Sequence[str]) -> DataFrame:
+    """End of the second study's chain: F test of two nested least-squares models of a gradebook column."""
+    fits = models.fit_ols_sweep(graded, outcome, {"smaller": list(smaller), "larger": list(larger)})
+    return models.nested_f_test(fits, "smaller", "larger")

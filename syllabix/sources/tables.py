@@ -19,6 +19,24 @@ RESPONSES = _fields({
 })
 PAGE_VIEWS = _fields({StringType: "institution_id class_id student_id chapter page dt_accessed was_complete"})
 CLASSES = _fields({StringType: "institution_id class_id release book", IntegerType: "n_students"})
+# Codebooks start with an exported index column; ``drop_index_column`` removes it.
+SURVEY_CODEBOOK = _fields({
+    StringType: "index release lrn_activity_reference lrn_question_reference variable_name prompt lrn_type "
+                "lrn_option_0 lrn_option_1 lrn_option_2 lrn_option_3 lrn_option_4 lrn_option_5",
+    IntegerType: "order",
+})
+QUIZ_PAGE_CODEBOOK = _fields({StringType: "index book release chapter page", DoubleType: "chapter_num page_num mcq plaintext"})
+VIEW_PAGE_CODEBOOK = _fields({StringType: "index release book chapter page", DoubleType: "chapter_num page_num"})
+POST_SURVEY_QUESTIONS = _fields({StringType: "question construct_label"})
+MID_QUARTER_SURVEY = _fields({
+    StringType: "source student_id module_variation",
+    DoubleType: "construct_mean_stress_mindset construct_mean_mindset_strategic construct_mean_challengeSeeking "
+                "construct_mean_orientation_learningGoal construct_mean_orientation_achievementGoal",
+})
+GRADEBOOK = _fields({
+    StringType: "student_id",
+    DoubleType: "quiz_1_prop quiz_2_prop quiz_3_prop quiz_4_prop quiz_5_prop quiz_mean reali_prop",
+})
 CONSTRUCT_LOOKUP = StructType([
     StructField("source", StringType()),
     StructField("survey_order", IntegerType()),
@@ -33,10 +51,17 @@ CONSTRUCT_LOOKUP = StructType([
 ])
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Read a table. CSV needs a schema, has a header and may hold quoted line breaks.
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    fmt: str = "parquet",
+    multiline: bool = False,
+) -> DataFrame:
+    """Read a table. CSV needs a schema and has a header.
 
-    In CSV both the empty field and the token ``NA`` are missing values.
+    In CSV the empty field, quoted or not, and the token ``NA`` are missing values.
+    ``multiline`` allows quoted line breaks (codebooks); such a file is read by one task.
     """
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
@@ -45,7 +70,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     if schema is None:
         raise ValueError("a CSV source needs an explicit schema")
     return spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', nullValue="NA", emptyValue=None
+        path, header=True, multiLine=multiline, quote='"', escape='"', nullValue="NA", emptyValue="NA"
     )
 
 
@@ -55,7 +80,10 @@ def drop_index_column(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write a result table. Array columns become JSON text in CSV, which has no lists."""
+    """Write a result table. Array columns become JSON text in CSV, which has no lists.
+
+    A real empty string is written as a quoted empty field, which ``read_table`` reads as missing.
+    """
     if fmt == "parquet":
         df.write.mode(mode).parquet(path)
         return

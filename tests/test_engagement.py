@@ -99,3 +99,18 @@ def test_interval_summary_interpolates(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     got = engagement.interval_summary(df, ["x"]).first()
     assert np.allclose([got["mean"], got.lb, got.ub], [values.mean(), *np.quantile(values, [0.025, 0.975])])
+
+
+def test_a_missing_student_does_not_place_a_page(spark):
+    first = spark.createDataFrame(
+        [(1, 1, None, 1, "p"), (1, 1, "a", 2, "p"), (1, 1, "b", 3, "p")],
+        "institution_id int, class_id int, student_id string, chapter_num int, page string")
+    assert {r.chapter_num for r in engagement.split_half_assign(first, 2).collect()} == {2}
+
+
+def test_scores_have_as_many_iterations_as_the_halves(spark):
+    first = spark.createDataFrame(
+        [(1, 1, "a", 2, "p"), (1, 1, "a", 2, "q"), (1, 1, "b", 9, "p")],
+        "institution_id int, class_id int, student_id string, chapter_num int, page string")
+    scores = engagement.split_half_scores(first, engagement.split_half_assign(first.filter("chapter_num = 2"), 7)).collect()
+    assert len(scores) == 14 and all(r.half_1 is None and r.half_2 is None for r in scores if r.student_id == "b")

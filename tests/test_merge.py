@@ -62,3 +62,26 @@ def test_merge_keeps_students_with_all_three_sources(spark):
     quiz = spark.createDataFrame([("r", "b", 0, 1, 1, "C1", 1, 0.9), ("r", "b", 0, 1, 1, "C2", None, 0.8)], keys + ", eoc_score double")
     got = {r.chapter: (r.share, r.eoc_score) for r in merge.merge_sources(wide, engaged, quiz).collect()}
     assert got == {"C1": (0.5, 0.9), "C2": (0.7, 0.8)}
+
+
+def test_page_tables_differ_by_trailing_spaces(spark):
+    from syllabix.plans import studies
+
+    titles = spark.createDataFrame([("r", "b", "Chapter 2", "2.1 "), ("r", "b", "Chapter 2", "2.1")],
+                                   "release string, book string, chapter string, page string")
+    assert studies.quiz_pages(titles).count() == 2 and studies.view_pages(titles).count() == 1
+
+
+def test_pinned_tables_are_deleted(spark):
+    from pyspark.errors import PySparkException
+
+    from syllabix.session import pin, pinned_tables
+
+    with pinned_tables(spark):
+        kept = pin(spark.range(5))
+        assert kept.count() == 5
+    try:
+        left = spark.read.parquet(kept.inputFiles()[0]).count()
+    except PySparkException:
+        left = 0
+    assert left == 0

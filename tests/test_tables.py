@@ -1,5 +1,5 @@
 from syllabix.functions.joins import fits_broadcast, lookup_join, null_safe_join
-from syllabix.sources.tables import CONSTRUCT_LOOKUP, drop_index_column, read_table, write_table
+from syllabix.sources.tables import CONSTRUCT_LOOKUP, POST_SURVEY_QUESTIONS, drop_index_column, read_table, write_table
 
 import pytest
 
@@ -10,13 +10,19 @@ def test_csv_with_line_breaks_and_missing_tokens(spark, tmp_path):
         'pre,1,x,"First line\nsecond ""quoted"" line",a_1,anxiety,6,FALSE,NA,high\n'
         "pre,NA,,plain,a_2,anxiety,6,TRUE,low,high\n"
     )
-    rows = read_table(spark, str(tmp_path / "lookup.csv"), CONSTRUCT_LOOKUP, "csv").orderBy("id").collect()
+    rows = read_table(spark, str(tmp_path / "lookup.csv"), CONSTRUCT_LOOKUP, "csv", multiline=True).orderBy("id").collect()
     assert [r.id for r in rows] == ["a_1", "a_2"]
     assert rows[0].question == 'First line\nsecond "quoted" line'
     assert rows[0].scale_min is None and rows[0].scale_flipped is False
     assert rows[1].survey_order is None and rows[1].origin is None
 
 
+def test_quoted_empty_fields_are_missing_and_lines_are_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('question,construct_label\n"",x\n"NA",\nplain,"y ""z"""\n')
+    rows = read_table(spark, str(tmp_path / "a.csv"), POST_SURVEY_QUESTIONS, "csv").collect()
+    assert [tuple(r) for r in rows] == [(None, "x"), (None, None), ("plain", 'y "z"')]
+
+
 def test_csv_needs_a_schema(spark, tmp_path):
     with pytest.raises(ValueError):
         read_table(spark, str(tmp_path), fmt="csv")
@@ -25,7 +31,7 @@ def test_csv_needs_a_schema(spark, tmp_path):
 def test_csv_round_trip_keeps_text_and_lists_become_json(spark, tmp_path):
     df = spark.createDataFrame([(1, ' padded "x"\nnext ', ["a", "b"]), (2, None, [])], "id int, text string, names array<string>")
     write_table(df, str(tmp_path / "out"), "csv")
-    back = {r.id: r for r in read_table(spark, str(tmp_path / "out"), "id int, text string, names string", "csv").collect()}
+    back = {r.id: r for r in read_table(spark, str(tmp_path / "out"), "id int, text string, names string", "csv", multiline=True).collect()}
     assert back[1].text == ' padded "x"\nnext ' and back[1].names == '["a","b"]'
     assert back[2].text is None
 
@@ -52,7 +58,6 @@ def test_broadcast_only_below_measured_limits(spark, monkeypatch):
 
     df = spark.range(1000).selectExpr("id AS k", "id AS v")
     assert fits_broadcast(df) and not fits_broadcast(df, max_rows=999) and not fits_broadcast(df, max_bytes=1000)
-    monkeypatch.setattr(joins, "TRUSTED_PLAN_BYTES", -1)
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 10)
     monkeypatch.setattr(joins.fits_broadcast, "__defaults__", (10, 10))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
