@@ -662,6 +662,9 @@ FROM mapped_raw WHERE construct IS NULL GROUP BY ALL"""
     sql["e1_uniqueness_audit_two_rows"] = audit.format(2)
     sql["e1_uniqueness_audit_submissions"] = """SELECT class_id, student_id, lrn_question_reference, count(*) AS nrows
 FROM survey_responses GROUP BY ALL HAVING count(*) > 1"""
+    chapters = "SELECT class_id, student_id, count(*) AS nrows FROM {} GROUP BY ALL HAVING count(*) > {}"
+    sql["e1_uniqueness_audit_quiz"] = chapters.format("quizzes", 2)
+    sql["e1_uniqueness_audit_engagement"] = chapters.format("engaged", 1)
     uid = "concat(coalesce(class_id::varchar, 'NA'), ', ', coalesce(student_id::varchar, 'NA'))"
     sql["e2_entity_set"] = f"SELECT DISTINCT {uid} AS \"UID\" FROM engaged"
     sets = {"survey": "items", "quiz": "quizzes", "engagement": "engaged"}

@@ -404,6 +404,16 @@ def e1_uniqueness_audit_submissions(t: Tables) -> DataFrame:
     return merge.uniqueness_audit(t.survey_responses, ["class_id", "student_id", "lrn_question_reference"])
 
 
+@registered
+def e1_uniqueness_audit_quiz(t: Tables) -> DataFrame:
+    return merge.uniqueness_audit(t.quizzes(), ["class_id", "student_id"], max_rows=2)
+
+
+@registered
+def e1_uniqueness_audit_engagement(t: Tables) -> DataFrame:
+    return merge.uniqueness_audit(t.engaged(), ["class_id", "student_id"])
+
+
 @registered
 def e2_entity_set(t: Tables) -> DataFrame:
     return merge.entity_set(t.engaged())

@@ -113,6 +113,14 @@ def test_row_mean_and_assessment(spark):
     assert describe.row_mean(spark.createDataFrame([(None, None)], "a double, b double"), ["a", "b"], "m").first().m is None
 
 
+def test_several_gradebook_columns(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "student_id string, x double")
+    grades = spark.createDataFrame([("a", 0.1, 0.2, 0.3), ("b", 0.4, 0.5, None)],
+                                   "student_id string, quiz_1_prop double, reali_prop double, quiz_mean double")
+    got = describe.attach_assessment(df, grades, ["quiz_1_prop", "reali_prop", "quiz_mean"]).collect()
+    assert [(r.student_id, r.quiz_1_prop, r.reali_prop) for r in got] == [("a", 0.1, 0.2)]
+
+
 def test_condition_frame(spark):
     df = spark.createDataFrame([("mid", 1, "A", 1.0), ("mid", 2, "C", 1.0), ("mid", 3, "B", None), ("post", 4, "A", 1.0)],
                                "source string, student_id int, module_variation string, y double")

@@ -70,10 +70,12 @@ def test_fit_is_the_maximum(spark):
 def test_boundary_fit_equals_least_squares(spark):
     data, df = grouped(spark, seed=4, spread=0.0)
     balanced = df.withColumn("g", F.col("s") % 3)
-    mixed = models.fit_random_intercept(balanced, "y", ["a"], "g").collect()
-    if mixed[0].theta == 0:
-        ols = {r.term: r.estimate for r in models.fit_ols(df, "y", ["a"]).collect()}
-        assert all(r.estimate == pytest.approx(ols[r.term]) for r in mixed)
+    # Residuals of the least-squares fit, mirrored from group to group: the groups differ less than by chance.
+    mirrored = spark.createDataFrame(
+        [(k % 3, float(k // 6), 2.0 * (k // 6) + (1.0 if (k // 3) % 2 else -1.0)) for k in range(60)], "g int, a double, y double")
+    mixed = models.fit_random_intercept(mirrored, "y", ["a"], "g").collect()
+    ols = {r.term: r.estimate for r in models.fit_ols(mirrored, "y", ["a"]).collect()}
+    assert mixed[0].theta == 0 and all(r.estimate == pytest.approx(ols[r.term]) for r in mixed)
     moments = FoldedMoments(models.intercept_moments(balanced, "y", ["a"], "g").toPandas(), 2)
     rss = models.fit_ols(df, "y", ["a"]).first().rss
     n = len(data)

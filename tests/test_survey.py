@@ -78,6 +78,14 @@ def test_labels_trim_names_and_leave_unknown_codes_empty(spark):
     assert got == {1: ("gender", "Female"), 2: ("gender", None)}
 
 
+def test_every_demographic_mapping_labels_its_codes(spark):
+    rows = [(name, float(code)) for name, codes in studies.DEMOGRAPHIC_LABELS.items() for code in codes]
+    df = spark.createDataFrame(rows, "variable_name string, response_choice double")
+    for r in survey.label_codes(df, studies.DEMOGRAPHIC_LABELS).collect():
+        assert r.response_label == studies.DEMOGRAPHIC_LABELS[r.variable_name][str(int(r.response_choice))]
+    assert set(studies.DEMOGRAPHIC_LABELS) == {"gender", "race1", "year"}
+
+
 def test_collapse_conserves_rows(spark):
     df = survey.join_codebook(
         items(spark, [(1, "Q", 1, 5.0), (1, "Q", 2, 6.0), (2, "Q", 2, 7.0), (1, "P", 1, 1.0), (1, "Q", 3, 8.0)]), codebook(spark)
