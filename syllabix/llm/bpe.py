@@ -23,8 +23,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 END_OF_WORD = "</w>"
 # Code points below this are cut here: no combining marks, no context-dependent case.
 LATIN_END = 0x250
-# Words remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED = 600_000
+# Words of usual length remembered per Python worker; at this number the memory is emptied.
+MAX_REMEMBERED, USUAL_LENGTH = 600_000, 64
 # Bits of a heap entry that hold the position; no text has a word of a terabyte.
 POSITION_BITS = 40
 POSITION_MASK = (1 << POSITION_BITS) - 1
@@ -132,7 +132,9 @@ class Lengths(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MAX_REMEMBERED:
             self.clear()
-        self[word] = length = merged_length(self.vocabulary.symbols(word), self.vocabulary.ranks)
+        length = merged_length(self.vocabulary.symbols(word), self.vocabulary.ranks)
+        if len(word) <= USUAL_LENGTH:
+            self[word] = length
         return length
 
     def of(self, text: str) -> int:
@@ -155,7 +157,9 @@ class Identifiers(dict):
         if len(self) >= MAX_REMEMBERED:
             self.clear()
         tokens = self._tokenize(self.vocabulary.symbols(word))
-        self[word] = found = b"".join(t.id.to_bytes(4, "little") for t in tokens)
+        found = b"".join(t.id.to_bytes(4, "little") for t in tokens)
+        if len(word) <= USUAL_LENGTH:
+            self[word] = found
         return found
 
     def of(self, text: str) -> bytes:

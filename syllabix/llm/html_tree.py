@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -50,14 +51,24 @@ def events(html: str) -> Iterator[tuple[str, str]]:
     """
     open_labels: list[str] = []
     tags: list[str] = []
+    count: Counter[str] = Counter()
     at, n = 0, len(html)
 
     def close_to(depth: int) -> Iterator[tuple[str, str]]:
         while len(tags) > depth:
-            tags.pop()
+            count[tags.pop()] -= 1
             yield "close", open_labels.pop()
 
+    def last(tag: str) -> int:
+        depth = len(tags) - 1
+        while tags[depth] != tag:
+            depth -= 1
+        return depth
+
     while at < n:
+        if html.find(">", at) < 0:  # nothing but text is left, and no sign needs to be tried
+            yield "text", unescape(html[at:])
+            break
         found = _TAG.search(html, at)
         end = found.start() if found else n
         if end > at:
@@ -73,16 +84,16 @@ def events(html: str) -> Iterator[tuple[str, str]]:
         if not tag:
             continue
         if found.group(1):
-            if tag in tags:
-                yield from close_to(len(tags) - 1 - tags[::-1].index(tag))
+            if count[tag]:
+                yield from close_to(last(tag))
             continue
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[\\s/>]|</{re.escape(tag)}$", re.I).search(html, at)
             at = n if stop is None else n if (gt := html.find(">", stop.start())) < 0 else gt + 1
             continue
-        if tag in ENDS_P and "p" in tags:
-            yield from close_to(len(tags) - 1 - tags[::-1].index("p"))
-        if tag in ENDS:
+        if tag in ENDS_P and count["p"]:
+            yield from close_to(last("p"))
+        if tag in ENDS and any(count[kind] for kind in ENDS[tag][0]):
             kinds, fence = ENDS[tag]
             for depth in range(len(tags) - 1, -1, -1):
                 if tags[depth] in fence:
@@ -95,6 +106,7 @@ def events(html: str) -> Iterator[tuple[str, str]]:
             continue
         label = label_of(tag, found.group(3))
         tags.append(tag)
+        count[tag] += 1
         open_labels.append(label)
         yield "open", label
     yield from close_to(0)

@@ -120,7 +120,7 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings(), text: str = "te
     linked still costs m * m / 2 sketch comparisons, spread over tasks, because no link
     may be lost.
 
-    A text without words has no shingles and is linked with nothing (``component_id`` is
+    Identifiers are whole numbers. A text without words has no shingles and is linked with nothing (``component_id`` is
     its own identifier). A missing text is one without words. Rows without identifier
     belong to the class of their text but represent it only together with others: their
     ``component_id`` is that of the class, or null. Rows repeated with one identifier get

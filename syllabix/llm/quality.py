@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from syllabix.llm.common import map_batches
 from syllabix.llm.training import Sample, labelled_sample
 
-# Word scores remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED = 400_000
+# Scores of words of usual length remembered per Python worker; at this number the memory is emptied.
+MAX_REMEMBERED, USUAL_LENGTH = 400_000, 64
 # A word that repeats the one before adds this feature so many times.
 REPEAT, REPEAT_TIMES = "\x00repeat", 16
 
@@ -130,7 +130,7 @@ class WordScores(dict):
             self.clear()
         hashes = feature_hashes(word, self.model.grams)
         found = complex(sum(self._scores[h % self._size] for h in hashes), len(hashes))
-        if len(word) < 64:
+        if len(word) <= USUAL_LENGTH:
             self[word] = found
         return found
 

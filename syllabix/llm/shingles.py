@@ -7,8 +7,8 @@ from hashlib import blake2b
 import numpy as np
 import xxhash
 
-# Words remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED = 400_000
+# Words of usual length remembered per Python worker; at this number the memory is emptied.
+MAX_REMEMBERED, USUAL_LENGTH = 400_000, 64
 # Shingles handled at once when MinHash samples are drawn.
 CHUNK = 1 << 16
 
@@ -19,7 +19,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_REMEMBERED:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= USUAL_LENGTH:
+            self[word] = found
         return found
 
 
