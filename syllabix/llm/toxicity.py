@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 from math import exp, expm1, log1p
 
 import numpy as np
@@ -67,27 +68,38 @@ def train(sample: Sample, settings: Settings) -> Model:
     distinct sample texts have none. Documents weigh as their class does among all
     labelled rows, and a feature gets weight only if it moves more than the share
     ``penalty`` of that mass (L1). Features that reach ``floor`` are then fitted again
-    without the penalty. Full gradient steps scaled per weight (Adam).
+    without the penalty. Full gradient steps scaled per weight (Adam). A sample of one
+    label alone predicts that label, an empty one predicts 0.
     """
     texts = dict(zip(sample.texts, sample.labels, strict=True))
-    split = [[{f for w in set(_WORDS(s.lower())) for f in features(w)} for _, s in sentences(t)] for t in texts]
-    seen = Counter(w for doc in split for w in set().union(*doc))
-    names = sorted(w for w, n in seen.items() if n >= settings.min_documents)
-    number = {w: i for i, w in enumerate(names)}
-    word, sentence, document = [], [], []
-    for d, doc in enumerate(split):
-        for words in doc:
-            found = [number[w] for w in words if w in number]
-            word += found
-            sentence += [len(document)] * len(found)
+    numbers: dict[str, int] = {}
+    seen = array("i")
+    word, sentence, document = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        of_text: set[int] = set()
+        for _, found in sentences(text):
+            mine = sorted({f for w in set(_WORDS(found.lower())) for f in features(w)})
+            placed = [numbers.setdefault(f, len(numbers)) for f in mine]
+            word.extend(placed)
+            sentence.extend(repeat(len(document), len(placed)))
             document.append(d)
+            of_text.update(placed)
+        seen.extend(repeat(0, len(numbers) - len(seen)))
+        for f in of_text:
+            seen[f] += 1
+    names = [f for f, n in zip(numbers, seen, strict=True) if n >= settings.min_documents]
+    place = np.full(len(numbers), -1, np.int32)
+    place[[numbers[f] for f in names]] = np.arange(len(names), dtype=np.int32)
+    del numbers
+    word, sentence, document = (np.frombuffer(a, np.int32) if a else np.empty(0, np.int32) for a in (word, sentence, document))
+    kept = place[word] >= 0
+    word, sentence = place[word[kept]], sentence[kept]
     y = np.array(list(texts.values()), dtype=float)
     positives = y.sum()
     if not positives or positives == len(y):
-        return Model({}, settings.start if not positives else -settings.start)
+        return Model({}, 30.0 if positives else -30.0)
     share = sample.positive_share
     importance = np.where(y == 1, share / positives, (1 - share) / (len(y) - positives))
-    word, sentence, document = (np.array(a, dtype=np.int64) for a in (word, sentence, document))
 
     def climb(weight: np.ndarray, word: np.ndarray, sentence: np.ndarray, penalty: float) -> np.ndarray:
         weight = weight.copy()
