@@ -24,7 +24,7 @@ END_OF_WORD = "</w>"
 # Code points below this are cut here: no combining marks, no context-dependent case.
 LATIN_END = 0x250
 # Words of usual length remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED, USUAL_LENGTH = 600_000, 64
+MAX_REMEMBERED, USUAL_LENGTH = 250_000, 64
 # Bits of a heap entry that hold the position; no text has a word of a terabyte.
 POSITION_BITS = 40
 POSITION_MASK = (1 << POSITION_BITS) - 1

@@ -28,8 +28,18 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+# Rows turned into Python objects at a time.
+SLICE_ROWS = 1_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def map_batches(df: DataFrame, function: Callable[..., dict[str, list]], schema: str, *args) -> DataFrame:
-    """``function(columns, *args)`` on every Arrow batch; it takes and returns a dict of equally long lists.
+    """``function(columns, *args)`` on slices of every Arrow batch; it takes and returns a dict of equally long lists.
 
     Text columns arrive as Python strings (None where missing), lists as lists. Batches
     are bounded by Spark's Arrow settings, so a task never holds its whole partition.
@@ -38,7 +48,7 @@ def map_batches(df: DataFrame, function: Callable[..., dict[str, list]], schema:
     target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = function({name: batch.column(name).to_pylist() for name in batch.schema.names}, *args)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
@@ -46,14 +56,14 @@ def map_batches(df: DataFrame, function: Callable[..., dict[str, list]], schema:
 
 
 def append_column(df: DataFrame, name: str, kind: str, function: Callable[..., list], column: str, *args) -> DataFrame:
-    """``df`` with one more column, ``function(values of column, *args)`` per Arrow batch; the others pass through untouched."""
+    """``df`` with one more column, ``function(values of column, *args)`` per slice of rows; the others pass through untouched."""
     ship_package(df.sparkSession)
     schema = StructType([*df.schema.fields]).add(name, kind)
     target = to_arrow_schema(schema)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             new = pa.array(function(batch.column(at).to_pylist(), *args), target[-1].type)
             arrays = [a.cast(f.type) for a, f in zip(batch.columns, target, strict=False)]
             yield pa.RecordBatch.from_arrays([*arrays, new], schema=target)
@@ -61,6 +71,18 @@ def append_column(df: DataFrame, name: str, kind: str, function: Callable[..., l
     return df.mapInArrow(run, schema)
 
 
+_ACTIVE: list[dict] = []
+
+
+def active(memory: dict) -> dict:
+    """The operator's memory of words; that of any other operator is emptied, as workers serve one after another."""
+    if not _ACTIVE or _ACTIVE[0] is not memory:
+        for other in _ACTIVE:
+            other.clear()
+        _ACTIVE[:] = [memory]
+    return memory
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column has it."""
     while name.lower() in {c.lower() for c in df.columns}:

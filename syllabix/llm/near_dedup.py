@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syllabix.llm.blocks import block_pairs, map_block_pairs
-from syllabix.llm.common import map_batches
+from syllabix.llm.common import active, map_batches
 from syllabix.llm.components import Forest, components, spanning_edges
-from syllabix.llm.shingles import band_keys, estimated_similarity, minhashes, odd_sketches, set_digest, shingle_set
+from syllabix.llm.shingles import HASHES, band_keys, estimated_similarity, minhashes, odd_sketches, set_digest, shingle_set
 from syllabix.session import pin
 
 # A filter passed to all tasks is a set of bucket numbers below this, whatever the corpus size.
@@ -40,6 +40,7 @@ class Settings:
 
 
 def _signatures(columns: dict[str, list], s: Settings) -> dict[str, list]:
+    active(HASHES)
     sets = [shingle_set(t, s.shingle) for t in columns["text"]]
     full = [i for i, x in enumerate(sets) if len(x)]
     samples = minhashes([sets[i] for i in full], s.samples) if full else np.empty((0, s.samples), np.uint64)
@@ -55,6 +56,7 @@ def _signatures(columns: dict[str, list], s: Settings) -> dict[str, list]:
 
 
 def _sets(columns: dict[str, list], size: int) -> dict[str, list]:
+    active(HASHES)
     return {"item": columns["item"], "shingles": [shingle_set(t, size).tobytes() for t in columns["text"]]}
 
 

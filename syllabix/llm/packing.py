@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syllabix.llm.bpe import identifiers
-from syllabix.llm.common import map_batches
+from syllabix.llm.common import active, map_batches
 from syllabix.session import pin
 
 # Pieces that one task packs together. Every group can leave a few sequences part empty.
@@ -37,7 +37,7 @@ class Capacity:
 
 
 def _pieces(columns: dict[str, list], path: str, size: int, end_id: int, keep_ids: bool) -> dict[str, list]:
-    of, end = identifiers(path).of, end_id.to_bytes(4, "little")
+    of, end = active(identifiers(path)).of, end_id.to_bytes(4, "little")
     rows: list[tuple] = []
     for doc, text in zip(columns["id"], columns["text"], strict=True):
         ids = memoryview(of(text) + end)

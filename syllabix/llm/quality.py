@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabix.llm.common import map_batches
+from syllabix.llm.common import active, map_batches
 from syllabix.llm.training import Sample, labelled_sample
 
 # Scores of words of usual length remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED, USUAL_LENGTH = 400_000, 64
+MAX_REMEMBERED, USUAL_LENGTH = 250_000, 64
 # A word that repeats the one before adds this feature so many times.
 REPEAT, REPEAT_TIMES = "\x00repeat", 16
 
@@ -148,7 +148,7 @@ def _word_scores(model: Model) -> WordScores:
 
 
 def _score(columns: dict[str, list], broadcast) -> dict[str, list]:
-    of = _word_scores(broadcast.value).of
+    of = active(_word_scores(broadcast.value)).of
     return {"id": columns["id"], "score": [of(t) for t in columns["text"]]}
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 # Words of usual length remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED, USUAL_LENGTH = 400_000, 64
+MAX_REMEMBERED, USUAL_LENGTH = 250_000, 64
 # Shingles handled at once when MinHash samples are drawn.
 CHUNK = 1 << 16
 
@@ -25,7 +25,7 @@ class WordHashes(dict):
         return found
 
 
-_HASHES = WordHashes()
+HASHES = WordHashes()
 
 
 def _odd_numbers(count: int, seed: int) -> np.ndarray:
@@ -50,7 +50,7 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    numbers = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    numbers = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     factors = _odd_numbers(width, 1000 + width)
     total = np.zeros(len(words) - width + 1, np.uint64)

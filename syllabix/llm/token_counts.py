@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syllabix.llm.bpe import lengths
-from syllabix.llm.common import map_batches
+from syllabix.llm.common import active, map_batches
 
 
 def _counts(columns: dict[str, list], path: str) -> dict[str, list]:
-    of = lengths(path).of
+    of = active(lengths(path)).of
     return {
         "id": columns["id"],
         "n_bytes": [len(t.encode("utf-8")) for t in columns["text"]],

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syllabix.llm.common import append_column, map_batches, unused_name
+from syllabix.llm.common import active, append_column, map_batches, unused_name
 from syllabix.llm.training import Sample, labelled_sample
 
 _SENTENCES = re.compile(r"[^.!?\n]+[.!?\n]*").finditer
@@ -21,7 +21,7 @@ _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*").findall
 # Characters of a word's beginning that stand for words of one stem.
 PREFIX = 4
 # Words remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def _word_weights(model: Model) -> WordWeights:
 
 
 def _score(columns: dict[str, list], broadcast, threshold: float | None) -> dict[str, list]:
-    weights = _word_weights(broadcast.value)
+    weights = active(_word_weights(broadcast.value))
     scored = [score_text(t, weights, threshold) for t in columns["text"]]
     names = ("start", "length", "score")
     return {
@@ -190,7 +190,7 @@ def score_toxicity(
 
 
 def _scores(texts: list[str | None], broadcast) -> list[float]:
-    weights = _word_weights(broadcast.value)
+    weights = active(_word_weights(broadcast.value))
     return [score_text(t or "", weights, None)[0] for t in texts]
 
 
