@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache, reduce
+from math import ceil
 
 import pandas as pd
 import xxhash
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join
 from syllabix.llm.common import map_batches
-from syllabix.llm.html_tree import INLINE, MAX_DEPTH, clean, events, merge, page_tree, read, slots
+from syllabix.llm.html_tree import GROUP, INLINE, TEXT, Node, folded, match, merge, raw_tree, read, relabelled, walk
 from syllabix.session import pin, ship_package
 
 # Fixed words: elements and class, id or role words of what is not the article.
@@ -27,12 +28,21 @@ MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody content main maincontent post postbody entry story text body".split())
 # Elements that may stand for the whole page, so that their words say nothing about a part.
 WHOLE = frozenset("html body page".split())
-# A text outside a main element that is the same on at least so many pages of a host belongs to the template.
+# Elements whose text may be the same on all pages and still belong to the article, if they stand in it.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 th td dt dd caption figcaption".split())
+# Elements that can hold an article, and those of which several in a row are entries of a list.
+REGIONS = frozenset("html body page div section article main td center".split())
+ENTRIES = frozenset("div section li".split())
+# A slot with one text on at least so many different pages of a host belongs to the template.
 TEMPLATE_PAGES = 5
-# Partial wrappers per host before they are joined into one.
-SALTS = 16
-
-_MENU = re.compile(r"/li(?:\.[^/]*)?/(?:.*/)?a(?:\.[^/]*)?(?:/|$)").search
+# Part of the varying text that an element must hold to be the place of the article.
+REGION_SHARE = 0.6
+# A repeated entry's text counts one in so many, and template text is known from varying text of at least one in so many characters.
+ENTRY_WEIGHT, LEAST_VARYING = 4, 10
+# Words of labels on fewer than one in so many of the host's pages are left out of its expression.
+RARE_WORD = 20
+# Expressions that one task joins at a time, and parts that a wrapper keeps.
+JOINED, MAX_PARTS = 32, 1_000
 
 
 def host_of(url: str = "url") -> Column:
@@ -40,131 +50,316 @@ def host_of(url: str = "url") -> Column:
 
 
 def words_of(label: str) -> set[str]:
+    """The whole class, id and role words of a label, without numbers at their ends."""
     return set(re.split(r"[^a-z]+", label.partition(".")[2]))
 
 
-def is_outside(path: str) -> bool:
-    """Whether an element of the path is known not to belong to an article."""
-    inside = False
-    for label in path.split("/")[1:]:
-        tag = label.partition(".")[0]
-        if tag in OUTSIDE_TAGS and not (inside and tag == "header"):
-            return True
-        if tag not in WHOLE and tag not in MAIN_TAGS and words_of(label) & OUTSIDE_WORDS:
-            return True
-        if tag in MAIN_TAGS and words_of(label) & OUTSIDE_WORDS - {"header", "ad", "form"}:
-            return True
-        inside = inside or tag in MAIN_TAGS
-    return False
-
-
-def main_depth(path: str) -> int:
-    """2 inside an article or main element, 1 inside one whose class says so, 0 otherwise."""
-    labels = path.split("/")[1:]
-    if any(label.partition(".")[0] in MAIN_TAGS for label in labels):
+def tag_of(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def named_outside(label: str) -> bool:
+    """Whether a word of the element says that it does not belong to an article."""
+    return tag_of(label) not in WHOLE and bool(words_of(label) & OUTSIDE_WORDS)
+
+
+def main_depth(label: str) -> int:
+    """2 for article and main elements, 1 for one whose class says so, 0 otherwise."""
+    if tag_of(label) in MAIN_TAGS:
         return 2
-    return int(any(words_of(x) & MAIN_WORDS for x in labels if x.partition(".")[0] not in WHOLE))
+    return int(tag_of(label) not in WHOLE and bool(words_of(label) & MAIN_WORDS))
+
 
+def outside_parts(root: Node, chars: dict[int, int]) -> set[int]:
+    """Identities of the parts that tags or words put outside the article, with all below them.
+
+    Tags decide, but for a header inside a main element. A word never drops an element that
+    is or holds an article or main element, nor, where there is none, the greater part of
+    the text (``chars`` by identity of text parts).
+    """
+    holds: dict[int, bool] = {}
+    weight: dict[int, int] = {}
+    for node in reversed(list(walk(root))):
+        holds[id(node)] = tag_of(node.label) in MAIN_TAGS or any(holds[id(c)] for c in node.children)
+        weight[id(node)] = chars.get(id(node), 0) + sum(weight[id(c)] for c in node.children)
+    half, out = weight[id(root)], set()
+
+    def visit(node: Node, inside: bool, gone: bool) -> None:
+        tag = tag_of(node.label)
+        if not gone:
+            gone = tag in OUTSIDE_TAGS and not (inside and tag == "header")
+            if not gone and named_outside(node.label):
+                gone = True
+        if gone:
+            out.add(id(node))
+        for child in node.children:
+            visit(child, inside or tag in MAIN_TAGS, gone)
+
+    visit(root, False, False)
+    return out
 
-def main_slots(paths: list[str], constant: set[str]) -> dict[str, int]:
-    """Depth by slot that may hold the article: none that is outside, and beside main elements no menus or template text."""
-    found = {p: main_depth(p) for p in paths if not is_outside(p)}
-    return {p: d for p, d in found.items() if d or not (_MENU(p) or p in constant)}
+
+def _text_parts(root: Node) -> list[Node]:
+    return [n for n in walk(root) if n.label == TEXT]
 
 
 def _analysed(columns: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"host": columns["host"], "wrapper": [], "slots": []}
+    out: dict[str, list] = {"host": columns["host"], "page": [], "shape": [], "words": [], "texts": []}
     for html in columns["html"]:
-        tree, texts = page_tree(html)
-        found: dict[str, str] = {}
-        for path, text in texts:
-            found[path] = found.get(path, "") + " ".join(text.split()) + "\n"
-        out["wrapper"].append(tree.write())
-        out["slots"].append([
-            {"path": p, "text": xxhash.xxh64_intdigest(t) - (1 << 63)} for p, t in found.items()])
+        root, items = raw_tree(html)
+        found = {id(n): "" for n in _text_parts(root)}
+        for kind, part, value in items:
+            if kind == "text":
+                found[id(part)] += " ".join(value.split()) + "\n"
+        out["page"].append(_hash("\0".join(found.values())))
+        out["shape"].append(root.write())
+        out["words"].append(sorted({w for n in walk(root) for w in n.label.split(".")[1:]}))
+        out["texts"].append([{"text": _hash(t), "chars": len(t)} for t in found.values()])
     return out
 
 
-def _joined(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    whole = reduce(merge, map(read, sorted(rows["wrapper"])))
-    return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "wrapper": [whole.write()]})
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _expressions(columns: dict[str, list]) -> dict[str, list]:
+    written = [
+        folded(relabelled(read(shape), set(kept or ()))).write()
+        for shape, kept in zip(columns["shape"], columns["kept"], strict=True)]
+    return {"host": columns["host"], "wrapper": written}
+
+
+def _coarse(root: Node) -> Node:
+    """The expression down to a depth at which it has no more than ``MAX_PARTS`` parts."""
+    level, total = [root], 1
+    while level:
+        below = [c for n in level for c in n.children]
+        total += len(below)
+        if total > MAX_PARTS:
+            for node in level:
+                node.children = []
+        level = [c for n in level for c in n.children]
+    return root
+
+
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    whole = _coarse(reduce(merge, map(read, sorted(rows["wrapper"]))))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [whole.write()]})
+
+
+def _one_per_host(expressions: DataFrame) -> DataFrame:
+    """Joins a host's expressions, ``JOINED`` at a time, in as many rounds as their number needs."""
+    while True:
+        counted = expressions.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
+        most = counted.agg(F.max("_n")).first()[0] or 0
+        parts = F.ceil(F.col("_n") / JOINED)
+        dealt = lookup_join(expressions, counted, ["host"]).withColumn("_part", F.pmod(F.xxhash64("wrapper"), parts))
+        joined = dealt.groupBy("host", "_part").applyInPandas(_joined, "host string, wrapper string")
+        expressions = pin(joined.distinct())
+        if ceil(most / JOINED) <= 1:
+            return expressions
+
+
+@lru_cache(maxsize=200)
+def _wrapper(written: str) -> tuple[Node, dict[int, int]]:
+    """A wrapper and the numbers of its parts."""
+    root = read(written)
+    return root, {id(n): i for i, n in enumerate(walk(root))}
+
+
+def aligned(raw: Node, wrapper: Node, numbers: dict[int, int]) -> dict[int, int]:
+    """Number of the wrapper's part for every part of the page; one without has the number of the part around it."""
+    kept = {w for n in walk(wrapper) for w in n.label.split(".")[1:]}
+    plain = relabelled(raw, kept)
+    pairs = {id(a): numbers[id(b)] for a, b in match(plain, wrapper)}
+    found: dict[int, int] = {}
+    stack = [(raw, plain, 0)]
+    while stack:
+        node, same, around = stack.pop()
+        found[id(node)] = at = pairs.get(id(same), around)
+        # Texts are one object in both trees.
+        stack.extend((c, d, at) for c, d in zip(node.children, same.children, strict=True))
+    return found
+
+
+def _observed(columns: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {"host": columns["host"], "slots": []}
+    for shape, texts, written in zip(columns["shape"], columns["texts"], columns["wrapper"], strict=True):
+        raw = read(shape)
+        slot_of = aligned(raw, *_wrapper(written))
+        seen: dict[int, list] = {}
+        for part, text in zip(_text_parts(raw), texts, strict=True):
+            seen.setdefault(slot_of[id(part)], []).append(text)
+        out["slots"].append([
+            {"slot": s, "text": _hash(str([t["text"] for t in ts])), "chars": sum(t["chars"] for t in ts)} for s, ts in seen.items()])
+    return out
 
 
-def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``host``, ``wrapper`` and ``main`` (slots that may hold the article, with their depth), one row per host.
-
-    Every page's token stream is folded into an expression: text becomes a slot and runs
-    of like siblings a repeated group. The distinct expressions of a host are then aligned
-    one after another, and mismatches become optional or repeated parts; no alternatives
-    are made. All pages take part, but equal expressions meet as one row, and a host's
-    are joined in ``SALTS`` parts first. Which texts are the same on all pages is summed
-    per slot before the shuffle.
+def locate(wrapper: Node, numbers: dict[int, int], slots: dict[int, tuple[bool, int]]) -> tuple[int, list[int]]:
+    """Number of the part that holds the article (0 if none does), and of the parts that are template or lists of links.
+
+    ``slots`` has, by number, whether the text is the same on all of the host's pages and how
+    many characters it has on all together. From the top, the part with the most varying
+    text is entered while it holds ``REGION_SHARE`` of it and leaves no varying h1 beside it.
+    Text in repeated entries counts one in ``ENTRY_WEIGHT``; text in links and in parts that words
+    put outside counts only where there is no other. A main element without varying text is no template. Words settle the rest: an article or main element around the
+    place, or the only one in it, is taken instead.
     """
-    ship_package(pages.sparkSession)
-    rows = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    analysed = pin(map_batches(rows, _analysed, "host string, wrapper string, slots array<struct<path: string, text: bigint>>"))
-    distinct = analysed.select("host", "wrapper").distinct()
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("host", "salt").applyInPandas(
-        lambda rows: _joined(rows, ["host", "salt"]), "host string, salt int, wrapper string")
-    wrappers = parts.select("host", "wrapper").groupBy("host").applyInPandas(
-        lambda rows: _joined(rows, ["host"]), "host string, wrapper string")
-    seen = analysed.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot.path").agg(
-        F.min("slot.text").alias("low"), F.max("slot.text").alias("high"), F.count(F.lit(1)).alias("pages"))
-    constant = seen.filter(f"low = high AND pages >= {TEMPLATE_PAGES}").groupBy("host").agg(F.collect_list("path").alias("constant"))
-    decided = map_batches(
-        wrappers.join(constant, "host", "left"), _decided, "host string, wrapper string, main array<struct<path: string, depth: int>>")
-    return pin(decided)
+    nodes = list(walk(wrapper))
+    below: dict[int, list[int]] = {}
+    varying = [0] * len(nodes)
+    linked, total, single = [0] * len(nodes), [0] * len(nodes), [True] * len(nodes)
+    for at, (fixed, chars) in slots.items():
+        total[at], varying[at], single[at] = chars, 0 if fixed else chars, fixed
+    chars = {id(n): varying[i] for i, n in enumerate(nodes)}
+    outside = outside_parts(wrapper, chars)
+    parent: dict[int, int] = {}
+    for i, node in enumerate(nodes):
+        below[i] = [numbers[id(c)] for c in node.children]
+        parent.update(dict.fromkeys(below[i], i))
+
+    def above(i: int) -> list[int]:
+        return [i, *above(parent[i])] if i in parent else [i]
+
+    def entry(i: int) -> bool:
+        return any(tag_of(nodes[k].label) in ENTRIES and (nodes[k].repeated or nodes[parent.get(k, k)].label == GROUP) for k in above(i))
+
+    plain, heads = [0.0] * len(nodes), [False] * len(nodes)
+    for i in slots:
+        tags = {tag_of(nodes[k].label) for k in above(i)}
+        if "a" in tags:
+            linked[i] = total[i]
+        if id(nodes[i]) not in outside and varying[i] and "a" not in tags:
+            plain[i], heads[i] = varying[i] / ENTRY_WEIGHT if entry(i) else varying[i], "h1" in tags
+    if not any(plain):
+        plain = [v if id(n) not in outside else 0.0 for v, n in zip(varying, nodes, strict=True)]
+    for i in range(len(nodes) - 1, 0, -1):
+        up = parent[i]
+        plain[up] += plain[i]
+        linked[up] += linked[i]
+        total[up] += total[i]
+        heads[up] = heads[up] or heads[i]
+        if total[i]:
+            single[up] = single[up] and single[i]
+    at = 0
+    while below[at]:
+        best = max(below[at], key=lambda i: plain[i])
+        label = tag_of(nodes[best].label)
+        beside = any(heads[i] for i in below[at] if i != best)
+        if (label not in REGIONS and nodes[best].label != GROUP) or plain[best] < REGION_SHARE * max(plain[at], 1) or beside:
+            break
+        at = best
+    named = [i for i, n in enumerate(nodes) if main_depth(n.label) == 2 and id(n) not in outside and plain[i]]
+    around = [i for i in above(at) if i in named]
+    within = [i for i in named if at in above(i) and not any(k in named for k in above(i)[1:])]
+    if around:
+        at = around[0]
+    elif len(within) == 1:
+        at = within[0]
+    while nodes[at].label == GROUP:
+        at = parent[at]
+    if tag_of(nodes[at].label) in WHOLE:
+        at = 0
+    for i, node in enumerate(nodes):
+        if main_depth(node.label) == 2 and single[i]:
+            for part in walk(node):
+                single[numbers[id(part)]] = False
+    dropped = [
+        i for i, n in enumerate(nodes)
+        if i and total[i] and n.label not in (TEXT, GROUP) and tag_of(n.label) not in INLINE and tag_of(n.label) not in WHOLE
+        and i not in above(at)
+        and ((single[i] and tag_of(n.label) not in HEADINGS) or (linked[i] > 0.5 * total[i] and tag_of(n.label) in {"ul", "ol", "div", "section", "li"}))]
+    return at, dropped
 
 
 def _decided(columns: dict[str, list]) -> dict[str, list]:
-    main = []
-    for wrapper, constant in zip(columns["wrapper"], columns["constant"], strict=True):
-        found = main_slots(list(dict.fromkeys(slots(read(wrapper)))), set(constant or ()))
-        main.append([{"path": p, "depth": d} for p, d in sorted(found.items())])
-    return {"host": columns["host"], "wrapper": columns["wrapper"], "main": main}
-
+    out: dict[str, list] = {"host": columns["host"], "wrapper": columns["wrapper"], "region": [], "dropped": []}
+    for written, slots in zip(columns["wrapper"], columns["slots"], strict=True):
+        known = {s["slot"]: (s["low"] == s["high"] and s["pages"] >= TEMPLATE_PAGES, s["chars"]) for s in slots or ()}
+        if LEAST_VARYING * sum(c for fixed, c in known.values() if not fixed) < sum(c for fixed, c in known.values() if fixed):
+            # Next to nothing differs, as among copies of one article: no place is called fixed.
+            known = {s: (False, c) for s, (_, c) in known.items()}
+        region, dropped = locate(*_wrapper(written), known)
+        out["region"].append(region)
+        out["dropped"].append(dropped)
+    return out
 
-def article_text(html: str, main: dict[str, int]) -> str:
-    """Texts of the page's deepest kind of main slots, in page order.
 
-    A page with a main element takes its text from such elements alone, even if they are
-    empty. White space is one space, and so is the border of a block.
+def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """``host``, ``wrapper``, ``region`` (the wrapper's part that holds the article, by number, 0 if none
+    does) and ``dropped`` (its parts that are template or links), one row per host.
+
+    Every page's elements are folded into an
+    expression of tags and of the class, id and role words found on enough of the host's
+    pages: text becomes a slot and runs of like siblings a repeated group. The distinct
+    expressions of a host are aligned, ``JOINED`` at a time, and mismatches become
+    optional or repeated parts; no alternatives are made, and width and number of parts
+    are bounded. Then every page is matched against the wrapper, and per slot the texts
+    and characters of all pages are summed up before the shuffle.
+    """
+    ship_package(pages.sparkSession)
+    rows = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    analysed = map_batches(
+        rows, _analysed, "host string, page bigint, shape string, words array<string>, texts array<struct<text: bigint, chars: int>>")
+    distinct = pin(analysed)
+    counted = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
+    words = distinct.select("host", F.explode("words").alias("word")).groupBy("host", "word").agg(F.count(F.lit(1)).alias("_n"))
+    kept = words.join(counted, "host").groupBy("host").agg(
+        F.sort_array(F.collect_list("word")).alias("kept"))
+    expressions = map_batches(
+        lookup_join(distinct, kept, ["host"]).select("host", "shape", "kept"), _expressions, "host string, wrapper string")
+    wrappers = _one_per_host(pin(expressions.distinct()))
+    observed = map_batches(
+        lookup_join(distinct, wrappers, ["host"]).select("host", "shape", "texts", "wrapper"), _observed,
+        "host string, slots array<struct<slot: int, text: bigint, chars: bigint>>")
+    seen = observed.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(
+        F.min("s.text").alias("low"), F.max("s.text").alias("high"), F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"))
+    slots = seen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "low", "high", "pages", "chars"))).alias("slots"))
+    return pin(map_batches(
+        wrappers.join(slots, "host", "left"), _decided, "host string, wrapper string, region int, dropped array<int>"))
+
+
+def article_text(html: str, written: str | None, region: int, dropped: list[int]) -> str:
+    """Texts of the page that stand in its wrapper's region, in page order, but for what is template, links or named outside.
+
+    A page that has nothing there, or whose wrapper has no region, gives the texts of its
+    deepest kind of main element, even if they are empty, and without one all others.
+    White space is one space, and so is the border of a block.
     """
-    parts: list[list[str]] = [[], [], []]
-    path, labels, best = [""], [], 0
-
-    def border(label: str) -> None:
-        if label not in INLINE:
-            for part in parts:
-                part.append(" ")
-
-    for kind, value in events(html):
-        if kind == "open":
-            label = clean(value)
-            path.append(path[-1] + "/" + label if len(path) < MAX_DEPTH else path[-1])
-            labels.append(label.partition(".")[0])
-            border(labels[-1])
-            best = max(best, _depth_if_inside(path[-1]))
-        elif kind == "close":
-            path.pop()
-            border(labels.pop())
-        elif kind == "break":
-            border("")
-        elif (depth := main.get(path[-1])) is not None:
-            parts[depth].append(value)
-    return " ".join("".join(parts[best]).split())
-
-
-@lru_cache(maxsize=50_000)
-def _depth_if_inside(path: str) -> int:
-    return 0 if is_outside(path) else main_depth(path)
+    root, items = raw_tree(html)
+    chars: dict[int, int] = {}
+    for kind, part, value in items:
+        if kind == "text":
+            chars[id(part)] = chars.get(id(part), 0) + len(value)
+    out = outside_parts(root, chars)
+    slot_of = aligned(root, *_wrapper(written)) if written else {}
+    gone = set(dropped)
+    inside: set[int] = set()
+    depth: dict[int, int] = {}
+    best = 0
+    stack = [(root, False, 0, False)]
+    while stack:
+        node, found, main, lost = stack.pop()
+        at = slot_of.get(id(node), 0)
+        found = found or bool(region and at == region)
+        lost = lost or id(node) in out or (at in gone and at != region)
+        main = max(main, main_depth(node.label))
+        if not lost:
+            best = max(best, main)
+            depth[id(node)] = main
+            if found:
+                inside.add(id(node))
+        stack.extend((c, found, main, lost) for c in node.children)
+    placed = any(id(part) in inside for kind, part, _ in items if kind == "text")
+    wanted = inside if placed else {n for n, d in depth.items() if d == best}
+    parts = [value if kind == "text" else " " for kind, part, value in items if kind == "border" or id(part) in wanted]
+    return " ".join("".join(parts).split())
 
 
 def _texts(columns: dict[str, list]) -> dict[str, list]:
     texts = [
-        article_text(html, {m["path"]: m["depth"] for m in main or ()})
-        for html, main in zip(columns["html"], columns["main"], strict=True)
+        article_text(html, written, region or 0, dropped or [])
+        for html, written, region, dropped in zip(*(columns[c] for c in ("html", "wrapper", "region", "dropped")), strict=True)
     ]
     return {"page_id": columns["page_id"], "url": columns["url"], "text": texts}
 
@@ -178,7 +373,7 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", page_id
     Character references are decoded. Wrappers are looked up by a measured broadcast, or
     by a shuffle where the hosts are too many.
     """
-    wrappers = infer_wrappers(pages, html, url).select("host", "main")
+    wrappers = infer_wrappers(pages, html, url)
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"),
         host_of(url).alias("host"))

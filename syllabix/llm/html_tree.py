@@ -27,6 +27,10 @@ ENDS = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)),
     "option": (("option",), ("select",)),
 }
+# Elements that hold parts of a page: neighbours of one label are a repetition only if their contents are alike.
+CONTAINERS = frozenset("div section article main aside header footer nav ul ol dl table form".split())
+# A list of more parts than this becomes one repeated group with each label once.
+MAX_WIDTH = 48
 # Elements nested deeper than this count as part of the one at this depth.
 MAX_DEPTH = 150
 
@@ -147,10 +151,15 @@ def read(written: str) -> Node:
     return stack[0].children[0]
 
 
-def page_tree(html: str) -> tuple[Node, list[tuple[str, str]]]:
-    """The page's folded expression, and path and text of every non-blank text in page order."""
+def raw_tree(html: str) -> tuple[Node, list[tuple[str, Node, str]]]:
+    """The page's elements as they stand, and ``(kind, part, value)`` of its texts and borders of blocks in page order.
+
+    The parts of texts are their ``#`` nodes, those of borders the elements around them. A
+    blank text has no node and is a border.
+    """
     root = Node("page")
-    stack, path, texts = [root], [""], []
+    stack: list[Node] = [root]
+    items: list[tuple[str, Node, str]] = []
     for kind, value in events(html):
         if kind == "open":
             node = stack[-1]
@@ -158,18 +167,43 @@ def page_tree(html: str) -> tuple[Node, list[tuple[str, str]]]:
                 node = Node(clean(value))
                 stack[-1].children.append(node)
             stack.append(node)
-            path.append(path[-1] + "/" + node.label if node is not stack[-2] else path[-1])
-        elif kind == "close":
-            node = stack.pop()
-            path.pop()
-            if node is not stack[-1]:
-                node.children = fold(node.children)
         elif kind == "text" and value.strip():
             if not stack[-1].children or stack[-1].children[-1].label != TEXT:
                 stack[-1].children.append(Node(TEXT))
-            texts.append((path[-1], value))
-    root.children = fold(root.children)
-    return root, texts
+            items.append(("text", stack[-1].children[-1], value))
+            continue
+        if kind in ("break", "text") or value.partition(".")[0] not in INLINE:
+            items.append(("border", stack[-1], ""))
+        if kind == "close":
+            stack.pop()
+    return root, items
+
+
+def relabelled(node: Node, kept: set[str]) -> Node:
+    """The elements with none but the kept words in their labels."""
+    tag, *words = node.label.split(".")
+    label = ".".join([tag, *(w for w in words if w in kept)])
+    return Node(label, [c if c.label == TEXT else relabelled(c, kept) for c in node.children], node.optional, node.repeated)
+
+
+def folded(node: Node) -> Node:
+    """The expression of a page's elements."""
+    return Node(node.label, bounded(fold([folded(c) for c in node.children])))
+
+
+def page_tree(html: str) -> tuple[Node, list[tuple[str, str]]]:
+    """The page's folded expression, and the innermost element's label and text of every non-blank text in page order."""
+    root, items = raw_tree(html)
+    inside = {id(t): n.label for n in walk(root) for t in n.children if t.label == TEXT}
+    return folded(root), [(inside[id(part)], value) for kind, part, value in items if kind == "text"]
+
+
+def walk(node: Node) -> Iterator[Node]:
+    """All parts of an expression, from the top in order."""
+    stack = [node]
+    while stack:
+        yield (node := stack.pop())
+        stack.extend(reversed(node.children))
 
 
 def clean(label: str) -> str:
@@ -181,7 +215,7 @@ def fold(nodes: list[Node]) -> list[Node]:
     """Runs of equal labels, and then of equal groups of labels, become repeated parts."""
     out: list[Node] = []
     for node in nodes:
-        if out and out[-1].label == node.label and node.label != TEXT:
+        if out and out[-1].label == node.label and node.label != TEXT and alike(out[-1], node):
             out[-1] = merge(out[-1], node)
             out[-1].repeated = True
         elif not (out and node.label == TEXT == out[-1].label):
@@ -190,10 +224,10 @@ def fold(nodes: list[Node]) -> list[Node]:
         i = 0
         while i + 2 * size <= len(out):
             group = out[i : i + size]
-            if [x.label for x in group] != [x.label for x in out[i + size : i + 2 * size]] or any(x.label == GROUP for x in group):
+            if not repeats(group, out[i + size : i + 2 * size]) or any(x.label == GROUP for x in group):
                 i += 1
                 continue
-            while [x.label for x in group] == [x.label for x in out[i + size : i + 2 * size]]:
+            while repeats(group, out[i + size : i + 2 * size]):
                 group = [merge(a, b) for a, b in zip(group, out[i + size : i + 2 * size], strict=True)]
                 del out[i + size : i + 2 * size]
             out[i : i + size] = [Node(GROUP, group, repeated=True)]
@@ -201,31 +235,109 @@ def fold(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def score(a: Node, b: Node) -> float:
+    """How well two parts match: 0 for other labels, 2 for one label and, in containers, the same kinds of children."""
+    if a.label != b.label:
+        return 0.0
+    if a.label.partition(".")[0] not in CONTAINERS:
+        return 2.0
+    kinds, others = ({c.label for c in flat(x.children)} for x in (a, b))
+    return 1.0 + (len(kinds & others) / len(kinds | others) if kinds or others else 1.0)
+
+
+def alike(a: Node, b: Node) -> bool:
+    """Whether neighbours of one label are a repetition: containers must share most kinds of children."""
+    if a.label.partition(".")[0] not in CONTAINERS:
+        return True
+    kinds, others = ({c.label for c in flat(x.children)} for x in (a, b))
+    return 2 * len(kinds & others) > len(kinds | others) or kinds == others
+
+
+def repeats(group: list[Node], others: list[Node]) -> bool:
+    """Whether the second list repeats the first part by part."""
+    return [x.label for x in group] == [x.label for x in others] and all(map(alike, group, others))
+
+
+def flat(nodes: list[Node]) -> list[Node]:
+    """The list with the members of groups in their place."""
+    return [x for n in nodes for x in (n.children if n.label == GROUP else [n])]
+
+
+def bounded(nodes: list[Node]) -> list[Node]:
+    """A list of too many parts as ``(a? b? c?)*``, each label once; such a group takes in what it is aligned with."""
+    if len(flat(nodes)) <= MAX_WIDTH and not any(n.label == GROUP and n.optional and all(c.optional for c in n.children) for n in nodes):
+        return nodes
+    found: dict[str, Node] = {}
+    for node in flat(nodes):
+        old = found.get(node.label)
+        found[node.label] = Node(node.label, node.children, True, True) if old is None else merge(old, node)
+    parts = [Node(n.label, n.children, True, n.label != TEXT) for n in found.values()]
+    return [Node(GROUP, parts, True, True)]
+
+
+def match(page: Node, wrapper: Node) -> Iterator[tuple[Node, Node]]:
+    """Pairs of a page's parts and the wrapper's parts at which they are aligned, from the top.
+
+    Parts of a level keep their order; a repeated part takes any number, a group starts
+    again after each of its members. As many parts as can be are aligned.
+    """
+    yield page, wrapper
+    parts: list[Node] = []
+    after: list[int] = []
+    for node in wrapper.children:
+        start = len(parts)
+        for member in node.children if node.label == GROUP else [node]:
+            after.append(start if node.label == GROUP else len(parts) + (not node.repeated))
+            parts.append(member)
+    a, width = page.children, len(parts)
+    best = [[0.0] * (width + 1)]
+    for child in reversed(a):
+        below, row = best[-1], [0.0] * (width + 1)
+        for j in range(width - 1, -1, -1):
+            row[j] = max(row[j + 1], below[j])
+            if parts[j].label == child.label:
+                row[j] = max(row[j], below[after[j]] + score(child, parts[j]))
+        best.append(row)
+    best.reverse()
+    i = j = 0
+    while i < len(a) and j < width:
+        if a[i].label == parts[j].label and best[i][j] == best[i + 1][after[j]] + score(a[i], parts[j]):
+            yield from match(a[i], parts[j])
+            i, j = i + 1, after[j]
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
+
+
 def merge(a: Node, b: Node) -> Node:
     """The expression of two of one label: matches are joined, mismatches become optional or repeated parts."""
     children = align(a.children, b.children)
-    return Node(a.label, fold(children), a.optional or b.optional, a.repeated or b.repeated)
+    return Node(a.label, bounded(fold(children)), a.optional or b.optional, a.repeated or b.repeated)
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """One list for two: a longest common sequence of labels is joined, everything else is optional."""
+    """One list for two: a best common sequence of labels is joined, everything else is optional.
+
+    Of parts with one label those with like contents match.
+    """
     head: list[Node] = []
     i = j = 0
-    while i < len(a) and j < len(b) and a[i].label == b[j].label:
+    while i < len(a) and j < len(b) and score(a[i], b[j]) == 2:
         head.append(merge(a[i], b[j]))
         i, j = i + 1, j + 1
     a, b = a[i:], b[j:]
     tail: list[Node] = []
-    while a and b and a[-1].label == b[-1].label:
+    while a and b and score(a[-1], b[-1]) == 2:
         tail.insert(0, merge(a[-1], b[-1]))
         a, b = a[:-1], b[:-1]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], (near := score(a[i], b[j])) and best[i + 1][j + 1] + near)
     i = j = 0
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i].label == b[j].label:
+        if i < len(a) and j < len(b) and (near := score(a[i], b[j])) and best[i][j] == best[i + 1][j + 1] + near:
             head.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
@@ -235,14 +347,3 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
             head.append(Node(b[j].label, b[j].children, True, b[j].repeated))
             j += 1
     return head + tail
-
-
-def slots(node: Node, path: str = "") -> Iterator[str]:
-    """Paths of the expression's text slots; groups are not part of a path."""
-    for child in node.children:
-        if child.label == TEXT:
-            yield path
-        elif child.label == GROUP:
-            yield from slots(child, path)
-        else:
-            yield from slots(child, path + "/" + child.label)

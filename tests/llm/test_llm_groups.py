@@ -161,6 +161,31 @@ def test_articles_of_several_templates(spark):
     assert html_extraction.extract_text(df.limit(0)).count() == 0
 
 
+def texts_of(spark, pages, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", html) for i, html in enumerate(pages)]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    return [r.text for r in got.orderBy("page_id").collect()]
+
+
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def test_wrapper_places_articles_where_classes_say_nothing(spark):
+    pages, want = [], []
+    for i in range(12):
+        title, parts = words(i, 4), [words(100 * i + k, 25) for k in range(2 + i % 3)]
+        notice = f"<div><em>{words(7000 + i, 5)}</em></div>" if i % 4 == 0 else ""
+        teasers = "".join(f"<div><h3>{words(9000 + 9 * i + k, 3)}</h3><p>{words(8000 + 9 * i + k, 9)}</p></div>" for k in range(2 + i % 2))
+        talk = "".join(f"<div><b>{words(5000 + 9 * i + k, 1)}</b><p>{words(6000 + 9 * i + k, 12)}</p></div>" for k in range(i % 4))
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        pages.append(f"<body>{notice}<div><ul><li><a>Home</a><li><a>All {i}</a></ul></div><div><h1>{title}</h1>{body}<div><span>Share this</span></div></div>"
+                     f"<div>{teasers}</div><div><h4>Replies</h4>{talk}</div></body>")
+        want.append(" ".join([title, *parts]))
+    assert texts_of(spark, pages) == want
+
+
 def test_wrappers_fold_repeats_and_mark_options():
     pages = ["<ul><li>a<li>b</ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<ul><li>a</ul><img><em>note</em><h2>x</h2><p>1</p>"]
     trees = [html_tree.page_tree(p)[0] for p in pages]
