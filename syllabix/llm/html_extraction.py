@@ -51,7 +51,7 @@ def host_of(url: str = "url") -> Column:
 
 def words_of(label: str) -> set[str]:
     """The whole class, id and role words of a label, without numbers at their ends."""
-    return set(re.split(r"[^a-z]+", label.partition(".")[2]))
+    return {w.rstrip("-_0") for w in label.split(".")[1:]}
 
 
 def tag_of(label: str) -> str:
@@ -89,7 +89,8 @@ def outside_parts(root: Node, chars: dict[int, int]) -> set[int]:
         if not gone:
             gone = tag in OUTSIDE_TAGS and not (inside and tag == "header")
             if not gone and named_outside(node.label):
-                gone = True
+                major = not holds[id(root)] and 2 * weight[id(node)] > half
+                gone = not (holds[id(node)] or major)
         if gone:
             out.add(id(node))
         for child in node.children:

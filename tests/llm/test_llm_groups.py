@@ -186,6 +186,16 @@ def test_wrapper_places_articles_where_classes_say_nothing(spark):
     assert texts_of(spark, pages) == want
 
 
+@pytest.mark.parametrize("layout", [
+    "<div class='layout has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<main class='with-sidebar'>{}</main>",
+    "<article class='post tag-privacy category-social'>{}</article>", "<div id='search-result'>{}</div>", "<article class='search'>{}</article>",
+    "<div class='widget'><article>{}</article></div>", "<div class='search'>{}</div>"])
+def test_words_never_drop_the_article(spark, layout):
+    inner = "<h1>Title {0}</h1><p>Long text {0} of it</p><div class='comments'>hi {0}</div><div><b>x{0}</b> <i>y</i></div>"
+    pages = [f"<nav>n</nav>{layout.format(inner.format(i))}<footer>f {i}</footer>" for i in range(3)]
+    assert texts_of(spark, pages) == [f"Title {i} Long text {i} of it x{i} y" for i in range(3)]
+
+
 def test_wrappers_fold_repeats_and_mark_options():
     pages = ["<ul><li>a<li>b</ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<ul><li>a</ul><img><em>note</em><h2>x</h2><p>1</p>"]
     trees = [html_tree.page_tree(p)[0] for p in pages]
