@@ -290,7 +290,7 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
     """``host``, ``wrapper``, ``region`` (the wrapper's part that holds the article, by number, 0 if none
     does) and ``dropped`` (its parts that are template or links), one row per host.
 
-    Every page's elements are folded into an
+    Pages with the same texts count once. Every page's elements are folded into an
     expression of tags and of the class, id and role words found on enough of the host's
     pages: text becomes a slot and runs of like siblings a repeated group. The distinct
     expressions of a host are aligned, ``JOINED`` at a time, and mismatches become
@@ -300,9 +300,11 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
     """
     ship_package(pages.sparkSession)
     rows = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    content = "struct<shape: string, words: array<string>, texts: array<struct<text: bigint, chars: int>>>"
     analysed = map_batches(
         rows, _analysed, "host string, page bigint, shape string, words array<string>, texts array<struct<text: bigint, chars: int>>")
-    distinct = pin(analysed)
+    distinct = pin(analysed.groupBy("host", "page").agg(
+        F.min(F.struct("shape", "words", "texts").cast(content)).alias("_page")).select("host", "page", "_page.*"))
     counted = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
     words = distinct.select("host", F.explode("words").alias("word")).groupBy("host", "word").agg(F.count(F.lit(1)).alias("_n"))
     kept = words.join(counted, "host").groupBy("host").agg(

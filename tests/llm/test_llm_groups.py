@@ -196,6 +196,17 @@ def test_words_never_drop_the_article(spark, layout):
     assert texts_of(spark, pages) == [f"Title {i} Long text {i} of it x{i} y" for i in range(3)]
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<div><h1>One</h1><p>text of the page</p></div>"
+    for copies in (4, 5, 9):
+        assert texts_of(spark, [page] * copies) == ["One text of the page"] * copies
+    other = [f"<div><h1>T{i}</h1><p>{words(i, 9)}</p></div><div><p>All rights</p></div>" for i in range(6)]
+    assert texts_of(spark, other) == [f"T{i} {words(i, 9)}" for i in range(6)]
+    # Copies beside other pages do not make their own texts template either.
+    mixed = texts_of(spark, [page] * 9 + other)
+    assert mixed[:9] == ["One text of the page"] * 9
+
+
 def test_wrappers_fold_repeats_and_mark_options():
     pages = ["<ul><li>a<li>b</ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<ul><li>a</ul><img><em>note</em><h2>x</h2><p>1</p>"]
     trees = [html_tree.page_tree(p)[0] for p in pages]
