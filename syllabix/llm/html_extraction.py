@@ -307,7 +307,7 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
         F.min(F.struct("shape", "words", "texts").cast(content)).alias("_page")).select("host", "page", "_page.*"))
     counted = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
     words = distinct.select("host", F.explode("words").alias("word")).groupBy("host", "word").agg(F.count(F.lit(1)).alias("_n"))
-    kept = words.join(counted, "host").groupBy("host").agg(
+    kept = words.join(counted, "host").filter(F.col("_n") * RARE_WORD >= F.col("_pages")).groupBy("host").agg(
         F.sort_array(F.collect_list("word")).alias("kept"))
     expressions = map_batches(
         lookup_join(distinct, kept, ["host"]).select("host", "shape", "kept"), _expressions, "host string, wrapper string")

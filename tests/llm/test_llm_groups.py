@@ -207,6 +207,21 @@ def test_copies_of_a_page_are_no_template(spark):
     assert mixed[:9] == ["One text of the page"] * 9
 
 
+def test_wrappers_stay_bounded_by_hashed_labels(spark):
+    pages = ["<article>" + "".join(f"<h2 id='{words(10 * i + k, 1)}' class='x {words(5000 + 10 * i + k, 1)}'>h{k}</h2><p>t{i} {k}</p>" for k in range(6))
+             + "</article>" for i in range(150)]
+    rows = [(i, "https://h.example/", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    wrapper = html_extraction.infer_wrappers(df).first().wrapper
+    assert len(wrapper) < 100 and "h2.x{#}" in wrapper
+    rng = random.Random(5)
+    tree = html_tree.Node("page")
+    for _ in range(300):
+        tags = rng.choices("abcdefgh", k=30)
+        tree = html_tree.merge(tree, html_tree.folded(html_tree.Node("page", [html_tree.Node(t, [html_tree.Node("#")]) for t in tags])))
+    assert sum(1 for _ in html_tree.walk(tree)) < 4 * html_tree.MAX_WIDTH and html_tree.read(tree.write()).write() == tree.write()
+
+
 def test_wrappers_fold_repeats_and_mark_options():
     pages = ["<ul><li>a<li>b</ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<ul><li>a</ul><img><em>note</em><h2>x</h2><p>1</p>"]
     trees = [html_tree.page_tree(p)[0] for p in pages]
