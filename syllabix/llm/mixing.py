@@ -75,7 +75,7 @@ def mix(
     (from 0) and ``n_tokens``, one row per document and epoch.
 
     Prefixes are found by a histogram of fixed size per leaf; only the bin in which the
-    budget ends is ordered row by row, so no leaf has to fit one task, hot or not.
+    budget ends is ordered identifier by identifier, so no leaf has to fit one task, hot or not.
 
     Missing level values form the leaf ``"(missing)"``, a missing text has no tokens,
     missing identifiers come first in their order. Rows repeated with one identifier are
@@ -107,12 +107,13 @@ def mix(
         .select(*names, F.col("_end._bin").alias("_last"), F.col("_end._before").alias("_before"))
     )
     ended = lookup_join(part, ends, names, "inner")
-    inside = Window.partitionBy(*names)
-    # Rows of one place and identifier are peers: together in or out.
-    upto = F.sum("_tokens").over(inside.orderBy("_order", "_id"))
-    peers = F.sum("_tokens").over(Window.partitionBy(*names, "_order", "_id"))
-    last = ended.filter("_bin = _last").withColumn("_upto", upto).withColumn("_peers", peers)
-    last = last.filter("_before + _upto - _peers < _rest")
+    # Rows of one place and identifier are peers, together in or out, and meet the window as one row.
+    last = ended.filter("_bin = _last")
+    peers = last.groupBy(*names, "_order", "_id").agg(
+        F.sum("_tokens").alias("_peers"), F.max("_before").alias("_before"), F.max("_rest").alias("_rest"))
+    cuts = peers.withColumn("_upto", F.sum("_peers").over(leaf.orderBy("_order", "_id"))).filter("_before + _upto - _peers < _rest")
+    cuts = cuts.groupBy(*names).agg(F.max(F.struct("_order", "_id")).alias("_cut"))
+    last = lookup_join(last, cuts, names, "inner").filter(F.struct("_order", "_id") <= F.col("_cut"))
     columns = ["_id", *names, "epoch", "_tokens"]
     chosen = [whole, ended.filter("_bin < _last").withColumn("epoch", F.col("_whole")), last.withColumn("epoch", F.col("_whole"))]
     result = chosen[0].select(*columns).unionByName(chosen[1].select(*columns)).unionByName(chosen[2].select(*columns))

@@ -106,13 +106,13 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (gapless from 0 in a sequence) to pieces with ``length``.
 
-    Pieces are dealt by hash to as many groups as their number needs, and each group is
-    packed by one task; no group depends on a key of the data. ``pieces`` is read once
+    Pieces are dealt by the hash of a row number to as many groups as their number needs,
+    and each group is packed by one task; no group depends on the data, so equal rows spread. ``pieces`` is read once
     to count and once to pack, so pass a pinned table. An empty table stays empty;
     repeated pieces are placed one by one.
     """
     groups = max(1, ceil(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)).cast("bigint"))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("bigint"))
 
     def place(part: pa.Table) -> pa.Table:
         part = part.sort_by([(name, "ascending") for name in ("length", "id", "piece") if name in part.column_names])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from syllabix.llm import embedding_dedup, html_extraction, html_tree, mixing, near_dedup
+from syllabix.llm import embedding_dedup, html_extraction, html_tree, mixing, near_dedup, packing
 from syllabix.llm.components import components
 from syllabix.llm.cover_tree import CoverTree, close_pairs
 from syllabix.llm.oracle import ORACLE, mixing as mixing_sql
@@ -255,6 +255,20 @@ def test_budgets_go_to_siblings_before_other_branches(spark):
     assert sum(got.values()) == 1010
 
 
+def test_equal_rows_spread_over_groups_and_meet_windows_once(spark):
+    same = spark.range(20_000, numPartitions=4).selectExpr("CAST(NULL AS BIGINT) AS id", "0 AS piece", "100L AS length")
+    packed = packing.pack(same, group_pieces=1_000)
+    sizes = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 1_300
+    docs = spark.createDataFrame([(i, "a b", "en", "site_1") for i in [None] * 50 + [7] * 60 + list(range(100, 400))],
+                                 "doc_id bigint, text string, lang string, source string")
+    got = mixing.mix(docs, {"lang": F.col("lang")}, {}, 0.5, max_epochs=1, seed=3)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    assert counts.get(None, 50) == 50 and counts.get(7, 60) == 60
+    assert 410 <= 2 * sum(counts.values()) <= 410 + 120
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_sql(spark, small, name):
     con = duckdb.connect()
