@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabix.llm import embedding_dedup, exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity
+from syllabix.llm import (
+    conversation_repair, decontamination, embedding_dedup, exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality,
+    token_counts, toxicity, vector_codes,
+)
 from syllabix.llm.common import fold, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -77,10 +80,31 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY), limit=2048)
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    return conversation_repair.conversation_repair(table(spark, folder, "conversations"))
+
+
+def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items."""
+    found = decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Four-part codes of all vectors from codebooks of 256 entries and four rounds."""
+    coded, books = vector_codes.vector_codes(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest_of(books)).alias("codebooks_sha256"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_quality_classifier, op2_line_dedup, op3_html_extraction, op4_embedding_near_dedup, op5_source_mixing, op6_best_fit_packing,
         op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_token_counts,
+        op11_conversation_repair, op12_benchmark_decontamination, op13_vector_codes,
     )
 }
