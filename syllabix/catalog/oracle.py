@@ -27,10 +27,6 @@ def r6(expression: str, name: str) -> str:
     return f"round(cast({expression} AS double), 6) + 0.0 AS {name}"
 
 
-def r4(expression: str, name: str) -> str:
-    return f"round(cast({expression} AS double), 4) + 0.0 AS {name}"
-
-
 def same(a: str, b: str, keys: str) -> str:
     return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys.split(", "))
 
@@ -412,11 +408,12 @@ def ols_sql(source: str, y: str, specs: dict[str, list[str]], final: str) -> str
     return f"WITH {', '.join([*begin, *steps])}, fits AS ({terms}) {final}"
 
 
-LEVELS = 5
+LEVELS = 6
 
 
 def mixed_sql(source: str, y: str, group: str, specs: dict[str, list[str]], final: str, by: str = "") -> str:
-    """Random-intercept fits by scanning theta: a coarse grid, then finer ones around the best."""
+    """Random-intercept fits: the best theta of a coarse grid by deviance, then finer grids around the sign
+    change of its derivative by theta squared, and linear interpolation in the last one."""
     xs = list(dict.fromkeys(x for used in specs.values() for x in used))
     z = ["1.0::double", *xs, y]
     k = len(z) - 1
@@ -430,6 +427,13 @@ def mixed_sql(source: str, y: str, group: str, specs: dict[str, list[str]], fina
         f"any_value(m.s_{i}_{j}) - sum(theta * theta / (1 + g.s_0_0 * theta * theta) * g.s_0_{i} * g.s_0_{j}) AS {sweep.name(i, j)}"
         for i, j in sweep.cells()
     )
+    # The derivative of every shrunken product by theta squared.
+    moved = ", ".join(
+        f"-sum(g.s_0_{i} * g.s_0_{j} / pow(1 + g.s_0_0 * theta * theta, 2)) AS d_{i}_{j}" for i, j in sweep.cells())
+    carried = ", ".join(f"d_{i}_{j}" for i, j in sweep.cells())
+    residual = [*[f"(CASE WHEN u_{i} THEN -{sweep.name(i, k)} ELSE 0 END)" for i in range(k)], "1"]
+    change = " + ".join(f"{1 if i == j else 2} * {residual[i]} * {residual[j]} * d_{i}_{j}" for i, j in sweep.cells())
+    slope = f"n * ({change}) / {sweep.name(k, k)} + log_slope"
     ctes = [
         f"x_specs AS ({_spec_rows(specs, xs)})",
         f"x_groups AS MATERIALIZED (SELECT {lead}{group}, {sums} FROM {source} GROUP BY {lead}{group})",
@@ -438,31 +442,42 @@ def mixed_sql(source: str, y: str, group: str, specs: dict[str, list[str]], fina
         "SELECT pow(10.0, k / 8.0 - 4) FROM range(65) r(k)) t)",
     ]
     for level in range(LEVELS):
-        carry = f"{lead}model, {flags}, theta, n, logs"
+        carry = f"{lead}model, {flags}, theta, n, logs, log_slope, {carried}"
         ctes.append(
             f"x_start{level} AS MATERIALIZED (SELECT {lead}model, {flags}, theta, any_value(m.s_0_0) AS n, "
-            f"sum(ln(1 + g.s_0_0 * theta * theta)) AS logs, {shrunk} "
+            f"sum(ln(1 + g.s_0_0 * theta * theta)) AS logs, sum(g.s_0_0 / (1 + g.s_0_0 * theta * theta)) AS log_slope, {moved}, {shrunk} "
             f"FROM x_grid{level} t JOIN x_totals m {using} JOIN x_groups g {using} GROUP BY {lead}model, {flags}, theta)"
         )
         steps, last = sweep_chain(f"x{level}_", f"x_start{level}", len(z), carry)
         ctes += steps
         dev = f"n * (ln(2 * pi() * {sweep.name(k, k)} / n) + 1) + logs"
-        window = f"PARTITION BY {lead}model ORDER BY theta"
-        ctes.append(
-            f"x_best{level} AS MATERIALIZED (SELECT *, lag(theta) OVER ({window}) AS below, lead(theta) OVER ({window}) AS above, "
-            f"{dev} AS deviance FROM {last} "
-            f"QUALIFY row_number() OVER (PARTITION BY {lead}model ORDER BY deviance, theta) = 1)"
-        )
-        if level < LEVELS - 1:
+        if level == 0:
+            window = f"PARTITION BY {lead}model ORDER BY theta"
+            ctes.append(
+                f"x_cut0 AS MATERIALIZED (SELECT * EXCLUDE (below, above), coalesce(below, theta) AS low, coalesce(above, theta) AS high FROM ("
+                f"SELECT {lead}model, {flags}, theta, {dev} AS deviance, lag(theta) OVER ({window}) AS below, lead(theta) OVER ({window}) AS above "
+                f"FROM {last}) q QUALIFY row_number() OVER (PARTITION BY {lead}model ORDER BY deviance, theta) = 1)")
+        elif level < LEVELS - 1:
+            ctes.append(
+                f"x_slope{level} AS MATERIALIZED (SELECT {lead}model, {flags}, theta, {slope} AS slope FROM {last})")
+            ctes.append(
+                f"x_cut{level} AS MATERIALIZED (SELECT {lead}model, {flags}, coalesce(max(theta) FILTER (slope < 0), min(theta)) AS low, "
+                f"CASE WHEN count(*) FILTER (slope < 0) = 0 THEN min(theta) ELSE coalesce(min(theta) FILTER (slope >= 0), max(theta)) END AS high, "
+                f"arg_max(slope, theta) FILTER (slope < 0) AS falling, arg_min(slope, theta) FILTER (slope >= 0) AS rising "
+                f"FROM x_slope{level} GROUP BY {lead}model, {flags})")
+        else:
+            ctes.append(f"x_best AS MATERIALIZED (SELECT *, {dev} AS deviance FROM {last})")
+        if level < LEVELS - 2:
+            ctes.append(
+                f"x_grid{level + 1} AS (SELECT DISTINCT {lead}model, {flags}, low + (high - low) * k / 40.0 AS theta FROM x_cut{level}, range(41) r(k))")
+        elif level == LEVELS - 2:
             ctes.append(
-                f"x_grid{level + 1} AS (SELECT DISTINCT {lead}model, {flags}, theta FROM (SELECT {lead}model, {flags}, "
-                f"coalesce(below, theta) + (coalesce(above, theta) - coalesce(below, theta)) * k / 40.0 AS theta "
-                f"FROM x_best{level}, range(41) r(k) UNION ALL SELECT {lead}model, {flags}, theta FROM x_best{level}) q)"
-            )
+                f"x_grid{level + 1} AS (SELECT {lead}model, {flags}, CASE WHEN high > low AND rising > falling "
+                f"THEN low - falling * (high - low) / (rising - falling) ELSE low END AS theta FROM x_cut{level})")
     used = " + ".join(f"u_{i}::int" for i in range(k))
     ctes.append(
         f"models AS (SELECT *, cast(n AS bigint) AS rows, {used} + 2 AS n_params, sqrt({sweep.name(k, k)} / n) AS sigma, "
-        f"-deviance / 2 AS log_likelihood, deviance + 2 * ({used} + 2) AS aic FROM x_best{LEVELS - 1})"
+        f"-deviance / 2 AS log_likelihood, deviance + 2 * ({used} + 2) AS aic FROM x_best)"
     )
     terms = " UNION ALL ".join(
         f"SELECT *, '{'(Intercept)' if i == 0 else xs[i - 1]}' AS term, {sweep.name(i, k)} AS estimate, "
@@ -515,8 +530,8 @@ FRAME = ("class_id, student_id, chapter_num, " + ", ".join(r6(c, c) for c in (
 AVERAGES = ("class_id, student_id, chapter_num, " + ", ".join(r6(c, c) for c in (
     "construct_mean_anxiety_math", "construct_mean_stress_expectation", "avg_prop_pages_complete", "avg_eoc_score")))
 CORRELATIONS = "var_i, var_j, n, " + ", ".join(r6(c, c) for c in ("r", "t", "p", "p_holm"))
-MIXED = ("model, term, rows AS n, n_params, round(theta, 4) AS theta, round(theta * sigma, 4) AS group_sd, "
-         + ", ".join([*[r4(c, c) for c in ("estimate", "std_error")], *[r6(c, c) for c in ("sigma", "log_likelihood", "aic")]]))
+MIXED = ("model, term, rows AS n, n_params, " + r6("theta * sigma", "group_sd") + ", "
+         + ", ".join(r6(c, c) for c in ("theta", "estimate", "std_error", "sigma", "log_likelihood", "aic")))
 REL = "aic - max(aic) FILTER (model = '{}') OVER ({})"
 
 
@@ -542,9 +557,9 @@ def _bootstrap(final: str) -> str:
 
 
 def _relative_columns() -> str:
-    columns = [r4(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'baseline')", f"rel_{m}") for m in QUIZ_MODELS]
+    columns = [r6(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'baseline')", f"rel_{m}") for m in QUIZ_MODELS]
     columns += [
-        r4(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'nervous_confval')", f"nervous_confval_rel_{m}")
+        r6(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'nervous_confval')", f"nervous_confval_rel_{m}")
         for m in ("attitudes", "nervous_confval")
     ]
     return ", ".join(columns)
@@ -765,12 +780,12 @@ SELECT 'baseline' AS model_0, '{{0}}' AS model_1, cast(df AS bigint) AS df, {r6(
         "smaller": ["avg_prop_pages_complete"], "larger": ["avg_prop_pages_complete", "construct_mean_anxiety_math"],
     }, _f_test("smaller", "larger"))
     sql["g5_stratified_resample"] = "SELECT iter, class_id, student_id, w FROM resample"
-    sql["g6_bootstrap_models"] = _bootstrap(f"SELECT iter, model, {r4('aic', 'aic')} FROM models")
+    sql["g6_bootstrap_models"] = _bootstrap(f"SELECT iter, model, {r6('aic', 'aic')} FROM models")
     sql["g7_bootstrap_relative"] = _bootstrap(f"SELECT iter, {_relative_columns()} FROM models GROUP BY iter")
     compared = {m: QUIZ_MODELS[m] for m in ("baseline", "attitudes", "nervous", "exp_confval")}
     actual = mixed_sql("outcomes", "outcome", "class_id", compared, f"SELECT model, {relative} AS aic_value FROM models")
-    sql["g8_transpose_summary"] = _bootstrap(f"""SELECT model, {r4("avg(rel)", "mean")}, {r4("quantile_cont(rel, 0.025)", "lb")},
-  {r4("quantile_cont(rel, 0.975)", "ub")}, {r4("any_value(aic_value)", "aic_value")}
+    sql["g8_transpose_summary"] = _bootstrap(f"""SELECT model, {r6("avg(rel)", "mean")}, {r6("quantile_cont(rel, 0.025)", "lb")},
+  {r6("quantile_cont(rel, 0.975)", "ub")}, {r6("any_value(aic_value)", "aic_value")}
 FROM (SELECT iter, model, {REL.format("baseline", "PARTITION BY iter")} AS rel FROM models) r
 LEFT JOIN ({actual}) actual USING (model) GROUP BY model""")
     sql["g9_fit_ols"] = ols_sql("profiles", "y", OLS_MODELS, _ols_terms())

@@ -566,19 +566,14 @@ def f13_condition_frame(t: Tables) -> DataFrame:
 # Models and resampling
 
 
-def _fits(fits: DataFrame) -> DataFrame:
-    """The likelihood is flat at its maximum, so theta and what follows from it are reported to 4 places."""
-    return fits.withColumns({c: F.round(c, 4) for c in ("theta", "group_sd", "estimate", "std_error")})
-
-
 @registered
 def g1_fit_random_intercept(t: Tables) -> DataFrame:
-    return _fits(models.fit_random_intercept(t.outcomes(), "outcome", ["c1", "c2"], "class_id"))
+    return models.fit_random_intercept(t.outcomes(), "outcome", ["c1", "c2"], "class_id")
 
 
 @registered
 def g1_fit_random_intercept_boundary(t: Tables) -> DataFrame:
-    return _fits(models.fit_random_intercept(t.profiles, "y", ["c1"], "class_id"))
+    return models.fit_random_intercept(t.profiles, "y", ["c1"], "class_id")
 
 
 @registered
@@ -594,7 +589,7 @@ def g3_relative_aic(t: Tables) -> DataFrame:
 
 @registered
 def g4_model_sweep(t: Tables) -> DataFrame:
-    return _fits(models.model_sweep(t.outcomes(), "outcome", "class_id", ENGAGEMENT_MODELS))
+    return models.model_sweep(t.outcomes(), "outcome", "class_id", ENGAGEMENT_MODELS)
 
 
 def _merged_sweep(t: Tables) -> DataFrame:
@@ -604,13 +599,13 @@ def _merged_sweep(t: Tables) -> DataFrame:
 @registered
 def g4_model_sweep_merged(t: Tables) -> DataFrame:
     """End of the first study's chain: engagement models on the merged students' averages."""
-    return _fits(_merged_sweep(t))
+    return _merged_sweep(t)
 
 
 @registered
 def g4_model_sweep_merged_quiz(t: Tables) -> DataFrame:
     """Quiz models with engagement as predictor."""
-    return _fits(studies.observational_models(t.averages(), "avg_eoc_score", MERGED_QUIZ_MODELS))
+    return studies.observational_models(t.averages(), "avg_eoc_score", MERGED_QUIZ_MODELS)
 
 
 @registered
@@ -651,26 +646,21 @@ def _relative(t: Tables) -> DataFrame:
     )
 
 
-def _to_4(df: DataFrame, keys: set[str]) -> DataFrame:
-    """AICs run into the hundreds, so their sums agree to fewer places."""
-    return df.withColumns({c: F.round(c, 4) for c in df.columns if c not in keys})
-
-
 @registered
 def g6_bootstrap_models(t: Tables) -> DataFrame:
-    return _to_4(_bootstrap(t), {"iter", "model"})
+    return _bootstrap(t)
 
 
 @registered
 def g7_bootstrap_relative(t: Tables) -> DataFrame:
-    return _to_4(_relative(t), {"iter"})
+    return _relative(t)
 
 
 @registered
 def g8_transpose_summary(t: Tables) -> DataFrame:
     compared = {m: QUIZ_MODELS[m] for m in ("baseline", "attitudes", "nervous", "exp_confval")}
     actual = models.relative_aic(models.model_sweep(t.outcomes(), "outcome", "class_id", compared), "baseline")
-    return _to_4(resample.transpose_summary(_relative(t), actual), {"model"})
+    return resample.transpose_summary(_relative(t), actual)
 
 
 @registered

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabix.session import pin
+from syllabix.session import is_pinned, pin
 
 # A lookup is broadcast only below both limits.
 MAX_BROADCAST_ROWS = 500_000
@@ -70,7 +70,7 @@ def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     """Null-safe join of a large table with a codebook-like table.
 
     A lookup made of rows the driver already holds is broadcast. Any other is computed
-    once into files and its rows and bytes are counted there (the planner's estimate is
+    once into files (unless it is a pinned table) and its rows and bytes are counted there (the planner's estimate is
     of compressed size and not trusted): below the limits it is broadcast, so that the
     large side is not shuffled; above them it becomes an ordinary shuffle join, where
     adaptive execution splits skewed partitions.
@@ -78,6 +78,6 @@ def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     if is_local(lookup):
         small = True
     else:
-        lookup = pin(lookup)
+        lookup = lookup if is_pinned(lookup) else pin(lookup)
         small = fits_broadcast(lookup)
     return null_safe_join(left, F.broadcast(lookup) if small else lookup, keys, how)

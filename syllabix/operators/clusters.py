@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +15,81 @@ from syllabix.session import pin
 Starts = list[np.ndarray]
 
 
-def _start_pool(points: DataFrame, features: Sequence[str], size: int, seed: int) -> np.ndarray:
-    """A random set of at most ``size`` distinct rows, to start clusters from."""
-    ticket = F.xxhash64(F.lit(seed), *features)
-    rows = points.select(*features).distinct().orderBy(ticket, *features).limit(size).collect()
-    return np.array([list(r) for r in rows], dtype=float).reshape(-1, len(features))
+# Rounds of seeding, and rows that a round draws for every cluster.
+SEED_ROUNDS, SEED_ROWS = 4, 3
+# Tasks' sums are added up in so many groups before the driver adds those.
+SUM_GROUPS = 16
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance of every row to every centre."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    for pdf in batches:
+        yield from np.array_split(pdf.to_numpy(dtype=float), max(1, len(pdf) // 1000))
+
+
+def _worked(points: DataFrame) -> DataFrame:
+    """The table in as many tasks as run at the same time, so what they send does not grow with its partitions."""
+    return points.coalesce(points.sparkSession.sparkContext.defaultParallelism)
+
+
+def _drawn(points: DataFrame, features: Sequence[str], known: np.ndarray, size: int, seed: int, turn: int) -> np.ndarray:
+    """``size`` rows of the whole table, drawn without replacement in proportion to their squared distance from the ``known`` ones.
+
+    Each row has the key -ln(u) / distance with u from a hash of its values; the rows of the
+    smallest keys are such a draw. Tasks keep their smallest, so a round is one pass.
+    """
+    ticket = F.xxhash64(F.lit(seed), F.lit(turn), *features)
+    uniform = ((F.shiftrightunsigned(ticket, 11).cast("double") + 0.5) / float(1 << 53)).alias("u")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = np.empty((0, len(features) + 1))
+        for rows in _slices(batches):
+            x, u = rows[:, :-1], rows[:, -1]
+            apart = _nearest(x, known).min(axis=1) if len(known) else np.ones(len(x))
+            # A row that is known already has distance 0 up to rounding.
+            far = apart > 1e-12 * (1 + (x * x).sum(axis=1))
+            key = -np.log(u[far]) / apart[far]
+            kept = np.unique(np.vstack([kept, np.column_stack([key, x[far]])]), axis=0)[:size]
+        yield pd.DataFrame(kept, columns=["key", *features])
+
+    found = _worked(points.select(*features, uniform)).mapInPandas(best, "key double, " + ", ".join(f"`{f}` double" for f in features))
+    rows = found.distinct().orderBy("key", *features).limit(size).collect()
+    return np.array([list(r)[1:] for r in rows], dtype=float).reshape(-1, len(features))
+
+
+def seeds(points: DataFrame, features: Sequence[str], most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows to start up to ``most`` clusters from, and how many rows of the table are nearest to each.
+
+    Every round draws ``SEED_ROWS * most`` rows of the whole table, the likelier the farther
+    they are from those drawn before, so a small cluster far from the others is found as
+    well; few rounds replace one draw per centre. The driver holds ``SEED_ROUNDS`` draws.
+    """
+    known = np.empty((0, len(features)))
+    for turn in range(SEED_ROUNDS):
+        more = _drawn(points, features, known, SEED_ROWS * most, seed, turn)
+        if not len(more):
+            break
+        known = np.vstack([known, more])
+    if not len(known):
+        return known, np.empty(0)
+    return known, _sums(points, features, [known])[0][:, 0]
+
+
+def _spread_start(pool: np.ndarray, weight: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """``k`` rows of the pool, each drawn by its weight times its squared distance from those drawn before."""
+    chosen = [int(random.choice(len(pool), p=weight / weight.sum()))]
+    while len(chosen) < k:
+        apart = ((pool[:, None, :] - pool[chosen][None]) ** 2).sum(axis=2).min(axis=1)
+        apart[chosen] = 0
+        share = apart * weight
+        if not share.sum():
+            share = np.where(np.isin(np.arange(len(pool)), chosen), 0.0, 1.0)
+        chosen.append(int(random.choice(len(pool), p=share / share.sum())))
+    return pool[chosen]
 
 
 def lloyd(
@@ -29,63 +97,90 @@ def lloyd(
 ) -> tuple[Starts, np.ndarray, np.ndarray]:
     """Improve many sets of centres at the same time; returns them, their costs, and whether they have settled.
 
-    Each round is one pass over the rows for all moving sets together: tasks add up
-    counts, coordinates and squared distances per centre, Spark sums these over tasks,
-    and only one row per centre comes back. Sets that stay in place leave the rounds; a
-    last pass takes the costs of those that ``max_iter`` rounds did not settle. An empty
-    cluster keeps its centre.
+    Each round is one pass over the rows for all moving sets together: see ``_sums``. Sets
+    that stay in place leave the rounds; a last pass takes the costs of those that
+    ``max_iter`` rounds did not settle. An empty cluster keeps its centre.
     """
     current, costs, settled = list(starts), np.zeros(len(starts)), np.zeros(len(starts), bool)
     for turn in range(max_iter + 1):
         moving = np.flatnonzero(~settled).tolist()
         if not moving:
             break
-        sums = _sums(points, features, [current[s] for s in moving])
-        at = 0
-        for s in moving:
-            rows = sums[at:at + len(current[s])]
-            at += len(rows)
-            costs[s] = sum(r["cost"] for r in rows)
+        for s, rows in zip(moving, _sums(points, features, [current[s] for s in moving]), strict=True):
+            n, costs[s] = rows[:, :1], rows[:, 1].sum()
             if turn < max_iter:
-                moved = np.array([
-                    [r[f"s_{i}"] / r["n"] for i in range(len(features))] if r["n"] > 0 else old
-                    for r, old in zip(rows, current[s], strict=True)
-                ])
+                moved = np.where(n > 0, rows[:, 3:] / np.maximum(n, 1), current[s])
                 settled[s] = np.array_equal(moved, current[s])
                 current[s] = moved
     return current, costs, settled
 
 
-def _sums(points: DataFrame, features: Sequence[str], centres: Starts) -> list:
-    """Count, cost and coordinate sums of every centre of every set, in order."""
-    names = [f"s_{i}" for i in range(len(features))]
+def _added(points: DataFrame, features: Sequence[str], totals: Callable[[Iterator[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """``totals`` of every task's rows, added up in two levels.
+
+    A task sends one packed row, ``SUM_GROUPS`` tasks add those up, and the driver adds what these send.
+    """
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"sums": [totals(_slices(batches)).tobytes()]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()]})
+
+    packed = _worked(points.select(*features)).mapInPandas(partial, "sums binary")
+    grouped = packed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("_group")).applyInPandas(added, "sums binary")
+    return np.sum([np.zeros(shape), *[np.frombuffer(r["sums"]).reshape(shape) for r in grouped.collect()]], axis=0)
+
+
+def _sums(points: DataFrame, features: Sequence[str], centres: Starts) -> list[np.ndarray]:
+    """Per set, a row for every centre: number of its rows, their cost, their summed squared norms and their summed coordinates."""
     first = np.cumsum([0, *[len(c) for c in centres]])
     stacked = np.vstack(centres)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((len(stacked), 2 + len(names)))
-        for pdf in batches:
-            for x in np.array_split(pdf.to_numpy(dtype=float), max(1, len(pdf) // 1000)):
-                distance = np.maximum(
-                    (x * x).sum(axis=1)[:, None] - 2 * x @ stacked.T + (stacked * stacked).sum(axis=1), 0.0
-                )
-                member = np.zeros_like(distance)
-                for at, of_set in zip(first, centres):
-                    nearest = distance[:, at:at + len(of_set)].argmin(axis=1)
-                    member[np.arange(len(x)), at + nearest] = 1.0
-                totals[:, 0] += member.sum(axis=0)
-                totals[:, 1] += (member * distance).sum(axis=0)
-                totals[:, 2:] += member.T @ x
-        out = pd.DataFrame(totals, columns=["n", "cost", *names])
-        out.insert(0, "slot", np.arange(len(stacked)))
-        yield out
-
-    schema = "slot int, n double, cost double, " + ", ".join(f"{n} double" for n in names)
-    rows = (
-        points.select(*features).mapInPandas(assign, schema)
-        .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)]).collect()
-    )
-    return sorted(rows, key=lambda r: r["slot"])
+    def totals(slices: Iterator[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(stacked), 3 + len(features)))
+        for x in slices:
+            distance = _nearest(x, stacked)
+            member = np.zeros_like(distance)
+            for at, of_set in zip(first, centres):
+                nearest = distance[:, at:at + len(of_set)].argmin(axis=1)
+                member[np.arange(len(x)), at + nearest] = 1.0
+            out[:, 0] += member.sum(axis=0)
+            out[:, 1] += (member * distance).sum(axis=0)
+            out[:, 2] += (x * x).sum(axis=1) @ member
+            out[:, 3:] += member.T @ x
+        return out
+
+    return np.split(_added(points, features, totals, (len(stacked), 3 + len(features))), first[1:-1])
+
+
+def silhouettes(points: DataFrame, features: Sequence[str], centres: Starts) -> list[float]:
+    """Mean squared-Euclidean silhouette of every set of centres, in two passes over the rows for all sets together.
+
+    The first pass sums points and squared norms per cluster; with them a row's mean
+    squared distance from all points of a cluster needs no other row. A row alone in its
+    cluster, or in the only one, has silhouette 0.
+    """
+    sums = _sums(points, features, centres)
+
+    def totals(slices: Iterator[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(centres), 2))
+        for x in slices:
+            norms = (x * x).sum(axis=1)[:, None]
+            for at, (of_set, rows) in enumerate(zip(centres, sums)):
+                n = rows[:, 0]
+                own = _nearest(x, of_set).argmin(axis=1)
+                each = np.arange(len(x))
+                mean = norms + (rows[:, 2] - 2 * x @ rows[:, 3:].T) / np.maximum(n, 1)
+                a = mean[each, own] * n[own] / np.maximum(n[own] - 1, 1)
+                mean[each, own] = np.inf
+                mean[:, n == 0] = np.inf
+                b = mean.min(axis=1)
+                known = (n[own] > 1) & np.isfinite(b) & (np.maximum(a, b) > 0)
+                out[at] += (((b - a) / np.maximum(a, b))[known].sum() if known.any() else 0.0, len(x))
+        return out
+
+    found = _added(points, features, totals, (len(centres), 2))
+    return [float(total / n) if n else 0.0 for total, n in found]
 
 
 def nearest_cluster(features: Sequence[str], centres: np.ndarray) -> Column:
@@ -101,15 +196,16 @@ def best_centres(
 ) -> dict[int, tuple[np.ndarray, float, bool]]:
     """Per number of clusters, the centres of least cost over ``restarts`` random starts, the cost, and whether they settled.
 
-    Starts are drawn from one random pool of at most ``restarts * max(ks)`` distinct
-    rows; all rows are clustered. More clusters than distinct rows are refused.
+    Starts come from the rows that ``seeds`` draws from the whole table, for every restart
+    spread over them by their weight and distance; all rows are clustered. More clusters
+    than distinct rows are refused.
     """
-    pool = _start_pool(points, features, restarts * max(ks), seed)
+    pool, weight = seeds(points, features, max(ks), seed)
     if len(pool) < max(ks):
         raise ValueError(f"{max(ks)} clusters need as many distinct complete rows, there are {len(pool)}")
     random = np.random.default_rng(seed)
     plan = [k for k in ks for _ in range(restarts)]
-    starts = [pool[random.choice(len(pool), k, replace=False)] for k in plan]
+    starts = [_spread_start(pool, weight, k, random) for k in plan]
     best: dict[int, tuple[np.ndarray, float, bool]] = {}
     for k, c, cost, settled in zip(plan, *lloyd(points, features, starts, max_iter), strict=True):
         if k not in best or cost < best[k][1]:
@@ -137,19 +233,14 @@ def choose_k(
     """Mean silhouette per number of clusters of many rows, on z-scored features; ``best`` marks the highest.
 
     The silhouette is the squared-Euclidean one, which needs no distances between pairs
-    of rows. The scaled table is pinned. ``cost`` belongs to the returned centres and
+    of rows (see ``silhouettes``). The scaled table is pinned. ``cost`` belongs to the returned centres and
     ``converged`` tells whether they had settled after ``max_iter`` rounds. Starts: see
     ``best_centres``.
     """
     points = pin(_scaled(df, features))
-    rows = []
-    for k, (centres, cost, settled) in best_centres(points, features, ks, restarts, max_iter, seed).items():
-        assigned = points.select(
-            array_to_vector(F.array(*features)).alias("features"),
-            nearest_cluster(features, centres).cast("double").alias("prediction"),
-        )
-        rows.append((k, cost, float(ClusteringEvaluator().evaluate(assigned)), settled))
-    return _marked(df, rows)
+    best = best_centres(points, features, ks, restarts, max_iter, seed)
+    widths = silhouettes(points, features, [centres for centres, _, _ in best.values()])
+    return _marked(df, [(k, cost, width, settled) for (k, (_, cost, settled)), width in zip(best.items(), widths, strict=True)])
 
 
 def _marked(df: DataFrame, rows: list[tuple[int, float, float, bool]]) -> DataFrame:
@@ -182,21 +273,21 @@ def choose_k_of_profiles(
         long.join(other, "feature").groupBy(name, "other")
         .agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("z_other"), F.lit(2)))).alias("distance"))
     )
-    rows = []
-    for k, (centres, cost, settled) in best_centres(points, features, ks, restarts, max_iter, seed).items():
-        member = points.select(name, nearest_cluster(features, centres).alias("own"))
-        joined = lookup_join(apart, member, [name], "inner")
-        joined = lookup_join(joined, member.select(F.col(name).alias("other"), F.col("own").alias("theirs")), ["other"], "inner")
-        per_cluster = joined.groupBy(name, "own", "theirs").agg(F.sum("distance").alias("total"), F.count(F.lit(1)).alias("n"))
-        same = F.col("own") == F.col("theirs")
-        widths = per_cluster.groupBy(name).agg(
-            F.max(F.when(same, F.col("n"))).alias("size"),
-            F.max(F.when(same, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
-            F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"),
-        )
-        width = F.when(F.col("size") == 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-        rows.append((k, cost, float(widths.agg(F.avg(width)).first()[0]), settled))
-    return _marked(profiles, rows)
+    best = best_centres(points, features, ks, restarts, max_iter, seed)
+    own = [F.struct(F.lit(k).alias("k"), nearest_cluster(features, centres).alias("own")) for k, (centres, _, _) in best.items()]
+    member = points.select(name, F.inline(F.array(*own)))
+    theirs = member.select(F.col(name).alias("other"), "k", F.col("own").alias("theirs"))
+    joined = lookup_join(lookup_join(apart, member, [name], "inner"), theirs, ["other", "k"], "inner")
+    per_cluster = joined.groupBy("k", name, "own", "theirs").agg(F.sum("distance").alias("total"), F.count(F.lit(1)).alias("n"))
+    same = F.col("own") == F.col("theirs")
+    widths = per_cluster.groupBy("k", name).agg(
+        F.max(F.when(same, F.col("n"))).alias("size"),
+        F.max(F.when(same, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
+        F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"),
+    )
+    width = F.when(F.col("size") == 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    mean = {r["k"]: float(r["width"]) for r in widths.groupBy("k").agg(F.avg(width).alias("width")).collect()}  # one row per k
+    return _marked(profiles, [(k, cost, mean[k], settled) for k, (_, cost, settled) in best.items()])
 
 
 def cluster_rows(

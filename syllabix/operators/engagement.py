@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syllabix.functions.joins import lookup_join, null_safe_join
-from syllabix.functions.ranks import running_total
+from syllabix.functions.joins import lookup_join, null_safe_join, planned_bytes
+from syllabix.functions.ranks import SMALL_TABLE_BYTES, running_total
 from syllabix.functions.text import count_tuples, iterations, strip
 from syllabix.session import pin, spread
 
@@ -174,34 +174,25 @@ def split_half_reliability(scores: DataFrame) -> DataFrame:
 
     Students without both halves are left out. Students are first counted per pair
     of shares: a share is a ratio of two page counts, so these tables stay small
-    whatever the number of students. Ranks come from running counts per share and means
-    from sums, so no task holds all pairs of an iteration.
+    whatever the number of students, and one iteration's pairs fit a window. Beyond
+    ``SMALL_TABLE_BYTES`` of pairs, ranks come from running totals that may span tasks and means from joins.
     """
-    pairs = (
+    pairs = pin(
         scores.filter(F.col("half_1").isNotNull() & F.col("half_2").isNotNull())
         .groupBy("iter", "half_1", "half_2")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    ranked = pin(pairs)
-    for at in ("1", "2"):
-        # Ranks from the counts per share; a running total holds any number of shares.
-        shares = ranked.groupBy("iter", f"half_{at}").agg(F.sum("w").alias("_ties"))
-        upto = running_total(shares, ["iter"], [F.col(f"half_{at}")], "_upto", "_ties")
-        ranks = upto.select("iter", f"half_{at}", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(f"rank_{at}"))
-        ranked = lookup_join(ranked, ranks, ["iter", f"half_{at}"], "inner")
-    measured = ("half_1", "half_2", "rank_1", "rank_2")
-    means = ranked.groupBy("iter").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"_mean_{c}") for c in measured])
-    centred = lookup_join(ranked, means, ["iter"], "inner").withColumns({f"_{c}": F.col(c) - F.col(f"_mean_{c}") for c in measured})
+    ranked = _window_ranks(pairs) if planned_bytes(pairs) <= SMALL_TABLE_BYTES else _joined_ranks(pairs)
 
     def product(a: str, b: str) -> Column:
-        return F.sum(F.col("w") * F.col(f"_{a}") * F.col(f"_{b}"))
+        return F.sum(F.col("w") * (F.col(a) - F.col(f"_mean_{a}")) * (F.col(b) - F.col(f"_mean_{b}")))
 
     def correlation(a: str, b: str) -> Column:
         varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
         return F.when(varies, F.try_divide(product(a, b), F.sqrt(product(a, a) * product(b, b))))
 
     return (
-        centred.groupBy("iter")
+        ranked.groupBy("iter")
         .agg(
             F.sum("w").alias("n"),
             correlation("half_1", "half_2").alias("pearson"),
@@ -211,6 +202,34 @@ def split_half_reliability(scores: DataFrame) -> DataFrame:
     )
 
 
+MEASURED = ("half_1", "half_2", "rank_1", "rank_2")
+
+
+def _window_ranks(pairs: DataFrame) -> DataFrame:
+    """Ranks of both shares and the means of shares and ranks, in windows over the pairs of one iteration."""
+    of_iter = Window.partitionBy("iter")
+    ranked = pairs
+    for at in ("1", "2"):
+        # Up to and with the ties of a share, less half of them.
+        upto = F.sum("w").over(of_iter.orderBy(f"half_{at}").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.sum("w").over(Window.partitionBy("iter", f"half_{at}"))
+        ranked = ranked.withColumn(f"rank_{at}", upto - (ties - 1) / 2)
+    total = F.sum("w").over(of_iter)
+    return ranked.withColumns({f"_mean_{c}": F.sum(F.col(c) * F.col("w")).over(of_iter) / total for c in MEASURED})
+
+
+def _joined_ranks(pairs: DataFrame) -> DataFrame:
+    """The same by running totals per share, which hold any number of shares, and joins with the results."""
+    ranked = pairs
+    for at in ("1", "2"):
+        shares = ranked.groupBy("iter", f"half_{at}").agg(F.sum("w").alias("_ties"))
+        upto = running_total(shares, ["iter"], [F.col(f"half_{at}")], "_upto", "_ties")
+        ranks = upto.select("iter", f"half_{at}", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(f"rank_{at}"))
+        ranked = lookup_join(ranked, ranks, ["iter", f"half_{at}"], "inner")
+    means = ranked.groupBy("iter").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"_mean_{c}") for c in MEASURED])
+    return lookup_join(ranked, means, ["iter"], "inner")
+
+
 def interval_summary(df: DataFrame, cols: Sequence[str], lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Mean and percentile interval of each column over iterations, one row per column.
 

@@ -63,7 +63,14 @@ def pin(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
     _PINNED.append(folder)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    pinned = df.sparkSession.read.schema(df.schema).parquet(folder)
+    pinned.is_pinned = True
+    return pinned
+
+
+def is_pinned(df: DataFrame) -> bool:
+    """Whether the table is what ``pin`` returned, with nothing done to it since."""
+    return getattr(df, "is_pinned", False) is True
 
 
 _PINNED: list[str] = []

@@ -58,3 +58,49 @@ def test_variables_cluster_by_their_correlations(spark):
     member = {r.var_i: r.cluster_i for r in got}
     assert len(got) == 16 and member["p"] == member["q"] != member["r"] == member["s"]
     assert [r.cluster_i for r in got] == sorted(r.cluster_i for r in got)
+
+
+def test_silhouettes_of_all_sets_match_brute_force(spark):
+    random = np.random.default_rng(6)
+    x = np.vstack([random.normal(size=(200, 3)) + random.integers(0, 3, (200, 1)) * 2, [[90.0, 0.0, 0.0]]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(5)
+    sets = [np.vstack([x[random.choice(200, k - 1, replace=False)], x[-1:]]) for k in (2, 4, 6)] + [np.array([x[0], x[0] + 1000.0])]
+    far = ((x[:, None, :] - x[None]) ** 2).sum(axis=2)
+    for centres, got in zip(sets, clusters.silhouettes(df, ["a", "b", "c"], sets), strict=True):
+        own, widths = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1), []
+        for i in range(len(x)):
+            mine = own == own[i]
+            others = [far[i][own == c].mean() for c in set(own) - {own[i]}]
+            if mine.sum() == 1 or not others:
+                widths.append(0.0)
+                continue
+            a, b = far[i][mine].sum() / (mine.sum() - 1), min(others)
+            widths.append((b - a) / max(a, b))
+        assert np.isclose(got, np.mean(widths))
+
+
+def test_all_silhouettes_take_two_passes(spark, monkeypatch):
+    passes, added = [], clusters._added
+    monkeypatch.setattr(clusters, "_added", lambda *a: passes.append(1) or added(*a))
+    clusters.silhouettes(blobs(spark), ["a", "b"], [np.zeros((2, 2)), np.ones((3, 2)), np.eye(2)])
+    assert len(passes) == 2
+
+
+def test_a_small_cluster_is_found_by_every_seed(spark):
+    random = np.random.default_rng(2)
+    x = np.vstack([random.normal(size=(1998, 2)), np.array([[40.0, 40.0], [40.1, 40.0]])])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    for seed in range(6):
+        pool, weight = clusters.seeds(df, ["a", "b"], 2, seed)
+        assert (pool[:, 0] > 30).any() and weight.sum() == 2000 and len(pool) <= clusters.SEED_ROUNDS * clusters.SEED_ROWS * 2
+        centres = clusters.best_centres(df, ["a", "b"], [2], 10, 15, seed)[2][0]
+        assert (centres[:, 0] > 30).sum() == 1
+
+
+def test_rows_sent_per_round_do_not_grow_with_partitions(spark):
+    sent = []
+    for parts in (4, 64):
+        df = blobs(spark).repartition(parts)
+        plan = clusters._worked(df.select("a", "b"))
+        sent.append(plan.rdd.getNumPartitions())
+    assert sent[0] == sent[1] == spark.sparkContext.defaultParallelism

@@ -114,3 +114,22 @@ def test_scores_have_as_many_iterations_as_the_halves(spark):
         "institution_id int, class_id int, student_id string, chapter_num int, page string")
     scores = engagement.split_half_scores(first, engagement.split_half_assign(first.filter("chapter_num = 2"), 7)).collect()
     assert len(scores) == 14 and all(r.half_1 is None and r.half_2 is None for r in scores if r.student_id == "b")
+
+
+def test_ranks_by_windows_and_by_joins_are_the_same(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), float(a), float(b), int(w)) for i in (1, 2) for a in range(6) for b, w in zip(rng.integers(0, 9, 5), rng.integers(1, 99, 5))]
+    pairs = spark.createDataFrame(rows, "iter int, half_1 double, half_2 double, w bigint").groupBy("iter", "half_1", "half_2").agg({"w": "sum"}) \
+        .withColumnRenamed("sum(w)", "w")
+    frames = [f(pairs).toPandas().sort_values(["iter", "half_1", "half_2"]) for f in (engagement._window_ranks, engagement._joined_ranks)]
+    columns = ["iter", "half_1", "half_2", "rank_1", "rank_2", *[f"_mean_{c}" for c in engagement.MEASURED]]
+    assert np.allclose(frames[0][columns].astype(float), frames[1][columns].astype(float))
+
+
+def test_reliability_pins_nothing_but_the_pairs(spark, monkeypatch):
+    pinned, pin = [], engagement.pin
+    monkeypatch.setattr(engagement, "pin", lambda df: pinned.append(1) or pin(df))
+    monkeypatch.setattr("syllabix.functions.joins.pin", lambda df: pinned.append(2) or pin(df))
+    df = spark.createDataFrame([(1, 0.1, 0.2), (1, 0.3, 0.7)], "iter int, half_1 double, half_2 double")
+    plan = engagement.split_half_reliability(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert pinned == [1] and "Join" not in plan
