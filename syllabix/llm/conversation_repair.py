@@ -80,8 +80,8 @@ def _illegal(pairs: Iterator[tuple[str, str]]) -> int:
     return sum(a + b not in LEGAL for a, b in pairs)
 
 
-def _chunks(flagged: DataFrame) -> DataFrame:
-    """Strings of at most ``CHUNK_ROWS`` symbols with the place of their first row, and their adjacent roles that are not legal.
+def _chunks(flagged: DataFrame, chunk_rows: int) -> DataFrame:
+    """Strings of at most ``chunk_rows`` symbols with the place of their first row, and their adjacent roles that are not legal.
 
     Rows are range-partitioned by conversation and place, so one conversation may span any
     number of tasks; a task holds one batch and one unfinished string.
@@ -104,7 +104,7 @@ def _chunks(flagged: DataFrame) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 symbol = row.pop("symbol")
-                if first is not None and (row["conv"] != first["conv"] or len(symbols) == CHUNK_ROWS):
+                if first is not None and (row["conv"] != first["conv"] or len(symbols) == chunk_rows):
                     out.append(done())
                     first = None
                 if first is None:
@@ -244,7 +244,7 @@ def _repaired(rows: DataFrame, audits: DataFrame) -> DataFrame:
     return dealt.select("conv", "edits", "role", "text").mapInArrow(run, schema)
 
 
-def repair(rows: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
+def repair(rows: DataFrame, max_rules: int = MAX_RULES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``conv``, ``gaps``, ``blank``, ``duplicate``, ``truncated``, ``illegal``, ``cost``, ``audit``, ``repaired_sha256`` of every conversation in ``rows``.
 
     ``rows`` has ``conv``, ``turn``, ``role`` and ``text`` (role and text not null). The edits and their costs are
@@ -252,7 +252,7 @@ def repair(rows: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     strings of all conversations share one Re-Pair grammar. Each rule has one min-plus
     matrix (state before and after: cost and audit rope), made bottom-up once per worker,
     and a string is the product of its symbols' matrices. A conversation longer than
-    ``CHUNK_ROWS`` is several strings in several tasks, joined by their costs.
+    ``chunk_rows`` is several strings in several tasks, joined by their costs.
     """
     ship_package(rows.sparkSession)
     whole = pin(rows.select(
@@ -262,7 +262,7 @@ def repair(rows: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     counts = flagged.groupBy("conv").agg(
         F.coalesce(F.try_subtract(F.max("turn"), F.min("turn")) + 1 - F.count_distinct("turn"), F.lit(0)).cast("bigint").alias("gaps"),
         *[F.count_if(c).alias(c) for c in ("blank", "duplicate", "truncated")])
-    chunks = pin(_chunks(flagged))
+    chunks = pin(_chunks(flagged, chunk_rows))
     rules = learned_rules(chunks, max_rules)
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
     keys = ", ".join(f"{c} {kinds[c]}" for c in ("conv", *PLACE))
@@ -281,7 +281,7 @@ def repair(rows: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
 
 def conversation_repair(
     conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    damage: bool = True, max_rules: int = MAX_RULES,
+    damage: bool = True, max_rules: int = MAX_RULES, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Cheapest structural repair of every conversation, one row each.
 
@@ -304,6 +304,6 @@ def conversation_repair(
         F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), blank).alias("role"), F.coalesce(F.col(text), blank).alias("text"))
     every = conversations.select(F.col(conv_id).alias("conv")).distinct()
     zero = F.lit(0).cast("bigint")
-    return null_safe_join(every, repair(rows, max_rules), ["conv"], "left").select(
+    return null_safe_join(every, repair(rows, max_rules, chunk_rows), ["conv"], "left").select(
         F.col("conv").alias(conv_id), *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(EMPTY_HASH)).alias("repaired_sha256"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache, reduce
 from math import ceil
 
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 from syllabix.functions.joins import lookup_join
 from syllabix.llm.common import map_batches
 from syllabix.llm.html_tree import GROUP, INLINE, TEXT, Node, folded, match, merge, raw_tree, read, relabelled, walk
-from syllabix.session import pin, ship_package
+from syllabix.session import pin, ship_package, spread
 
 # Fixed words: elements and class, id or role words of what is not the article.
-OUTSIDE_TAGS = frozenset("nav header footer aside form button select option menu dialog head label fieldset".split())
+OUTSIDE_TAGS = frozenset("nav header footer aside form button select option menu dialog head fieldset".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments "
     "commentlist commenter consent cookie cookies copyright disclaimer disqus dialog footer form gdpr header login masthead "
@@ -104,23 +103,60 @@ def _text_parts(root: Node) -> list[Node]:
     return [n for n in walk(root) if n.label == TEXT]
 
 
-def _analysed(columns: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"host": columns["host"], "page": [], "shape": [], "words": [], "texts": []}
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+# First sign of a piece of text: whether a border of a block stands before it.
+BORDER, NO_BORDER = " ", "-"
+PAGE_SCHEMA = (
+    "page_id {0}, url string, host string, page bigint, shape string, shape_key bigint, texts array<struct<text: bigint, chars: int>>, "
+    "parts array<int>, pieces array<string>")
+
+
+def _read_pages(columns: dict[str, list]) -> dict[str, list]:
+    """The one parse of a page: its elements, its text parts, and its pieces of text in page order with the numbers of their parts."""
+    out: dict[str, list] = {c: columns[c] for c in ("page_id", "url", "host")}
+    out |= {c: [] for c in ("page", "shape", "shape_key", "texts", "parts", "pieces")}
     for html in columns["html"]:
         root, items = raw_tree(html)
-        found = {id(n): "" for n in _text_parts(root)}
+        number = {id(n): k for k, n in enumerate(_text_parts(root))}
+        whole: list[list[str]] = [[] for _ in number]
+        parts: list[int] = []
+        pieces: list[list[str]] = []
+        border = False
         for kind, part, value in items:
-            if kind == "text":
-                found[id(part)] += " ".join(value.split()) + "\n"
-        out["page"].append(_hash("\0".join(found.values())))
-        out["shape"].append(root.write())
-        out["words"].append(sorted({w for n in walk(root) for w in n.label.split(".")[1:]}))
-        out["texts"].append([{"text": _hash(t), "chars": len(t)} for t in found.values()])
+            if kind == "border":
+                border = True
+                continue
+            k = number[id(part)]
+            whole[k].append(" ".join(value.split()))
+            if border or not parts or parts[-1] != k:
+                parts.append(k)
+                pieces.append([BORDER if border else NO_BORDER])
+                border = False
+            pieces[-1].append(value)
+        texts = ["\n".join([*w, ""]) for w in whole]
+        shape = root.write()
+        out["page"].append(_hash("\0".join(texts)))
+        out["shape"].append(shape)
+        out["shape_key"].append(_hash(shape))
+        out["texts"].append([{"text": _hash(t), "chars": len(t)} for t in texts])
+        out["parts"].append(parts)
+        out["pieces"].append(["".join(p) for p in pieces])
     return out
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def read_pages(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """Every page read once and written out: all that follows works on these rows."""
+    rows = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    return pin(map_batches(rows, _read_pages, PAGE_SCHEMA.format(pages.schema[page_id].dataType.simpleString())))
+
+
+def _words(columns: dict[str, list]) -> dict[str, list]:
+    words = [sorted({w for n in walk(read(shape)) for w in n.label.split(".")[1:]}) for shape in columns["shape"]]
+    return {"host": columns["host"], "words": words, "n": columns["n"]}
 
 
 def _expressions(columns: dict[str, list]) -> dict[str, list]:
@@ -183,14 +219,24 @@ def aligned(raw: Node, wrapper: Node, numbers: dict[int, int]) -> dict[int, int]
     return found
 
 
-def _observed(columns: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"host": columns["host"], "slots": []}
-    for shape, texts, written in zip(columns["shape"], columns["texts"], columns["wrapper"], strict=True):
+def _aligned(columns: dict[str, list]) -> dict[str, list]:
+    """Slots of all parts of a shape, and of its text parts."""
+    out: dict[str, list] = {c: columns[c] for c in ("host", "shape_key", "shape")} | {"slots": [], "text_slots": []}
+    for shape, written in zip(columns["shape"], columns["wrapper"], strict=True):
         raw = read(shape)
         slot_of = aligned(raw, *_wrapper(written))
+        nodes = list(walk(raw))
+        out["slots"].append([slot_of[id(n)] for n in nodes])
+        out["text_slots"].append([slot_of[id(n)] for n in nodes if n.label == TEXT])
+    return out
+
+
+def _observed(columns: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {"host": columns["host"], "slots": []}
+    for slots, texts in zip(columns["text_slots"], columns["texts"], strict=True):
         seen: dict[int, list] = {}
-        for part, text in zip(_text_parts(raw), texts, strict=True):
-            seen.setdefault(slot_of[id(part)], []).append(text)
+        for slot, text in zip(slots, texts, strict=True):
+            seen.setdefault(slot, []).append(text)
         out["slots"].append([
             {"slot": s, "text": _hash(str([t["text"] for t in ts])), "chars": sum(t["chars"] for t in ts)} for s, ts in seen.items()])
     return out
@@ -286,7 +332,7 @@ def _decided(columns: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """``host``, ``wrapper``, ``region`` (the wrapper's part that holds the article, by number, 0 if none
     does) and ``dropped`` (its parts that are template or links), one row per host.
 
@@ -295,47 +341,58 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
     pages: text becomes a slot and runs of like siblings a repeated group. The distinct
     expressions of a host are aligned, ``JOINED`` at a time, and mismatches become
     optional or repeated parts; no alternatives are made, and width and number of parts
-    are bounded. Then every page is matched against the wrapper, and per slot the texts
-    and characters of all pages are summed up before the shuffle.
+    are bounded. Then every shape (the elements of a page) is matched against the wrapper once, and per slot
+    the texts and characters of all pages are summed up before the shuffle.
     """
-    ship_package(pages.sparkSession)
-    rows = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    content = "struct<shape: string, words: array<string>, texts: array<struct<text: bigint, chars: int>>>"
-    analysed = map_batches(
-        rows, _analysed, "host string, page bigint, shape string, words array<string>, texts array<struct<text: bigint, chars: int>>")
-    distinct = pin(analysed.groupBy("host", "page").agg(
-        F.min(F.struct("shape", "words", "texts").cast(content)).alias("_page")).select("host", "page", "_page.*"))
+    return _inferred(read_pages(pages, html, url, page_id))[0]
+
+
+def _inferred(read_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hosts' wrappers, and the slots of every shape of a host: ``host``, ``shape_key``, ``shape``, ``slots``, ``text_slots``."""
+    ship_package(read_.sparkSession)
+    # Pages of one number have the same texts.
+    distinct = pin(read_.groupBy("host", "page").agg(F.min(F.struct("shape", "shape_key")).alias("s"), F.first("texts").alias("texts")).select(
+        "host", "page", "s.shape", "s.shape_key", "texts"))
     counted = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
-    words = distinct.select("host", F.explode("words").alias("word")).groupBy("host", "word").agg(F.count(F.lit(1)).alias("_n"))
+    shapes = pin(distinct.groupBy("host", "shape_key").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n")))
+    listed = map_batches(shapes.select("host", "shape", "n"), _words, "host string, words array<string>, n bigint")
+    words = listed.select("host", F.explode("words").alias("word"), "n").groupBy("host", "word").agg(F.sum("n").alias("_n"))
     kept = words.join(counted, "host").filter(F.col("_n") * RARE_WORD >= F.col("_pages")).groupBy("host").agg(
         F.sort_array(F.collect_list("word")).alias("kept"))
     expressions = map_batches(
-        lookup_join(distinct, kept, ["host"]).select("host", "shape", "kept"), _expressions, "host string, wrapper string")
+        lookup_join(shapes, kept, ["host"]).select("host", "shape", "kept"), _expressions, "host string, wrapper string")
     wrappers = _one_per_host(pin(expressions.distinct()))
-    observed = map_batches(
-        lookup_join(distinct, wrappers, ["host"]).select("host", "shape", "texts", "wrapper"), _observed,
-        "host string, slots array<struct<slot: int, text: bigint, chars: bigint>>")
+    # Shapes of copies that stand for no page of their own have slots as well.
+    every = read_.groupBy("host", "shape_key").agg(F.min("shape").alias("shape"))
+    slots = pin(map_batches(
+        spread(lookup_join(every, wrappers, ["host"]).select("host", "shape_key", "shape", "wrapper")), _aligned,
+        "host string, shape_key bigint, shape string, slots array<int>, text_slots array<int>"))
+    met = lookup_join(distinct.select("host", "shape_key", "texts"), slots.select("host", "shape_key", "text_slots"), ["host", "shape_key"], "inner")
+    observed = map_batches(met, _observed, "host string, slots array<struct<slot: int, text: bigint, chars: bigint>>")
     seen = observed.select("host", F.explode("slots").alias("s")).groupBy("host", "s.slot").agg(
         F.min("s.text").alias("low"), F.max("s.text").alias("high"), F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"))
-    slots = seen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "low", "high", "pages", "chars"))).alias("slots"))
-    return pin(map_batches(
-        wrappers.join(slots, "host", "left"), _decided, "host string, wrapper string, region int, dropped array<int>"))
+    gathered = seen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "low", "high", "pages", "chars"))).alias("slots"))
+    decided = map_batches(
+        wrappers.join(gathered, "host", "left"), _decided, "host string, wrapper string, region int, dropped array<int>")
+    return pin(decided), slots
+
 
+def decided_by_shape(root: Node) -> bool:
+    """Whether the parts outside the article are the same whatever the lengths of the texts."""
+    nodes = list(walk(root))
+    return any(tag_of(n.label) in MAIN_TAGS for n in nodes) or not any(named_outside(n.label) for n in nodes)
 
-def article_text(html: str, written: str | None, region: int, dropped: list[int]) -> str:
-    """Texts of the page that stand in its wrapper's region, in page order, but for what is template, links or named outside.
+
+def wanted_parts(root: Node, slots: list[int], region: int, dropped: list[int], chars: list[int]) -> list[int]:
+    """Numbers of the text parts that stand in the wrapper's region, but for what is template, links or named outside.
 
     A page that has nothing there, or whose wrapper has no region, gives the texts of its
     deepest kind of main element, even if they are empty, and without one all others.
-    White space is one space, and so is the border of a block.
     """
-    root, items = raw_tree(html)
-    chars: dict[int, int] = {}
-    for kind, part, value in items:
-        if kind == "text":
-            chars[id(part)] = chars.get(id(part), 0) + len(value)
-    out = outside_parts(root, chars)
-    slot_of = aligned(root, *_wrapper(written)) if written else {}
+    nodes = list(walk(root))
+    slot_of = {id(n): s for n, s in zip(nodes, slots, strict=True)}
+    texts = [n for n in nodes if n.label == TEXT]
+    out = outside_parts(root, {id(n): c for n, c in zip(texts, chars, strict=False)})
     gone = set(dropped)
     inside: set[int] = set()
     depth: dict[int, int] = {}
@@ -343,7 +400,7 @@ def article_text(html: str, written: str | None, region: int, dropped: list[int]
     stack = [(root, False, 0, False)]
     while stack:
         node, found, main, lost = stack.pop()
-        at = slot_of.get(id(node), 0)
+        at = slot_of[id(node)]
         found = found or bool(region and at == region)
         lost = lost or id(node) in out or (at in gone and at != region)
         main = max(main, main_depth(node.label))
@@ -353,33 +410,63 @@ def article_text(html: str, written: str | None, region: int, dropped: list[int]
             if found:
                 inside.add(id(node))
         stack.extend((c, found, main, lost) for c in node.children)
-    placed = any(id(part) in inside for kind, part, _ in items if kind == "text")
+    placed = any(id(n) in inside for n in texts)
     wanted = inside if placed else {n for n, d in depth.items() if d == best}
-    parts = [value if kind == "text" else " " for kind, part, value in items if kind == "border" or id(part) in wanted]
-    return " ".join("".join(parts).split())
+    return [k for k, n in enumerate(texts) if id(n) in wanted]
+
+
+def _placed(columns: dict[str, list]) -> dict[str, list]:
+    """The wanted parts of every shape; for a shape that lengths of texts decide on, what is needed to find them."""
+    out: dict[str, list] = {c: columns[c] for c in ("host", "shape_key")} | {c: [] for c in ("wanted", "slots", "region", "dropped")}
+    for shape, slots, region, dropped in zip(*(columns[c] for c in ("shape", "slots", "region", "dropped")), strict=True):
+        root = read(shape)
+        fixed = decided_by_shape(root)
+        out["wanted"].append(wanted_parts(root, slots, region or 0, dropped or [], []) if fixed else None)
+        for name, value in (("slots", slots), ("region", region or 0), ("dropped", dropped or [])):
+            out[name].append(None if fixed else value)
+    return out
+
+
+@lru_cache(maxsize=200)
+def _shape(written: str) -> Node:
+    return read(written)
 
 
 def _texts(columns: dict[str, list]) -> dict[str, list]:
-    texts = [
-        article_text(html, written, region or 0, dropped or [])
-        for html, written, region, dropped in zip(*(columns[c] for c in ("html", "wrapper", "region", "dropped")), strict=True)
-    ]
-    return {"page_id": columns["page_id"], "url": columns["url"], "text": texts}
+    out = []
+    names = ("parts", "pieces", "shape", "wanted", "slots", "region", "dropped")
+    for parts, pieces, shape, wanted, slots, region, dropped in zip(*(columns[c] for c in names), strict=True):
+        if wanted is None:
+            chars = [0] * (max(parts, default=-1) + 1)
+            for k, piece in zip(parts, pieces, strict=True):
+                chars[k] += len(piece) - 1
+            wanted = wanted_parts(_shape(shape), slots, region, dropped, chars)
+        chosen = set(wanted)
+        # The border in front of a piece stands, whether the piece does or not.
+        whole = [piece[0].replace(NO_BORDER, "") + (piece[1:] if k in chosen else "") for k, piece in zip(parts, pieces, strict=True)]
+        out.append(" ".join("".join(whole).split()))
+    return {"page_id": columns["page_id"], "url": columns["url"], "text": out}
 
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """``page_id``, ``url``, ``text`` of every page: the article that its host's wrapper locates.
 
+    Every page is parsed once; its elements, texts and their borders are written out. A host's
+    different shapes are aligned with its wrapper once each, and the result is put
+    together from the written pieces. White space is one space, and so is the border of a block.
+
     A missing page is empty and a page without an article gives an empty text. Missing
     and unreadable addresses share one wrapper. Missing identifiers and repeated rows are
     extracted row by row; other columns are not read; an empty table gives no rows.
-    Character references are decoded. Wrappers are looked up by a measured broadcast, or
-    by a shuffle where the hosts are too many.
+    Character references are decoded. Shapes are looked up by a measured broadcast, or
+    by a shuffle where they are too many.
     """
-    wrappers = infer_wrappers(pages, html, url)
-    rows = pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"),
-        host_of(url).alias("host"))
+    read_ = read_pages(pages, html, url, page_id)
+    wrappers, slots = _inferred(read_)
+    found = lookup_join(slots.select("host", "shape_key", "shape", "slots"), wrappers.drop("wrapper"), ["host"])
+    placed = map_batches(
+        found, _placed, "host string, shape_key bigint, wanted array<int>, slots array<int>, region int, dropped array<int>")
+    rows = lookup_join(read_.select("page_id", "url", "host", "shape", "shape_key", "parts", "pieces"), placed, ["host", "shape_key"])
     kind = pages.schema[page_id].dataType.simpleString()
-    found = map_batches(lookup_join(rows, wrappers, ["host"]), _texts, f"page_id {kind}, url string, text string")
-    return found.withColumnsRenamed({"page_id": page_id, "url": url})
+    texts = map_batches(rows.drop("host", "shape_key"), _texts, f"page_id {kind}, url string, text string")
+    return texts.withColumnsRenamed({"page_id": page_id, "url": url})

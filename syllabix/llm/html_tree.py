@@ -13,10 +13,11 @@ GROUP = "()"
 
 # Fixed values of HTML: elements without content, with raw text, and without a line of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong "
-    "sub sup time tt u var wbr".split())
+    "sub sup time tt u var wbr object math mi mn mo ms mtext mrow mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover "
+    "semantics".split())
 # Start tags that end an open paragraph.
 ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section "

@@ -20,8 +20,8 @@ _SENTENCES = re.compile(r"[^.!?\n]+[.!?\n]*").finditer
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*").findall
 # Characters of a word's beginning that stand for words of one stem.
 PREFIX = 4
-# Words remembered per Python worker; at this number the memory is emptied.
-MAX_REMEMBERED = 250_000
+# Words of usual length remembered per Python worker; at this number the memory is emptied.
+MAX_REMEMBERED, USUAL_LENGTH = 250_000, 64
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,9 @@ class WordWeights(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= MAX_REMEMBERED:
             self.clear()
-        self[word] = found = sum(self._weights.get(f, 0.0) for f in features(word))
+        found = sum(self._weights.get(f, 0.0) for f in features(word))
+        if len(word) <= USUAL_LENGTH:
+            self[word] = found
         return found
 
 

@@ -272,7 +272,8 @@ def test_equal_rows_spread_over_groups_and_meet_windows_once(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small}/{table}.parquet')")
     df, result = REGISTRY[name](spark, small), con.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
