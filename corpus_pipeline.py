@@ -1,19 +1,20 @@
 """Corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor kept and
-returns a DataFrame; all but the last return the columns of ``documents``.
+returns a DataFrame; all but the last return the columns of ``documents``. Stages that
+compare documents number their rows first and decide row by row, so rows without
+identifier and rows that share one have a fate of their own.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syllabix.llm.common import drop_documents, fold, table
+from syllabix.llm.common import drop_documents, fold, table, unused_name
 from syllabix.llm.exact_dedup import exact_dedup
 from syllabix.llm.mixing import mix
 from syllabix.llm.near_dedup import near_dedup
@@ -21,16 +22,25 @@ from syllabix.llm.packing import pack_documents
 from syllabix.llm.queries import TREE_WEIGHTS, WORD_VOCABULARY, source_tree
 from syllabix.llm.toxicity import Settings, reject_toxic, train
 from syllabix.llm.training import labelled_sample
-from syllabix.session import ensure_checkpoint_dir, pin
+from syllabix.session import pin
 
 # Share of the tokens that mixing keeps, and the score from which a document is toxic.
 MIXED_SHARE, TOXIC_FROM = 0.8, 0.3
 
 
-def _without(docs: DataFrame, decided: DataFrame, kept: str) -> DataFrame:
-    """Documents of which ``decided`` keeps a row; rows that share an identifier share its fate."""
-    dropped = decided.groupBy("doc_id").agg(F.max(F.col(kept).cast("int")).alias("_any")).filter("_any = 0")
-    return drop_documents(docs, pin(dropped.select("doc_id")))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written out with a number for every row, and the number's column."""
+    row = unused_name(docs, "row_number")
+    return pin(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _one_of_each(numbered: DataFrame, row: str, grouped: DataFrame, group: str, best: Column) -> DataFrame:
+    """``numbered`` with one row of every group of ``grouped`` (``row`` and ``group``): that with the least ``best``, then the first."""
+    members = pin(grouped.select(F.col(row).alias("_row"), F.col(group).alias("_group")).join(
+        numbered.select(F.col(row).alias("_row"), "doc_id"), "_row").select("_row", "_group", best.alias("_best")))
+    kept = members.groupBy("_group").agg(F.min(F.struct("_best", "_row"))["_row"].alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    dropped = members.join(kept, "_group").filter("_row <> _kept").select(F.col("_row").alias(row))
+    return drop_documents(numbered, pin(dropped), row).drop(row)
 
 
 def reject_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +52,29 @@ def reject_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts, the row with the largest doc_id stays."""
-    return _without(docs, exact_dedup(docs), "kept")
+    """Of identical texts, one row with the largest doc_id stays; rows without one only if no other has the text."""
+    numbered, row = _numbered(docs)
+    grouped = exact_dedup(numbered, doc_id=row).filter("group_size > 1")
+    return _one_of_each(numbered, row, grouped, "keep_id", F.struct(F.isnull("doc_id"), -F.col("doc_id").cast("decimal(20,0)")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the row with the smallest doc_id stays."""
-    return _without(docs, near_dedup(docs), "kept")
+    """Of near copies, one row with the smallest doc_id stays; rows without one only if the group has no other."""
+    numbered, row = _numbered(docs)
+    return _one_of_each(numbered, row, near_dedup(numbered, doc_id=row), "component_id", F.struct(F.isnull("doc_id"), F.col("doc_id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, mixed to the weights of the source tree; no document twice."""
-    chosen = mix(docs, source_tree(), TREE_WEIGHTS, MIXED_SHARE, max_epochs=1, seed=20)
-    decided = docs.select("doc_id").distinct().join(
-        chosen.select("doc_id").distinct().withColumn("_chosen", F.lit(True)), "doc_id", "left")
-    return drop_documents(docs, pin(decided.filter("_chosen IS NULL").select("doc_id")))
+    """Four fifths of the tokens, mixed to the weights of the source tree; no document twice.
+
+    Rows without identifier are drawn by their number; rows that share one are drawn together.
+    """
+    numbered, row = _numbered(docs)
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col(row)))
+    named = pin(numbered.select(row, drawn.alias("drawn"), "lang", "source", "text"))
+    chosen = mix(named, source_tree(), TREE_WEIGHTS, MIXED_SHARE, max_epochs=1, seed=20, doc_id="drawn").select("drawn", "lang", "source").distinct()
+    kept = named.select(row, "drawn", *[F.coalesce(c, F.lit("(missing)")).alias(c) for c in ("lang", "source")]).join(chosen, ["drawn", "lang", "source"], "left_anti")
+    return drop_documents(numbered, pin(kept.select(row)), row).drop(row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,13 +95,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    """All stages over ``documents``, each written as Parquet and read again by the next; ``release_pinned`` deletes what they wrote."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        result = stage(spark, docs, sf_dir)
-        if number == len(STAGES) - 1:
-            return result
-        result.write.parquet(f"{folder}/{number}")
-        docs = spark.read.parquet(f"{folder}/{number}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = pin(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
