@@ -11,10 +11,13 @@ import re
 from syllabix.catalog.specs import (
     ENGAGEMENT_MODELS,
     FEATURES,
+    ITEM_AUDITS,
     ITERATIONS,
+    MERGED_MEASURES,
     MERGED_MODELS,
     MERGED_QUIZ_MODELS,
     OLS_MODELS,
+    QUIZ_AUDITS,
     QUIZ_MODELS,
 )
 from syllabix.sources.roles import ROLES, duckdb_sql
@@ -273,8 +276,7 @@ def _correlations(moments: str) -> str:
 
 STEPS["pair_moments"] = _pairs("profiles", FEATURES)
 STEPS["correlations"] = _correlations("pair_moments")
-STEPS["pair_moments_merged"] = _pairs("averages", [
-    "avg_prop_pages_complete", "avg_eoc_score", "construct_mean_anxiety_math", "construct_mean_stress_expectation"])
+STEPS["pair_moments_merged"] = _pairs("averages", MERGED_MEASURES)
 STEPS["correlations_merged"] = _correlations("pair_moments_merged")
 STEPS["graded"] = "SELECT * FROM averages JOIN assessments USING (student_id) WHERE quiz_mean IS NOT NULL"
 STEPS["pair_moments_wide"] = _pairs("wide", [f"construct_mean_{c}" for c in CONSTRUCTS])
@@ -299,11 +301,15 @@ FROM cell_sums JOIN stat USING (g) CROSS JOIN span CROSS JOIN range(512) r(i) GR
 
 # Clusters: the few variables allow every partition to be looked at.
 
-STEPS["profile_cells"] = """SELECT var_i, var_j, r FROM correlations UNION ALL SELECT var_j, var_i, r FROM correlations
-UNION ALL SELECT DISTINCT var_i, var_i, 1.0::double FROM (SELECT var_i FROM correlations UNION ALL SELECT var_j FROM correlations) v"""
-STEPS["scaled_cells"] = """SELECT var_i, var_j, (r - avg(r) OVER (PARTITION BY var_j)) / stddev_samp(r) OVER (PARTITION BY var_j) AS r
-FROM profile_cells"""
-for _tag, _source in (("scaled", "scaled_cells"), ("plain", "profile_cells")):
+for _tail in ("", "_merged"):
+    STEPS[f"profile_cells{_tail}"] = f"""SELECT var_i, var_j, r FROM correlations{_tail}
+UNION ALL SELECT var_j, var_i, r FROM correlations{_tail}
+UNION ALL SELECT DISTINCT var_i, var_i, 1.0::double FROM (
+  SELECT var_i FROM correlations{_tail} UNION ALL SELECT var_j FROM correlations{_tail}) v"""
+    STEPS[f"scaled_cells{_tail}"] = f"""SELECT var_i, var_j,
+  (r - avg(r) OVER (PARTITION BY var_j)) / stddev_samp(r) OVER (PARTITION BY var_j) AS r FROM profile_cells{_tail}"""
+for _tag, _source in (("scaled", "scaled_cells"), ("plain", "profile_cells"),
+                      ("scaled_merged", "scaled_cells_merged"), ("plain_merged", "profile_cells_merged")):
     STEPS[f"apart_{_tag}"] = f"""SELECT a.var_i AS v, b.var_i AS u, sum(pow(a.r - b.r, 2)) AS d2
 FROM {_source} a JOIN {_source} b USING (var_j) GROUP BY ALL"""
 
@@ -329,14 +335,15 @@ cheapest AS (
 STEPS["outcomes"] = """SELECT *, y + class_id * 0.02::double + c1 * 0.2::double AS outcome FROM profiles"""
 STEPS["conditions"] = """SELECT *, CASE WHEN module_variation = 'B' THEN 1.0::double ELSE 0.0::double END AS arm_b
 FROM condition_survey"""
-STEPS["slots"] = """SELECT class_id, student_id, row_number() OVER (PARTITION BY class_id ORDER BY student_id) AS slot,
-  count(*) OVER (PARTITION BY class_id) AS size FROM (SELECT DISTINCT class_id, student_id FROM profiles) e"""
-STEPS["resample"] = f"""SELECT d.iter, d.class_id, s.student_id, count(*) AS w FROM (
+for _tail, _students, _rows in (("", "profiles", "outcomes"), ("_merged", "averages", "averages")):
+    STEPS[f"slots{_tail}"] = f"""SELECT class_id, student_id, row_number() OVER (PARTITION BY class_id ORDER BY student_id) AS slot,
+  count(*) OVER (PARTITION BY class_id) AS size FROM (SELECT DISTINCT class_id, student_id FROM {_students}) e"""
+    STEPS[f"resample{_tail}"] = f"""SELECT d.iter, d.class_id, s.student_id, count(*) AS w FROM (
   SELECT i.iter, class_id,
     ('0x' || substr(md5(concat_ws('|', '123', i.iter, class_id, slot)), 1, 8))::bigint % size + 1 AS pick
-  FROM slots, range(1, {ITERATIONS + 1}) i(iter)) d
-JOIN slots s ON d.class_id = s.class_id AND d.pick = s.slot GROUP BY ALL"""
-STEPS["drawn"] = """SELECT r.iter, o.* FROM resample r JOIN outcomes o USING (class_id, student_id), range(r.w) k"""
+  FROM slots{_tail}, range(1, {ITERATIONS + 1}) i(iter)) d
+JOIN slots{_tail} s ON d.class_id = s.class_id AND d.pick = s.slot GROUP BY ALL"""
+    STEPS[f"drawn{_tail}"] = f"""SELECT r.iter, o.* FROM resample{_tail} r JOIN {_rows} o USING (class_id, student_id), range(r.w) k"""
 
 
 class Sweep:
@@ -556,6 +563,14 @@ def _bootstrap(final: str) -> str:
     return mixed_sql("drawn", "outcome", "class_id", QUIZ_MODELS, final, by="iter")
 
 
+def _summary(actual: str) -> str:
+    """Mean and interval of the relative AICs over iterations, beside those of the actual data."""
+    return f"""SELECT model, {r6("avg(rel)", "mean")}, {r6("quantile_cont(rel, 0.025)", "lb")},
+  {r6("quantile_cont(rel, 0.975)", "ub")}, {r6("any_value(aic_value)", "aic_value")}
+FROM (SELECT iter, model, {REL.format("baseline", "PARTITION BY iter")} AS rel FROM models) r
+LEFT JOIN ({actual}) actual USING (model) GROUP BY model"""
+
+
 def _relative_columns() -> str:
     columns = [r6(f"max(aic) FILTER (model = '{m}') - max(aic) FILTER (model = 'baseline')", f"rel_{m}") for m in QUIZ_MODELS]
     columns += [
@@ -591,11 +606,69 @@ BIGINT = {
 }
 
 
+def _audits(source: str, audits: dict[str, tuple[list[str], int]]) -> str:
+    """One grouping per audit; keys an audit does not use are missing."""
+    columns = list(dict.fromkeys(k for keys, _ in audits.values() for k in keys))
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS audit, {', '.join(r6(c, c) if c == 'chapter_num' else c for c in columns)}, nrows FROM ("
+        f"SELECT {', '.join(c if c in keys else f'NULL AS {c}' for c in columns)}, count(*) AS nrows FROM {source} "
+        f"GROUP BY {', '.join(keys)} HAVING count(*) > {most}) {name}" for name, (keys, most) in audits.items())
+
+
+def _choose_k(tag: str, variables: list[str], ks: str) -> str:
+    """Mean Euclidean silhouette of the cheapest partition per k."""
+    return partitions(tag, variables, ks) + f""",
+near AS (
+  SELECT a.id, a.k, a.v, a.block AS own, b.block AS other, sum(sqrt(d2)) AS total, count(*) AS n
+  FROM cheapest c JOIN member a USING (id, k) JOIN member b ON b.id = a.id JOIN apart_{tag} d ON d.v = a.v AND d.u = b.v GROUP BY ALL),
+widths AS (
+  SELECT k, v, max(n) FILTER (own = other) AS size, max(total) FILTER (own = other) / nullif(max(n) FILTER (own = other) - 1, 0) AS a,
+    min(total / n) FILTER (own <> other) AS b FROM near GROUP BY k, v),
+silhouettes AS (SELECT k, avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM widths GROUP BY k)
+SELECT cast(k AS bigint) AS k, {r6("cost", "cost")}, {r6("silhouette", "silhouette")},
+  silhouette = max(silhouette) OVER () AS best, true AS converged FROM silhouettes JOIN cheapest USING (k)"""
+
+
+def _cluster_profiles(tag: str, variables: list[str], correlations: str) -> str:
+    """The correlation table with the clusters of the cheapest partition in two."""
+    diagonal = " UNION ALL ".join(f"SELECT '{c}', '{c}', 1.0::double, 0.0::double" for c in variables)
+    return partitions(tag, variables, "(2)") + f""",
+chosen AS (SELECT v, cast(block AS bigint) AS block FROM cheapest JOIN member USING (id, k)),
+shown AS (SELECT var_i, var_j, r, p_holm AS p FROM {correlations} UNION ALL SELECT var_j, var_i, r, p FROM {correlations}
+  UNION ALL {diagonal}),
+lead AS (SELECT c.v, dense_rank() OVER (ORDER BY first) AS block FROM (SELECT v, min(v) OVER (PARTITION BY block) AS first FROM chosen) c)
+SELECT var_i, i.block AS cluster_i, var_j, j.block AS cluster_j, {r6("r", "r")}, {r6("p", "p")}
+FROM shown JOIN lead i ON i.v = var_i JOIN lead j ON j.v = var_j"""
+
+
+def _condition_effects(final: str) -> str:
+    """Outcomes of merged students in both arms, one row per student and outcome."""
+    return f"""WITH placed AS (SELECT DISTINCT student_id, module_variation AS arm FROM condition_survey WHERE module_variation IN ('A', 'B')),
+measured AS (
+  SELECT outcome, arm, y FROM (
+    SELECT arm, avg_eoc_score, avg_prop_pages_complete FROM averages JOIN placed USING (student_id)
+    WHERE avg_eoc_score IS NOT NULL AND avg_prop_pages_complete IS NOT NULL) m
+  UNPIVOT (y FOR outcome IN (avg_eoc_score, avg_prop_pages_complete))),
+arms AS (SELECT outcome, arm, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM measured GROUP BY ALL),
+outcomes_ AS (
+  SELECT outcome, sum(n) AS total, sum(ss) AS rss1, count(*) AS groups, any_value(rss0) AS rss0
+  FROM arms JOIN (SELECT outcome, var_pop(y) * count(*) AS rss0 FROM measured GROUP BY outcome) w USING (outcome) GROUP BY outcome)
+{final}"""
+
+
 def oracle() -> dict[str, str]:
     """SQL per registered query."""
     sql: dict[str, str] = {}
     sql["a1_read_table"] = "SELECT * REPLACE (round(c_acctbal, 6) AS c_acctbal) FROM customer"
     sql["a1_read_table_csv"] = "SELECT doc_id, lang, text FROM documents"
+    shaped = "c_custkey % 50 NOT IN (0, 1)"
+    sql["a1_read_with_rejects"] = f"""SELECT 'rows' AS kind, '' AS name, count(*) AS n FROM customer WHERE {shaped} AND c_custkey % 50 <> 2
+UNION ALL SELECT 'rejects', CASE c_custkey % 50 WHEN 0 THEN 'quotes do not pair' WHEN 1 THEN 'not 4 fields' ELSE 'c_acctbal is no double' END,
+  count(*) FROM customer WHERE c_custkey % 50 < 3 GROUP BY ALL
+""" + "\n".join(f"UNION ALL SELECT 'missing', '{c}', count(*) FILTER ({c} IS NULL) FROM customer WHERE {shaped}\n"
+                f"UNION ALL SELECT 'unreadable', '{c}', 0" for c in ("c_custkey", "c_name", "c_nationkey")) + f"""
+UNION ALL SELECT 'missing', 'c_acctbal', count(*) FILTER (c_acctbal IS NULL OR c_custkey % 50 = 3) FROM customer WHERE {shaped}
+UNION ALL SELECT 'unreadable', 'c_acctbal', count(*) FROM customer WHERE c_custkey % 50 = 2"""
     sql["a2_drop_index_column"] = f"SELECT s_name, s_nationkey, {r6('s_acctbal', 's_acctbal')} FROM supplier"
     sql["a2_drop_index_column_csv"] = f"""SELECT release, book, chapter, page, {r6("chapter_num", "chapter_num")},
   {r6("page_num", "page_num")} FROM page_codebook"""
@@ -716,22 +789,10 @@ FROM survey_responses GROUP BY ALL HAVING count(*) > 1"""
     sql["f5_correlation_table"] = f"""SELECT var_i, var_j, {r6("r", "r")}, {r6("p", "p")} FROM (
   SELECT var_i, var_j, r, p_holm AS p FROM correlations UNION ALL SELECT var_j, var_i, r, p FROM correlations
   UNION ALL {diagonal}) c"""
-    sql["f6_choose_k"] = partitions("scaled", FEATURES, "(2, 3, 4, 5, 6)") + f""",
-near AS (
-  SELECT a.id, a.k, a.v, a.block AS own, b.block AS other, sum(sqrt(d2)) AS total, count(*) AS n
-  FROM cheapest c JOIN member a USING (id, k) JOIN member b ON b.id = a.id JOIN apart_scaled d ON d.v = a.v AND d.u = b.v GROUP BY ALL),
-widths AS (
-  SELECT k, v, max(n) FILTER (own = other) AS size, max(total) FILTER (own = other) / nullif(max(n) FILTER (own = other) - 1, 0) AS a,
-    min(total / n) FILTER (own <> other) AS b FROM near GROUP BY k, v),
-silhouettes AS (SELECT k, avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM widths GROUP BY k)
-SELECT cast(k AS bigint) AS k, {r6("cost", "cost")}, {r6("silhouette", "silhouette")},
-  silhouette = max(silhouette) OVER () AS best, true AS converged FROM silhouettes JOIN cheapest USING (k)"""
-    sql["f7_cluster_profiles"] = partitions("plain", FEATURES, "(2)") + f""",
-chosen AS (SELECT v, cast(block AS bigint) AS block FROM cheapest JOIN member USING (id, k)),
-shown AS (SELECT var_i, var_j, r, p_holm AS p FROM correlations UNION ALL SELECT var_j, var_i, r, p FROM correlations
-  UNION ALL {diagonal})
-SELECT var_i, i.block AS cluster_i, var_j, j.block AS cluster_j, {r6("r", "r")}, {r6("p", "p")}
-FROM shown JOIN chosen i ON i.v = var_i JOIN chosen j ON j.v = var_j"""
+    sql["f6_choose_k"] = _choose_k("scaled", FEATURES, "(2, 3, 4, 5, 6)")
+    sql["f7_cluster_profiles"] = _cluster_profiles("plain", FEATURES, "correlations")
+    sql["f6_choose_k_merged"] = _choose_k("scaled_merged", MERGED_MEASURES, "(2, 3)")
+    sql["f7_cluster_profiles_merged"] = _cluster_profiles("plain_merged", MERGED_MEASURES, "correlations_merged")
     sql["f8_density_by_group"] = _density(
         "engaged", "proportion_pages_complete_student", "chapter_num", 1.5, "0", "1",
         "AND proportion_pages_complete_student BETWEEN 0 AND 1").replace("FROM v)", "FROM v LIMIT 1)")
@@ -784,10 +845,19 @@ SELECT 'baseline' AS model_0, '{{0}}' AS model_1, cast(df AS bigint) AS df, {r6(
     sql["g7_bootstrap_relative"] = _bootstrap(f"SELECT iter, {_relative_columns()} FROM models GROUP BY iter")
     compared = {m: QUIZ_MODELS[m] for m in ("baseline", "attitudes", "nervous", "exp_confval")}
     actual = mixed_sql("outcomes", "outcome", "class_id", compared, f"SELECT model, {relative} AS aic_value FROM models")
-    sql["g8_transpose_summary"] = _bootstrap(f"""SELECT model, {r6("avg(rel)", "mean")}, {r6("quantile_cont(rel, 0.025)", "lb")},
-  {r6("quantile_cont(rel, 0.975)", "ub")}, {r6("any_value(aic_value)", "aic_value")}
-FROM (SELECT iter, model, {REL.format("baseline", "PARTITION BY iter")} AS rel FROM models) r
-LEFT JOIN ({actual}) actual USING (model) GROUP BY model""")
+    sql["g8_transpose_summary"] = _bootstrap(_summary(actual))
+    merged_actual = mixed_sql("averages", "avg_eoc_score", "class_id", MERGED_QUIZ_MODELS, f"SELECT model, {relative} AS aic_value FROM models")
+    sql["g8_transpose_summary_merged"] = mixed_sql(
+        "drawn_merged", "avg_eoc_score", "class_id", MERGED_QUIZ_MODELS, _summary(merged_actual), by="iter")
+    f_value = "((rss0 - rss1) / (groups - 1) / (rss1 / (total - groups)))"
+    f_p = f_tail("f_value", "(df_model * 1.0)", "(df_residual * 1.0)")
+    sql["g10_nested_f_test_conditions"] = _condition_effects(f"""SELECT 'baseline' AS model_0, 'condition' AS model_1, df_model, df_residual,
+  {r6("rss0", "rss0")}, {r6("rss1", "rss1")}, {r6("f_value", "f_value")}, {r6(f_p, "p_value")}, outcome FROM (
+  SELECT *, cast(groups - 1 AS bigint) AS df_model, cast(total - groups AS bigint) AS df_residual, {f_value} AS f_value FROM outcomes_) f""")
+    spread = f"{t_975('df')} * std_error"
+    sql["g12_predicted_means_conditions"] = _condition_effects(f"""SELECT arm AS module_variation, n, {r6("m", "predicted")},
+  {r6("std_error", "std_error")}, {r6(f"m - {spread}", "lower")}, {r6(f"m + {spread}", "upper")}, {r6("m", "sample_avg")}, outcome FROM (
+  SELECT *, (total - groups) * 1.0 AS df, sqrt(rss1 / (total - groups) / n) AS std_error FROM arms JOIN outcomes_ USING (outcome)) p""")
     sql["g9_fit_ols"] = ols_sql("profiles", "y", OLS_MODELS, _ols_terms())
     sql["g9_fit_ols_arm"] = ols_sql("conditions", "y1", {"model": ["arm_b"]}, _ols_terms())
     sql["g10_nested_f_test"] = ols_sql("profiles", "y", OLS_MODELS, _f_test("two", "five"))
@@ -804,4 +874,6 @@ LEFT JOIN ({actual}) actual USING (model) GROUP BY model""")
     for name, columns in BIGINT.items():
         casts = ", ".join(f"cast({c} AS bigint) AS {c}" for c in columns)
         sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]}) result"
+    sql["e1_uniqueness_audits"] = _audits("items", ITEM_AUDITS)
+    sql["e1_uniqueness_audits_quiz"] = _audits("quizzes", QUIZ_AUDITS)
     return {name: with_steps(text) for name, text in sql.items()}

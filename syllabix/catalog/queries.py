@@ -12,10 +12,13 @@ from pyspark.sql.types import ArrayType, DecimalType, DoubleType, FloatType, Int
 from syllabix.catalog.specs import (
     ENGAGEMENT_MODELS,
     FEATURES,
+    ITEM_AUDITS,
     ITERATIONS,
+    MERGED_MEASURES,
     MERGED_MODELS,
     MERGED_QUIZ_MODELS,
     OLS_MODELS,
+    QUIZ_AUDITS,
     QUIZ_MODELS,
 )
 from syllabix.operators import clusters, describe, engagement, merge, models, quiz, resample, survey
@@ -23,7 +26,7 @@ from syllabix.plans import studies
 from syllabix.plans.studies import EXPERIMENTAL, OBSERVATIONAL, Study
 from syllabix.session import ensure_checkpoint_dir, ship_package
 from syllabix.sources.roles import role
-from syllabix.sources.tables import VIEW_PAGE_CODEBOOK, drop_index_column, read_table, write_table
+from syllabix.sources.tables import VIEW_PAGE_CODEBOOK, drop_index_column, read_table, read_with_rejects, write_table
 
 CONSTRUCTS = ["anxiety_math", "stress_expectation", "value_task", "experience_math"]
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +159,29 @@ def a1_read_table_csv(t: Tables) -> DataFrame:
     return read_table(t.spark, target, "doc_id bigint, lang string, text string", "csv", multiline=True)
 
 
+def damaged_lines(customers: DataFrame) -> DataFrame:
+    """CSV lines of customers, some with unpaired quotes, a field too few, a bad or a missing number; named as their header."""
+    kind = F.col("c_custkey") % 50
+    name = F.concat(F.lit('"'), "c_name", F.when(kind == 0, "").otherwise('"'))
+    balance = F.when(kind == 2, "abc").when(kind == 3, "NA").otherwise(F.col("c_acctbal").cast("string"))
+    cells = [F.col("c_custkey").cast("string"), name, F.col("c_nationkey").cast("string"), F.when(kind != 1, balance)]
+    return customers.select(F.concat_ws(",", *cells).alias("c_custkey,c_name,c_nationkey,c_acctbal"))
+
+
+@registered
+def a1_read_with_rejects(t: Tables) -> DataFrame:
+    """Account of a damaged CSV file: its rows, rejects by reason, and values missing or unreadable by column."""
+    target = t.scratch()
+    # Neither sign occurs, so every line is written as it stands, below the header.
+    damaged_lines(t.spark.read.parquet(t.path("customer"))).write.csv(target, header=True, sep="\u0001", quote="\u0002")
+    found = read_with_rejects(t.spark, target, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double")
+    columns = found.counts.select(F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col("column").alias("name"), F.col(kind).alias("n")) for kind in ("missing", "unreadable")])))
+    rejects = found.rejects.groupBy(F.col("reason").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejects").alias("kind"), "name", "n")
+    rows = found.rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("kind"), F.lit("").alias("name"), "n")
+    return columns.unionByName(rejects).unionByName(rows)
+
+
 @registered
 def a2_drop_index_column_csv(t: Tables) -> DataFrame:
     """A page codebook written with its index column and read back without it."""
@@ -414,6 +440,17 @@ def e1_uniqueness_audit_engagement(t: Tables) -> DataFrame:
     return merge.uniqueness_audit(t.engaged(), ["class_id", "student_id"])
 
 
+@registered
+def e1_uniqueness_audits(t: Tables) -> DataFrame:
+    """All audits of the survey items in one scan."""
+    return merge.uniqueness_audits(t.items(), ITEM_AUDITS)
+
+
+@registered
+def e1_uniqueness_audits_quiz(t: Tables) -> DataFrame:
+    return merge.uniqueness_audits(t.quizzes(), QUIZ_AUDITS)
+
+
 @registered
 def e2_entity_set(t: Tables) -> DataFrame:
     return merge.entity_set(t.engaged())
@@ -518,6 +555,17 @@ def f6_choose_k(t: Tables) -> DataFrame:
     return clusters.choose_k_of_profiles(clusters.correlation_profiles(cells, FEATURES), "variable", FEATURES)
 
 
+@registered
+def f6_choose_k_merged(t: Tables) -> DataFrame:
+    """The first study's clusters, of the merged students' measures."""
+    return studies.construct_clusters(t.averages(), MERGED_MEASURES)[0]
+
+
+@registered
+def f7_cluster_profiles_merged(t: Tables) -> DataFrame:
+    return studies.construct_clusters(t.averages(), MERGED_MEASURES)[1]
+
+
 @registered
 def f7_cluster_profiles(t: Tables) -> DataFrame:
     cells = describe.full_correlation_table(describe.correlation_matrix(t.profiles, FEATURES), FEATURES)
@@ -615,8 +663,7 @@ def g2_likelihood_ratio_test_merged(t: Tables) -> DataFrame:
 
 @registered
 def f5_correlation_matrix_merged(t: Tables) -> DataFrame:
-    return describe.correlation_matrix(t.averages(), [
-        "avg_prop_pages_complete", "avg_eoc_score", "construct_mean_anxiety_math", "construct_mean_stress_expectation"])
+    return describe.correlation_matrix(t.averages(), MERGED_MEASURES)
 
 
 @registered
@@ -663,6 +710,27 @@ def g8_transpose_summary(t: Tables) -> DataFrame:
     return resample.transpose_summary(_relative(t), actual)
 
 
+@registered
+def g8_transpose_summary_merged(t: Tables) -> DataFrame:
+    """The first study's last step: quiz models of the merged students over resampled students."""
+    return studies.observational_bootstrap(t.averages(), "avg_eoc_score", MERGED_QUIZ_MODELS, "baseline", ITERATIONS)
+
+
+def _condition_effects(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return studies.condition_effects(t.averages(), t.condition_survey, ["avg_eoc_score", "avg_prop_pages_complete"])
+
+
+@registered
+def g10_nested_f_test_conditions(t: Tables) -> DataFrame:
+    """The second study's conditions, compared on the merged students."""
+    return _condition_effects(t)[0]
+
+
+@registered
+def g12_predicted_means_conditions(t: Tables) -> DataFrame:
+    return _condition_effects(t)[1]
+
+
 @registered
 def g9_fit_ols(t: Tables) -> DataFrame:
     return models.fit_ols_sweep(t.profiles, "y", OLS_MODELS)

@@ -26,3 +26,17 @@ MERGED_MODELS = {
 }
 MERGED_QUIZ_MODELS = {**MERGED_MODELS, "engaged": ["avg_prop_pages_complete"],
                       "all": ["avg_prop_pages_complete", "construct_mean_anxiety_math", "construct_mean_stress_expectation"]}
+MERGED_MEASURES = ["avg_prop_pages_complete", "avg_eoc_score", "construct_mean_anxiety_math", "construct_mean_stress_expectation"]
+# Audits of one table: keys, and the rows they may have.
+ITEM_AUDITS = {
+    "variables": (["class_id", "student_id", "variable_name"], 1),
+    "variables_twice": (["class_id", "student_id", "variable_name"], 2),
+    "students": (["class_id", "student_id"], 3),
+    "variables_of_classes": (["class_id", "variable_name"], 1),
+}
+QUIZ_AUDITS = {
+    "chapters": (["class_id", "student_id", "chapter", "chapter_num"], 1),
+    "chapters_twice": (["class_id", "student_id", "chapter", "chapter_num"], 2),
+    "students": (["class_id", "student_id"], 2),
+    "classes": (["class_id"], 1),
+}

@@ -17,8 +17,8 @@ Starts = list[np.ndarray]
 
 # Rounds of seeding, and rows that a round draws for every cluster.
 SEED_ROUNDS, SEED_ROWS = 4, 3
-# Tasks' sums are added up in so many groups before the driver adds those.
-SUM_GROUPS = 16
+# Beyond so many tasks their sums are added up in so many groups before the driver adds those.
+DIRECT_TASKS, SUM_GROUPS = 64, 16
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -116,9 +116,10 @@ def lloyd(
 
 
 def _added(points: DataFrame, features: Sequence[str], totals: Callable[[Iterator[np.ndarray]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """``totals`` of every task's rows, added up in two levels.
+    """``totals`` of every task's rows, added up.
 
-    A task sends one packed row, ``SUM_GROUPS`` tasks add those up, and the driver adds what these send.
+    A task sends one packed row. Up to ``DIRECT_TASKS`` of them go to the driver; more are
+    added up by ``SUM_GROUPS`` tasks first.
     """
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sums": [totals(_slices(batches)).tobytes()]})
@@ -127,8 +128,9 @@ def _added(points: DataFrame, features: Sequence[str], totals: Callable[[Iterato
         return pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()]})
 
     packed = _worked(points.select(*features)).mapInPandas(partial, "sums binary")
-    grouped = packed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("_group")).applyInPandas(added, "sums binary")
-    return np.sum([np.zeros(shape), *[np.frombuffer(r["sums"]).reshape(shape) for r in grouped.collect()]], axis=0)
+    if points.sparkSession.sparkContext.defaultParallelism > DIRECT_TASKS:
+        packed = packed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS)).alias("_group")).applyInPandas(added, "sums binary")
+    return np.sum([np.zeros(shape), *[np.frombuffer(r["sums"]).reshape(shape) for r in packed.collect()]], axis=0)
 
 
 def _sums(points: DataFrame, features: Sequence[str], centres: Starts) -> list[np.ndarray]:

@@ -18,6 +18,28 @@ def uniqueness_audit(df: DataFrame, keys: Sequence[str], max_rows: int = 1) -> D
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("nrows")).filter(F.col("nrows") > max_rows)
 
 
+def uniqueness_audits(df: DataFrame, audits: Mapping[str, tuple[Sequence[str], int]]) -> DataFrame:
+    """Several ``uniqueness_audit``s of one table in one scan: name to keys and rows allowed.
+
+    Returns ``audit``, all keys (missing where an audit does not use them) and ``nrows``. One
+    aggregation with grouping sets serves all; audits of the same keys share its groups.
+    """
+    columns = list(dict.fromkeys(k for keys, _ in audits.values() for k in keys))
+    sets = list(dict.fromkeys(tuple(c for c in columns if c in keys) for keys, _ in audits.values()))
+
+    def number(keys: Sequence[str]) -> int:
+        """``grouping_id`` of a set: a bit for every column left out, the first one highest."""
+        return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
+
+    grouped = df.groupingSets([[F.col(c) for c in keys] for keys in sets], *columns).agg(
+        F.count(F.lit(1)).alias("nrows"), F.grouping_id().alias("_set"))
+    known = F.array(*[
+        F.struct(F.lit(name).alias("audit"), F.lit(number(keys)).alias("set"), F.lit(most).alias("most"))
+        for name, (keys, most) in audits.items()])
+    failed = F.filter(known, lambda a: (a["set"] == F.col("_set")) & (F.col("nrows") > a["most"]))
+    return grouped.select(F.explode(failed).alias("_failed"), *columns, "nrows").select("_failed.audit", *columns, "nrows")
+
+
 def entity_set(df: DataFrame, keys: Sequence[str] = ("class_id", "student_id")) -> DataFrame:
     """Distinct entities as one ``UID`` text; a missing part reads ``NA``."""
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys]

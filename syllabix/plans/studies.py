@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from syllabix.functions.joins import lookup_join
 from syllabix.functions.text import strip
-from syllabix.operators import engagement, merge, models, quiz, survey
+from syllabix.operators import clusters, describe, engagement, merge, models, quiz, resample, survey
 from syllabix.session import pin
 
 SURVEY_ITEM = ("class_id", "release", "student_id", "lrn_question_reference")
@@ -205,6 +208,52 @@ def observational_models(averages: DataFrame, outcome: str, specs: Mapping[str,
     return models.model_sweep(averages, outcome, "class_id", specs)
 
 
+def observational_bootstrap(
+    averages: DataFrame, outcome: str, specs: Mapping[str, Sequence[str]], baseline: str, iters: int = 100, seed: int = 123,
+) -> DataFrame:
+    """Models of the students' averages compared by AIC: mean and interval over resampled students beside the actual value.
+
+    The averages are the end of the whole preparation, so they are pinned and read by the
+    draws, the moments and the actual fits alike.
+    """
+    students = pin(averages)
+    aics = resample.bootstrap_models(students, outcome, "class_id", "student_id", specs, iters, seed)
+    relative = resample.bootstrap_relative(aics, list(specs), baseline)
+    actual = models.relative_aic(observational_models(students, outcome, specs), baseline)
+    return resample.transpose_summary(relative, actual)
+
+
+def construct_clusters(
+    averages: DataFrame, measures: Sequence[str], ks: Sequence[int] = (2, 3), k: int = 2, restarts: int = 50,
+) -> tuple[DataFrame, DataFrame]:
+    """The students' measures clustered by their correlations: silhouettes per number of clusters, and the table for ``k`` of them.
+
+    One pass over the students gives all correlations; what follows has a row per measure.
+    """
+    cells = pin(describe.full_correlation_table(describe.correlation_matrix(averages, measures), measures))
+    silhouettes = clusters.choose_k_of_profiles(clusters.correlation_profiles(cells, measures), "variable", measures, ks, restarts)
+    return silhouettes, clusters.cluster_profiles(cells, measures, k, restarts)
+
+
+def condition_effects(
+    students: DataFrame, arms: DataFrame, outcomes: Sequence[str], arm: str = "module_variation", compared: Sequence[str] = ("A", "B"),
+) -> tuple[DataFrame, DataFrame]:
+    """Effect of the condition on the merged students' outcomes: F tests against no effect, and the arms' predicted means.
+
+    ``arms`` has a student's condition once per survey; only students of the ``compared`` arms
+    with all outcomes count, one row each. They are pinned and every outcome reads them.
+    """
+    placed = arms.filter(F.col(arm).isin(*compared)).select("student_id", arm).distinct()
+    joined = lookup_join(students.select("class_id", "student_id", *outcomes), placed, ["student_id"], "inner").na.drop(subset=list(outcomes))
+    rows = pin(models.arm_indicator(joined, arm, compared[1], "_arm"))
+    tests, means = [], []
+    for outcome in outcomes:
+        fits = models.fit_ols_sweep(rows, outcome, {"baseline": [], "condition": ["_arm"]})
+        tests.append(models.nested_f_test(fits, "baseline", "condition").withColumn("outcome", F.lit(outcome)))
+        means.append(models.predicted_means(rows, arm, outcome).withColumn("outcome", F.lit(outcome)))
+    return reduce(DataFrame.unionByName, tests), reduce(DataFrame.unionByName, means)
+
+
 def experimental_test(graded: DataFrame, outcome: str, smaller: Sequence[str], larger: Sequence[str]) -> DataFrame:
     """End of the second study's chain: F test of two nested least-squares models of a gradebook column."""
     fits = models.fit_ols_sweep(graded, outcome, {"smaller": list(smaller), "larger": list(larger)})

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from syllabix.functions.joins import lookup_join
+from syllabix.session import pin
+
 
 def _fields(types: dict[type, str]) -> StructType:
     return StructType([StructField(n, kind()) for kind, names in types.items() for n in names.split()])
@@ -74,6 +79,68 @@ def read_table(
     )
 
 
+@dataclass(frozen=True)
+class Reading:
+    """What a CSV file gave: typed ``rows``; ``rejects`` (``file``, ``line``, ``reason``, ``record``); ``counts`` per column
+    (``column``, ``missing`` and ``unreadable`` values of the records with the right fields)."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    counts: DataFrame
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` (from 1 in each file) and ``record`` of every line of text files, pinned.
+
+    A line's number is its place in the part of the file that a task reads, shifted by the
+    lines of the parts before it; only one count per part is gathered.
+    """
+    lines = pin(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("record")))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
+        "file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = lookup_join(lines, starts, ["file", "_block"], "inner")
+    return placed.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line"), "record")
+
+
+def read_with_rejects(spark: SparkSession, path: str, schema: StructType | str) -> Reading:
+    """Read CSV with a header line per file, one record per line, and account for every line.
+
+    A record is rejected, with its first reason, if its quotes do not pair, if it has
+    another number of fields than ``schema``, or if a value cannot be read as its column's
+    type. Header and blank lines are neither rows nor rejects. Missing values are those of
+    ``read_table``. Lines are read and written once; the three results come from that copy.
+    """
+    fields = spark.createDataFrame([], schema).schema.fields
+    text = ", ".join(f"`{f.name}` string" for f in fields) + ", `_corrupt` string"
+    lines = numbered_lines(spark, path).filter((F.col("line") > 1) & (F.trim("record") != ""))
+    options = {"quote": '"', "escape": '"', "nullValue": "NA", "emptyValue": "NA", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = lines.withColumn("_cells", F.from_csv("record", text, options))
+
+    def cell(field: StructField) -> Column:
+        return F.nullif(F.col("_cells").getField(field.name), F.lit("NA"))
+
+    def unreadable(field: StructField) -> Column:
+        if isinstance(field.dataType, StringType):
+            return F.lit(False)
+        return cell(field).isNotNull() & cell(field).try_cast(field.dataType).isNull()
+
+    reason = F.when(F.regexp_count("record", F.lit('"')) % 2 == 1, "quotes do not pair").when(
+        F.col("_cells._corrupt").isNotNull(), f"not {len(fields)} fields")
+    shaped = parsed.withColumn("_shape", reason)
+    for field in fields:
+        reason = reason.when(unreadable(field), f"{field.name} is no {field.dataType.simpleString()}")
+    judged = parsed.withColumn("reason", reason)
+    rows = judged.filter(F.col("reason").isNull()).select(*[cell(f).try_cast(f.dataType).alias(f.name) for f in fields])
+    rejects = judged.filter(F.col("reason").isNotNull()).select("file", "line", "reason", "record")
+    counted = shaped.filter(F.col("_shape").isNull()).agg(*[
+        F.struct(F.lit(f.name).alias("column"), F.count_if(cell(f).isNull()).alias("missing"), F.count_if(unreadable(f)).alias("unreadable"))
+        .alias(f"c{i}") for i, f in enumerate(fields)])
+    return Reading(rows, rejects, counted.select(F.inline(F.array(*[f"c{i}" for i in range(len(fields))]))))
+
+
 def drop_index_column(df: DataFrame) -> DataFrame:
     """Drop the leading, unnamed index column of an exported codebook."""
     return df.drop(df.columns[0])

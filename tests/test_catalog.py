@@ -25,7 +25,7 @@ def test_every_item_is_registered_and_checked():
 
 
 # At the smallest scale every merged student has a class alone, so the group deviation of these models is undetermined.
-WIDER = {"g2_likelihood_ratio_test_merged", "g4_model_sweep_merged", "g4_model_sweep_merged_quiz"}
+WIDER = {"g2_likelihood_ratio_test_merged", "g4_model_sweep_merged", "g4_model_sweep_merged_quiz", "g8_transpose_summary_merged"}
 
 
 def views(folder):

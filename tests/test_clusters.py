@@ -79,6 +79,14 @@ def test_silhouettes_of_all_sets_match_brute_force(spark):
         assert np.isclose(got, np.mean(widths))
 
 
+def test_sums_of_many_tasks_are_added_in_groups(spark, monkeypatch):
+    df, sets = blobs(spark).repartition(4), [np.zeros((1, 2)), np.array([[0.0, 0.0], [9.0, 1.0]])]
+    direct = clusters._sums(df, ["a", "b"], sets)
+    monkeypatch.setattr(clusters, "DIRECT_TASKS", 1)
+    for a, b in zip(direct, clusters._sums(df, ["a", "b"], sets), strict=True):
+        assert np.allclose(a, b) and a[:, 0].sum() == 90
+
+
 def test_all_silhouettes_take_two_passes(spark, monkeypatch):
     passes, added = [], clusters._added
     monkeypatch.setattr(clusters, "_added", lambda *a: passes.append(1) or added(*a))

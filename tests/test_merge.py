@@ -85,3 +85,16 @@ def test_pinned_tables_are_deleted(spark):
     except PySparkException:
         left = 0
     assert left == 0
+
+
+def test_audits_share_one_scan_and_match_single_ones(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, None, "x"), (1, None, "x"), (None, "a", "y"), (2, "b", "x"), (2, "b", "y"), (2, "b", "y")]
+    df = spark.createDataFrame(rows, "class_id int, student_id string, item string")
+    audits = {"items": (["class_id", "student_id", "item"], 1), "students": (["class_id", "student_id"], 2),
+              "students_any": (["student_id", "class_id"], 0), "classes": (["class_id"], 3)}
+    got = merge.uniqueness_audits(df, audits)
+    for name, (keys, most) in audits.items():
+        want = {tuple(r) for r in merge.uniqueness_audit(df, keys, most).collect()}
+        assert {(*[r[k] for k in keys], r.nrows) for r in got.filter(f"audit = '{name}'").collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan ") <= 1

@@ -1,4 +1,5 @@
 from syllabix.functions.joins import fits_broadcast, lookup_join, null_safe_join
+from syllabix.sources import tables
 from syllabix.sources.tables import CONSTRUCT_LOOKUP, POST_SURVEY_QUESTIONS, drop_index_column, read_table, write_table
 
 import pytest
@@ -67,3 +68,36 @@ def test_broadcast_only_below_measured_limits(spark, monkeypatch):
         assert joined.count() == 50
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_line_is_a_row_or_a_reject(spark, tmp_path):
+    lines = ["id,name,score", '1,"a, b",2.5', '2,"open,3.5', "3,short", "4,d,abc", "", "5,,NA", '6,"",1', "7,x,1,extra", "x,y,2"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("id,name,score\n8,z,9.5\nbad,z,9\n")
+    found = tables.read_with_rejects(spark, str(tmp_path), "id int, name string, score double")
+    rows = sorted((r.id, r.name, r.score) for r in found.rows.collect())
+    assert rows == [(1, "a, b", 2.5), (5, None, None), (6, None, 1.0), (8, "z", 9.5)]
+    rejects = {(r.file[-5:], r.line): (r.reason, r.record) for r in found.rejects.collect()}
+    assert rejects == {
+        ("a.csv", 3): ("quotes do not pair", lines[2]), ("a.csv", 4): ("not 3 fields", lines[3]),
+        ("a.csv", 5): ("score is no double", lines[4]), ("a.csv", 9): ("not 3 fields", lines[8]),
+        ("a.csv", 10): ("id is no int", lines[9]), ("b.csv", 3): ("id is no int", "bad,z,9")}
+    # Without headers and the blank line every line is accounted for.
+    assert len(rows) + len(rejects) == len(lines) - 2 + 2
+    assert {r.column: (r.missing, r.unreadable) for r in found.counts.collect()} == {"id": (0, 2), "name": (2, 0), "score": (1, 1)}
+
+
+def test_lines_are_numbered_over_parts_of_a_file(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("id\n" + "".join(f"{i}\n" for i in range(2, 5001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        lines = tables.numbered_lines(spark, str(tmp_path)).filter("line > 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(lines) == 4999 and all(int(r.record) == r.line for r in lines)
+
+
+def test_rejects_of_an_empty_file(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("id\n")
+    found = tables.read_with_rejects(spark, str(tmp_path), "id int")
+    assert found.rows.count() == found.rejects.count() == 0 and found.counts.collect() == [("id", 0, 0)]
