@@ -23,6 +23,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over the session's shuffle partitions."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession))
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the identifier written as text, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -14,15 +14,16 @@ class CoverTree:
     holds the centres that were more than ``radius / 2**l`` away from all before them,
     and thus covers all points within that radius. ``parents[l]`` maps the centres of a
     level to those above, ``cover[l]`` is the distance to a centre's farthest descendant.
-    Levels end once the radius is below ``finest``; the points hang from the last level.
+    Levels end once the radius is below ``finest`` or there are ``most`` centres (where points spread
+    evenly more of them prune nothing); the points hang from the last level.
     """
 
-    def __init__(self, points: np.ndarray, finest: float):
+    def __init__(self, points: np.ndarray, finest: float, most: int = 256):
         n = len(points)
         order, reach = [0], []
         nearest = np.linalg.norm(points - points[0], axis=1)
         radius = float(nearest.max(initial=0.0))
-        while len(order) < n and (far := float(nearest.max())) > finest:
+        while len(order) < min(n, most) and (far := float(nearest.max())) > finest:
             at = int(nearest.argmax())
             order.append(at)
             reach.append(far)

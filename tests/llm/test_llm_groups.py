@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,12 +89,68 @@ def test_near_dedup_matches_all_pairs(spark):
     assert near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
-def test_near_dedup_cuts_large_groups_into_blocks(spark, monkeypatch):
+def alike(n, shared, own, seed=0):
+    """Texts that share most of their shingles with each other."""
+    return [(i, " ".join([*(f"w{k}" for k in range(shared)), *(f"x{seed}-{i}-{k}" for k in range(own))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("tile", [3, 96])
+def test_near_dedup_cuts_large_groups_into_blocks(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", tile)
     words = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join([*words[:60], f"x{i}", *words[61:]])) for i in range(60)]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    # 75 of 100 shingles are shared: alike, but no links. Two real copies hide among them.
+    rows = alike(40, 90, 12) + [(100, "again " + alike(40, 90, 12)[3][1])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {**{i: i for i in range(40)}, 100: 3}
+
+
+def test_forests_unite_all_that_strong_pairs_connect():
+    rng = np.random.default_rng(3)
+    strength = np.triu(np.where(rng.random((80, 80)) < 0.03, rng.random((80, 80)), 0), 1)
+    rows = np.arange(80)
+    x, y = near_dedup.forest_over(rows, rows, strength, 80)
+    assert len(x) < 80 and labels_of(range(80), zip(x, y, strict=True)) == labels_of(range(80), np.argwhere(strength > 0).tolist())
+    label = rows % 10
+    x, y = near_dedup.forest_over(rows, rows, strength, 80, label)
+    joined = [(i, i % 10) for i in range(80)]
+    assert len(x) < 10
+    assert labels_of(range(80), [*joined, *zip(x, y, strict=True)]) == labels_of(range(80), [*joined, *np.argwhere(strength > 0).tolist()])
+
+
+def test_a_bucket_of_many_alike_rows_moves_few_rows(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("node"), F.lit(1).alias("bucket"), F.lit(20_000).alias("n"))
+    moved = near_dedup.block_pairs(rows, "bucket", F.ceil(F.col("n") / near_dedup.BLOCK_ROWS), "node")
+    assert moved.count() < 20 * 20_000
+
+
+def test_full_sets_meet_only_open_pairs(spark, monkeypatch):
+    moved = []
+    confirmed = near_dedup._confirmed
+
+    def counted(df, function, schema, *args):
+        if function is confirmed:
+            moved.append(df.count())
+        return map_batches(df, function, schema, *args)
+
+    map_batches = near_dedup.map_batches
+    monkeypatch.setattr(near_dedup, "map_batches", counted)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:60], f"x{i}", *words[61:]])) for i in range(300)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+    # A forest of pairs is confirmed at once; nothing is left to compare.
+    assert 299 <= sum(moved) < 2 * 300
+
+
+def test_rows_of_one_identifier_and_two_texts_keep_their_own_groups(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (9, a + " more"), (3, b + " more"), (5, a)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 57, 3), (5, 56, 3), (5, 56, 5), (5, 56, 5), (9, 57, 5)]
 
 
 def test_long_text_is_one_set():
@@ -113,7 +170,10 @@ def test_cover_tree_levels_and_pairs(n, spread):
     assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
 
 
-def test_embedding_dedup_matches_all_pairs(spark):
+@pytest.mark.parametrize("block,leaf", [(2048, 512), (5, 512), (8, 6)])
+def test_embedding_dedup_matches_all_pairs(spark, monkeypatch, block, leaf):
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(embedding_dedup, "FAN", 4)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))
     vectors = centres[rng.integers(0, 12, 150)] + 0.12 * rng.normal(size=(150, 16))
@@ -128,15 +188,33 @@ def test_embedding_dedup_matches_all_pairs(spark):
     want = labels_of([i for i, *_ in rows + odd if i is not None], edges)
     count = {i: sum(i in e for e in edges) for i in want}
     assert len(edges) > 60
-    for block in (1024, 5):
-        got = embedding_dedup.embedding_dedup(df, block_rows=block, cells=4).collect()
-        assert len(got) == len(rows) + len(odd)
-        for r in got:
-            if r.vec_id is not None:
-                assert (r.n_links, r.component_id, r.kept) == (count[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
+    got = embedding_dedup.embedding_dedup(df, block_rows=block).collect()
+    assert len(got) == len(rows) + len(odd)
+    for r in got:
+        if r.vec_id is not None:
+            assert (r.n_links, r.component_id, r.kept) == (count[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_trees_prune_most_block_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1000, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    points = centres[np.arange(100_000) % 1000] + rng.normal(size=(100_000, 32)) * 0.02
+    df = spark.createDataFrame(pa.table({
+        "vec_id": np.arange(100_000), "embedding": pa.array(list(points.astype(np.float32))), "label": np.ones(100_000, np.int32)})).repartition(8)
+    rows = embedding_dedup.pin(df.select(F.lit("1:32").alias("group"), F.col("vec_id").alias("item"), F.lit(1).cast("bigint").alias("weight"), F.col("embedding").alias("vector")))
+    tree, stats = embedding_dedup.grow(rows, ["1:32"], embedding_dedup.LEVELS, embedding_dedup.FAN, embedding_dedup.LEAF_ROWS)
+    alive, tables = embedding_dedup.alive_blocks(rows, tree, stats, 0.98, 512)
+    blocks = max(p + n for p, n in tables["1:32"].values())
+    assert blocks > 150 and alive.count() < blocks * blocks / 10
+    got = embedding_dedup.embedding_dedup(df, block_rows=512).select("vec_id", "n_links").toPandas().set_index("vec_id").n_links
+    unit = points.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i in range(0, 100_000, 2_500):
+        assert got[i] == (unit @ unit[i] >= 0.98).sum() - 1
+
+
 PAGE = ('<html><body class="has-sidebar"><header>Site</header><div id="cookie-notice">We use</div><main><article class="post-{0}">'
         '<h1>T&amp;{0}</h1><p>A<b>b</b>c &lt;d<p>\n more&nbsp;text {0}<div class="ad">buy {0}</div><ul><li>x<li>y{0}</ul>'
         '<form>f<input></form></article><section class="comments"><p>hi {0}</p></section></main><aside>s</aside>'
