@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +64,7 @@ def pin(df: DataFrame) -> DataFrame:
     _PINNED.append(folder)
     df.write.parquet(folder)
     pinned = df.sparkSession.read.schema(df.schema).parquet(folder)
-    pinned.is_pinned = True
+    pinned.is_pinned, pinned.pinned_folder = True, folder
     return pinned
 
 
@@ -76,13 +76,21 @@ def is_pinned(df: DataFrame) -> bool:
 _PINNED: list[str] = []
 
 
-def release_pinned(spark: SparkSession, after: int = 0) -> None:
-    """Delete the files of pinned tables, but for the first ``after``; results that still read them become invalid."""
+def pinned_count() -> int:
+    """Number of pinned tables, to release those made later."""
+    return len(_PINNED)
+
+
+def release_pinned(spark: SparkSession, after: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete the files of pinned tables, but for the first ``after`` and those of ``keep``; results that still read them become invalid."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     settings = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_PINNED) > after:
-        path = hadoop.Path(_PINNED.pop())
-        path.getFileSystem(settings).delete(path, True)
+    kept = [df.pinned_folder for df in keep]
+    for folder in _PINNED[after:]:
+        if folder not in kept:
+            path = hadoop.Path(folder)
+            path.getFileSystem(settings).delete(path, True)
+    _PINNED[after:] = [folder for folder in _PINNED[after:] if folder in kept]
 
 
 @contextmanager
