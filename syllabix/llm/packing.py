@@ -32,7 +32,7 @@ class Capacity:
     tokens: int = 4096
     documents: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.01)
+    weights: tuple[float, float, float] = (1.0, 0.001, 0.01)
     rule: str = "norm"
 
 

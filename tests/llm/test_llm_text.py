@@ -184,3 +184,44 @@ def test_drop_documents_keeps_rows_without_identifier(spark):
     df = documents(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "d")])
     gone = spark.createDataFrame([(2,), (9,), (None,)], "doc_id bigint")
     assert sorted(str(r.doc_id) for r in drop_documents(df, gone).collect()) == ["1", "None"]
+
+
+def least_bins(sizes, capacity):
+    """Least number of bins for a few pieces, by trying every assignment."""
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for b in bins:
+            if sum(b) + sizes[i] <= capacity.tokens and len(b) < capacity.documents and sum(x * x for x in b) + sizes[i] ** 2 <= capacity.attention:
+                b.append(sizes[i])
+                place(i + 1, bins)
+                b.pop()
+        bins.append([sizes[i]])
+        place(i + 1, bins)
+        bins.pop()
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_is_near_the_least_number_of_bins(rule):
+    rng, extra = np.random.default_rng(11), 0
+    for _ in range(40):
+        sizes = rng.integers(5, 70, 10)
+        capacity = packing.Capacity(tokens=100, documents=int(rng.integers(2, 5)), attention=int(rng.integers(5000, 10000)), rule=rule)
+        used, least = len(set(packing.best_fit(sizes, capacity)[0].tolist())), least_bins(sizes.tolist(), capacity)
+        assert least <= used <= least + 1
+        extra += used - least
+    assert extra <= 8
+
+
+def test_equal_sizes_and_ties_fill_bins():
+    bins, offsets = packing.best_fit(np.full(12, 25), packing.Capacity(tokens=100))
+    assert sorted(np.bincount(bins)) == [4, 4, 4] and sorted(offsets.tolist()) == [0] * 3 + [25] * 3 + [50] * 3 + [75] * 3
