@@ -595,7 +595,7 @@ BIGINT = {
     **dict.fromkeys(["b9_attach_construct", "b9_attach_construct_experimental"], ["scale_values"]),
     **dict.fromkeys([
         "c2_codebook_totals", "c3_score_quiz_codebook", "d3_first_completion", "d4_class_page_totals",
-        "d5_running_progress", "d6_engagement_summary", "d7_split_half_assign", "e6_merge_sources", "f3_model_frame",
+        "d5_running_progress", "d6_engagement_summary", "d7_split_half_assign", "e6_merge_sources", "e6_merge_sources_bucketed", "f3_model_frame",
         "f4_entity_average", "f8_density_by_group", "f11_row_mean", "f12_attach_assessment",
     ], ["chapter_num"]),
     "d2_enrich_views": ["chapter_num", "page_num"],
@@ -871,6 +871,7 @@ SELECT 'baseline' AS model_0, '{{0}}' AS model_1, cast(df AS bigint) AS df, {r6(
     SELECT *, sum(n) OVER () - count(*) OVER () * 1.0 AS df FROM (
       SELECT module_variation, count(*) AS n, avg(y1) AS m, var_pop(y1) * count(*) AS ss
       FROM condition_survey GROUP BY module_variation) a) b) c"""
+    sql["e6_merge_sources_bucketed"] = sql["e6_merge_sources"]
     for name, columns in BIGINT.items():
         casts = ", ".join(f"cast({c} AS bigint) AS {c}" for c in columns)
         sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]}) result"

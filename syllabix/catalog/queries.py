@@ -26,7 +26,7 @@ from syllabix.plans import studies
 from syllabix.plans.studies import EXPERIMENTAL, OBSERVATIONAL, Study
 from syllabix.session import ensure_checkpoint_dir, ship_package
 from syllabix.sources.roles import role
-from syllabix.sources.tables import VIEW_PAGE_CODEBOOK, drop_index_column, read_table, read_with_rejects, write_table
+from syllabix.sources.tables import VIEW_PAGE_CODEBOOK, drop_index_column, read_table, read_with_rejects, write_bucketed, write_table
 
 CONSTRUCTS = ["anxiety_math", "stress_expectation", "value_task", "experience_math"]
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,6 +500,15 @@ def e6_merge_sources_experimental(t: Tables) -> DataFrame:
     return t.merged(EXPERIMENTAL)
 
 
+@registered
+def e6_merge_sources_bucketed(t: Tables) -> DataFrame:
+    """The merge from tables laid out by student, as a pipeline writes them that merges often."""
+    wide = merge.widen_constructs(studies.construct_scores(t.items()), CONSTRUCTS)
+    parts = [
+        write_bucketed(df, f"part_{uuid.uuid4().hex}", merge.STUDENT, 8, t.scratch()) for df in (wide, t.engaged(), t.quizzes())]
+    return merge.merge_bucketed(*parts)
+
+
 # Descriptives
 
 

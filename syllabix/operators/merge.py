@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from syllabix.functions.joins import null_safe_join
 from syllabix.functions.text import count_tuples
+from syllabix.sources.tables import LAYOUT_KEY
 
 STUDENT = ("release", "book", "institution_id", "class_id", "student_id")
 
@@ -109,3 +110,23 @@ def merge_sources(
     """Students' chapters with engagement and a quiz score, for students with a survey."""
     chapters = null_safe_join(engagement, quiz, [*STUDENT, *chapter_keys])
     return null_safe_join(survey, chapters, STUDENT)
+
+
+def merge_bucketed(
+    survey: DataFrame,
+    engagement: DataFrame,
+    quiz: DataFrame,
+    chapter_keys: Sequence[str] = ("chapter", "chapter_num"),
+) -> DataFrame:
+    """``merge_sources`` of three tables that ``write_bucketed`` wrote by student: no row is moved.
+
+    Students meet on the layout's key alone. A student's chapters are then matched by a
+    test on both rows, which the planner cannot take for another join key.
+    """
+    chapters, students = quiz.select(
+        LAYOUT_KEY, F.struct(*chapter_keys).alias("_chapter"), *[c for c in quiz.columns if c not in (*STUDENT, *chapter_keys, LAYOUT_KEY)]
+    ), survey.drop(*STUDENT)
+    same = F.array_contains(F.array(F.struct(*[F.col(f"e.{c}") for c in chapter_keys])), F.col("q._chapter"))
+    matched = engagement.alias("e").join(chapters.alias("q"), (F.col(f"e.{LAYOUT_KEY}") == F.col(f"q.{LAYOUT_KEY}")) & same)
+    matched = matched.drop(F.col(f"q.{LAYOUT_KEY}"), F.col("q._chapter"))
+    return students.join(matched, LAYOUT_KEY).drop(LAYOUT_KEY)

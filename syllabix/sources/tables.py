@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -164,3 +165,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         path, header=True, nullValue="NA", quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
+
+
+LAYOUT_KEY = "_layout_key"
+
+
+def layout_key(keys: Sequence[str]) -> Column:
+    """One text for a tuple of keys, never missing: a missing part is absent from it."""
+    return F.to_json(F.struct(*keys))
+
+
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Write a table that joins on ``keys`` without moving rows: hashed into ``buckets`` files by ``LAYOUT_KEY`` and sorted by it.
+
+    Tables of one number of buckets meet bucket by bucket. ``path`` places the files outside
+    the warehouse. Every bucket is one file, so a key should hold far less than a bucket.
+    """
+    keyed = df.withColumn(LAYOUT_KEY, layout_key(keys))
+    writer = keyed.repartition(buckets, LAYOUT_KEY).write.bucketBy(buckets, LAYOUT_KEY).sortBy(LAYOUT_KEY).format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -98,3 +98,25 @@ def test_audits_share_one_scan_and_match_single_ones(spark):
         assert {(*[r[k] for k in keys], r.nrows) for r in got.filter(f"audit = '{name}'").collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Scan ") <= 1
+
+
+def test_bucketed_merge_moves_nothing_and_keeps_the_rows(spark, tmp_path):
+    from syllabix.sources.tables import write_bucketed
+    who = "release string, book string, institution_id int, class_id int, student_id string"
+    students = [("r", "b", 1, c, s) for c in (1, 2, None) for s in ("x", "y", None)]
+    survey = spark.createDataFrame([(*s, float(i)) for i, s in enumerate(students)], who + ", construct_mean double")
+    engaged = spark.createDataFrame([(*s, ch, n, 0.5) for s in students for ch, n in (("c1", 1), ("c2", None), (None, 3))], who + ", chapter string, chapter_num int, share double")
+    quiz = spark.createDataFrame([(*s, ch, n, 0.9) for s in students[:6] for ch, n in (("c1", 1), ("c2", None), ("c3", 3))], who + ", chapter string, chapter_num int, score double")
+    want = merge.merge_sources(survey, engaged, quiz)
+    parts = [write_bucketed(df, f"layout_{i}", merge.STUDENT, 4, str(tmp_path / str(i))) for i, df in enumerate((survey, engaged, quiz))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = merge.merge_bucketed(*parts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        rows = sorted(map(str, got.select(want.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == sorted(map(str, want.collect())) and len(rows) == 12
+    for i in range(3):
+        spark.sql(f"DROP TABLE layout_{i}")

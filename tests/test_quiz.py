@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from syllabix.functions.text import count_tuples
 from syllabix.operators import quiz
 
 
@@ -54,3 +57,15 @@ def test_unknown_pages_keep_a_missing_chapter_number(spark):
     unknown = pages(spark).filter("mcq < 0")
     got = quiz.score_quiz_observed(quiz.select_review(answers(spark)), unknown).collect()
     assert len(got) == 2 and all(r.chapter_num is None and r.n_total == 3.0 for r in got)
+
+
+def test_distinct_questions_of_a_hot_class_are_counted_in_two_levels(spark):
+    hot = spark.range(30_000, numPartitions=6).selectExpr("IF(id % 3 = 0, 'hot', concat('c', id % 90)) AS class_id", "id % 5000 AS question")
+    counted = hot.groupBy("class_id").agg(count_tuples("question").alias("n"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    # Values meet by class and value, and only their counts meet by class.
+    first = plan.rindex("Exchange hashpartitioning(class_id")
+    assert plan.count("Exchange hashpartitioning(class_id") == 2 and "struct" in plan[first : first + 160]
+    spread = hot.distinct().repartition(8, "class_id", "question").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert spread.max() < 2 * spread.median()
+    assert counted.filter("class_id = 'hot'").first().n == len({i % 5000 for i in range(0, 30_000, 3)})
