@@ -311,7 +311,7 @@ def correlation_profiles(cells: DataFrame, cols: Sequence[str]) -> DataFrame:
     return cells.groupBy(F.col("var_i").alias("variable")).pivot("var_j", list(cols)).agg(F.max("r"))
 
 
-def cluster_profiles(cells: DataFrame, cols: Sequence[str], k: int = 2, restarts: int = 10) -> DataFrame:
+def cluster_profiles(cells: DataFrame, cols: Sequence[str], k: int = 2, restarts: int = 50) -> DataFrame:
     """Correlation table with the cluster of both variables, ordered by cluster.
 
     Variables are clustered on their unscaled rows of the correlation matrix, so

@@ -18,6 +18,9 @@ ITEMS = (
 # Queries whose Python step solves models or evaluates tail probabilities on result rows.
 PYTHON = {"f5", "f7", "f9", "g1", "g2", "g3", "g4", "g6", "g7", "g8", "g9", "g10", "g11", "g12"}
 
+# Their correlations are pinned before they are clustered.
+PINNED = {"f7_cluster_profiles_merged"}
+
 
 def test_every_item_is_registered_and_checked():
     assert {name.split("_")[0] for name in REGISTRY} == set(ITEMS)
@@ -67,7 +70,7 @@ def test_plan_has_no_cross_join_and_python_only_on_results(built, name):
     plan = built(name)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     has_python = any(word in plan for word in ("EvalPython", "InPandas", "PythonUDF"))
-    assert has_python == (name.split("_")[0] in PYTHON)
+    assert has_python == (name.split("_")[0] in PYTHON and name not in PINNED)
 
 
 def test_first_completion_drops_repeats_before_the_shuffle(spark, small):
