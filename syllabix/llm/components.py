@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syllabix.session import pin
+from syllabix.session import pin, ship_package
+
+# Edges that one task may solve alone.
+FEW_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,23 +20,48 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round points every node at its smallest neighbour if that is smaller, follows the
     pointers twice, and replaces both ends of every edge; edges inside a component
-    vanish, so hubs lose their edges after one round. Rounds go on until no edge is left,
-    a logarithmic number in practice. Each round's tables are written to the shared
+    vanish, so hubs lose their edges after one round. Rounds go on until ``FEW_EDGES`` are left,
+    a logarithmic number in practice; these one task solves by union-find. Each round's tables are written to the shared
     folder, which cuts the lineage and lets adaptive execution split the joins on hubs.
     """
     edges = pin(_distinct(edges))
     result = None
-    while not edges.isEmpty():
+    while edges.count() > FEW_EDGES:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
         jumps = pin(_follow(_follow(parents, parents), parents))
         edges = pin(_distinct(_relabel(_relabel(edges, jumps, "a"), jumps, "b")))
         result = jumps if result is None else _follow(result, jumps)
-    if result is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    rest = pin(_solved(edges))
+    result = rest if result is None else _follow(result, rest)
     return result.select("node", F.col("to").alias("component"))
 
 
+def _solved(edges: DataFrame) -> DataFrame:
+    """``node`` and ``to``, its component's smallest node, of at most ``FEW_EDGES`` edges, in one task."""
+    ship_package(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "to": pa.array([find(x) for x in nodes], pa.int64())})
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, to bigint")
+
+
 def _distinct(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 

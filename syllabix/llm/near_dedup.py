@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join
 from syllabix.llm.blocks import block_pairs, map_block_pairs
-from syllabix.llm.common import active, map_batches
+from syllabix.llm.common import active, map_batches, pin_batched
 from syllabix.llm.components import Forest, components
 from syllabix.llm.shingles import HASHES, band_keys, estimated_similarity, minhashes, odd_sketches, set_digest, shingle_set
 from syllabix.session import pin
@@ -19,7 +20,9 @@ from syllabix.session import pin
 # A filter passed to all tasks is a set of bucket numbers below this, whatever the corpus size.
 FILTER_BUCKETS = 1 << 20
 # Sketches of a block; a task compares those of two blocks at a time.
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 1_200
+# Rows up to which plain loops are faster than arrays.
+FEW_ROWS = 12
 # Full sets of a tile: tiles with more open pairs than rows are compared whole, others pair by pair.
 TILE_ROWS = 96
 # Estimates from which pairs are taken first for a forest.
@@ -67,6 +70,14 @@ def _sets(columns: dict[str, list], size: int) -> dict[str, list]:
     return {"item": columns["item"], "digest": [set_digest(x) for x in sets], "shingles": [x.tobytes() for x in sets]}
 
 
+@lru_cache(maxsize=4)
+def _admitted(s: Settings) -> np.ndarray:
+    """Estimated similarity by the number of differing bits alone; 0 below the floor."""
+    known = estimated_similarity(np.arange(s.bits + 1), s.samples, s.bits).astype(np.float32)
+    known[known < s.sketch_floor] = 0
+    return known
+
+
 def _estimates(part: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of both blocks of a block pair, and the estimated similarities; 0 for what the sketches do not admit."""
     sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(part.num_rows, -1)
@@ -77,10 +88,7 @@ def _estimates(part: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.
     differing = np.zeros((len(a), len(b)), np.uint16)
     for word in range(sketch.shape[1]):
         differing += np.bitwise_count(sketch[a, word][:, None] ^ sketch[b, word][None, :])
-    # An estimate follows from a number of differing bits alone.
-    known = estimated_similarity(np.arange(s.bits + 1), s.samples, s.bits).astype(np.float32)
-    known[known < s.sketch_floor] = 0
-    estimate = known[differing]
+    estimate = _admitted(s)[differing]
     if first == second:
         estimate[np.tril_indices(len(a))] = 0
     return a, b, estimate
@@ -94,14 +102,16 @@ def _open(part: pa.Table, a: np.ndarray, b: np.ndarray, estimate: np.ndarray, s:
     return np.where(possible & (label[a][:, None] != label[b][None, :]), estimate, 0)
 
 
-def forest_over(a: np.ndarray, b: np.ndarray, strength: np.ndarray, rows: int, label: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+def forest_over(
+    a: np.ndarray, b: np.ndarray, strength: np.ndarray, rows: int, label: np.ndarray | None = None, tiers: tuple[float, ...] = TIERS,
+) -> tuple[list[int], list[int]]:
     """Pairs of positive strength that unite all rows which such pairs connect, stronger tiers first; at most one less than rows.
 
     ``label`` names what is united beforehand.
     """
     group = np.unique(label, return_inverse=True)[1] if label is not None else np.arange(rows)
     x, y = [], []
-    for tier in TIERS:
+    for tier in tiers:
         wanted = strength > tier if tier == 0 else strength >= tier
         for i in np.flatnonzero(wanted.any(axis=1)):
             near = np.flatnonzero(wanted[i])
@@ -117,16 +127,45 @@ def forest_over(a: np.ndarray, b: np.ndarray, strength: np.ndarray, rows: int, l
     return x, y
 
 
+def _few_edges(part: pa.Table, s: Settings, labelled: bool) -> dict[str, list]:
+    """The same forest for a group of few rows, without arrays; with labels only over open pairs, the likeliest first."""
+    nodes, side = part.column("node").to_pylist(), part.column("_side").to_pylist()
+    sketch = [int.from_bytes(v) for v in part.column("sketch").to_pylist()]
+    whole = part.column("_i")[0].as_py() == part.column("_j")[0].as_py()
+    size = part.column("size").to_pylist() if labelled else None
+    names = part.column("label").to_pylist() if labelled else nodes
+    known, found = _admitted(s), []
+    for j in range(len(nodes)):
+        for i in range(j):
+            if (whole or side[i] != side[j]) and names[i] != names[j]:
+                estimate = known[(sketch[i] ^ sketch[j]).bit_count()]
+                if estimate and (not labelled or 100 * min(size[i], size[j]) >= s.percent * max(size[i], size[j])):
+                    found.append((-estimate, i, j))
+    forest, first, out = Forest(len(nodes)), {}, {"a": [], "b": []}
+    for i, name in enumerate(names):
+        forest.join(i, first.setdefault(name, i))
+    for _, i, j in sorted(found):
+        if forest.join(i, j):
+            out["a"].append(nodes[i])
+            out["b"].append(nodes[j])
+    return out
+
+
 def candidate_edges(part: pa.Table, s: Settings) -> dict[str, list]:
     """A forest over the pairs that the sketches admit."""
+    if part.num_rows <= FEW_ROWS:
+        return _few_edges(part, s, labelled=False)
     a, b, estimate = _estimates(part, s)
-    x, y = forest_over(a, b, estimate, part.num_rows)
+    # Which of the admitted pairs unite a cluster does not matter.
+    x, y = forest_over(a, b, estimate, part.num_rows, tiers=(0.0,))
     items = part.column("node").to_pylist()
     return {"a": [items[i] for i in x], "b": [items[i] for i in y]}
 
 
 def open_forest(part: pa.Table, s: Settings) -> dict[str, list]:
     """A forest over the open pairs of two blocks, to be confirmed."""
+    if part.num_rows <= FEW_ROWS:
+        return _few_edges(part, s, labelled=True)
     a, b, estimate = _estimates(part, s)
     x, y = forest_over(a, b, _open(part, a, b, estimate, s), part.num_rows, part.column("label").to_numpy())
     items = part.column("node").to_pylist()
@@ -225,7 +264,7 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings(), text: str = "te
     """
     s = settings
     whole = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = pin(map_batches(
+    signed = pin_batched(map_batches(
         whole, _signatures, "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary", s))
     classes = pin(
         signed.filter("n_shingles > 0").groupBy("digest").agg(
@@ -263,7 +302,8 @@ def _member_sets(whole: DataFrame, members: DataFrame, size: int) -> DataFrame:
     wanted = F.broadcast(members.select(bucket.alias("_bucket")).distinct())
     texts = whole.withColumnRenamed("id", "item").withColumn("_bucket", bucket).join(wanted, "_bucket", "left_semi")
     sets = map_batches(texts.select("item", "text"), _sets, "item bigint, digest binary, shingles binary", size)
-    return pin(sets.join(members.select("node", "item", "digest"), ["item", "digest"]).dropDuplicates(["node"]).select("node", "shingles"))
+    once = sets.dropDuplicates(["item", "digest"])  # repeated rows; the join has the same keys and needs no other exchange
+    return pin_batched(once.join(members.select("node", "item", "digest"), ["item", "digest"]).select("node", "shingles"))
 
 
 def _links(whole: DataFrame, classes: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
@@ -288,7 +328,7 @@ def _links(whole: DataFrame, classes: DataFrame, clusters: DataFrame, s: Setting
     found = components(edges)
     while True:
         tried = pin(map_block_pairs(blocks(found), lambda part: open_forest(part, s), "a bigint, b bigint"))
-        new = pin(confirmed(tried))
+        new = pin_batched(confirmed(tried))
         n_tried, n_new = tried.count(), new.count()
         if n_new:
             edges = edges.unionByName(new)
@@ -304,4 +344,4 @@ def _links(whole: DataFrame, classes: DataFrame, clusters: DataFrame, s: Setting
         F.col("tile").alias("_group"), *[F.lit(0).alias(c) for c in ("_i", "_j", "_side")], "node", "size", "sketch", "label", "shingles")
     more = map_block_pairs(dealt, lambda part: confirmed_edges(part, s), "a bigint, b bigint")
     pairs = confirmed(rest.filter("tile IS NULL").select("a", "b"))
-    return components(edges.unionByName(more).unionByName(pairs))
+    return components(edges.unionByName(pin_batched(more)).unionByName(pin_batched(pairs)))
