@@ -6,6 +6,9 @@ from math import sqrt
 
 import numpy as np
 
+# Rows whose products with all others are held at a time.
+PRODUCT_ROWS = 512
+
 
 class CoverTree:
     """Nested levels of centres with halving radii.
@@ -87,6 +90,11 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray,
     columns = np.flatnonzero(kept.any(axis=0)[b.leaf_of])
     if not len(rows) or not len(columns):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    linked = (a.points[rows] @ b.points[columns].T >= cosine) & kept[np.ix_(a.leaf_of[rows], b.leaf_of[columns])]
-    x, y = np.nonzero(linked)
-    return rows[x], columns[y]
+    x, y = [], []
+    for start in range(0, len(rows), PRODUCT_ROWS):
+        mine = rows[start : start + PRODUCT_ROWS]
+        linked = (a.points[mine] @ b.points[columns].T >= cosine) & kept[np.ix_(a.leaf_of[mine], b.leaf_of[columns])]
+        p, q = np.nonzero(linked)
+        x.append(mine[p])
+        y.append(columns[q])
+    return np.concatenate(x), np.concatenate(y)

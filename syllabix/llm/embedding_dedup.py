@@ -20,7 +20,7 @@ from syllabix.llm.cover_tree import CoverTree, close_pairs
 from syllabix.session import pin, ship_package
 
 # Vectors of a block; a task compares two of them. Labels of more vectors get a tree.
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 4_096
 # Children of a node, vectors drawn for each of them, vectors from which a node is split, and levels below the root.
 FAN, DRAWN, LEAF_ROWS, LEVELS = 64, 4, 512, 4
 # Centres of all trees together: a proven bound for what all tasks get. Larger tables keep larger leaves.
