@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from syllabix.session import ship_package
+from syllabix.session import pin, ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE_ROWS)
 
 
+def pin_batched(df: DataFrame) -> DataFrame:
+    """``pin`` with at most ``SLICE_ROWS`` rows in an Arrow batch, for rows that hold whole texts or sets."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(SLICE_ROWS))
+    try:
+        return pin(df)
+    finally:
+        conf.set(key, before)
+
+
 def map_batches(df: DataFrame, function: Callable[..., dict[str, list]], schema: str, *args) -> DataFrame:
     """``function(columns, *args)`` on slices of every Arrow batch; it takes and returns a dict of equally long lists.
 

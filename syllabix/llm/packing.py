@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syllabix.llm.bpe import identifiers
-from syllabix.llm.common import active, map_batches
-from syllabix.session import pin
+from syllabix.llm.common import active, map_batches, pin_batched
 
 # Pieces that one task packs together. Every group can leave a few sequences part empty.
 GROUP_PIECES = 16_384
@@ -137,5 +136,5 @@ def pack_documents(
     packed like any other, other columns are not read, an empty table gives no rows.
     """
     pieces = token_pieces(docs, vocabulary, capacity.tokens, end_id, text, doc_id, keep_ids)
-    packed = pack(pin(pieces if keep_ids else pieces.drop("ids")), capacity)
+    packed = pack(pin_batched(pieces if keep_ids else pieces.drop("ids")), capacity)
     return packed.withColumnRenamed("id", doc_id)

@@ -32,7 +32,9 @@ def labels_of(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("few", [0, 50, 200_000])
+def test_components_of_paths_stars_and_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr("syllabix.llm.components.FEW_EDGES", few)
     random.seed(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(900, 901), (901, 902), (902, 900), (7, 7)]
     edges += [(random.randrange(1000, 1200), random.randrange(1000, 1200)) for _ in range(120)]
@@ -121,6 +123,28 @@ def test_forests_unite_all_that_strong_pairs_connect():
     assert labels_of(range(80), [*joined, *zip(x, y, strict=True)]) == labels_of(range(80), [*joined, *np.argwhere(strength > 0).tolist()])
 
 
+def test_few_rows_have_the_same_forest(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 256, 64, dtype=np.uint8)
+    for n in (2, 5, 12):
+        sketches = []
+        for _ in range(n):
+            mine = np.unpackbits(base)
+            mine[rng.choice(512, rng.integers(0, 60), replace=False)] ^= 1
+            sketches.append(np.packbits(mine).tobytes())
+        side = rng.integers(0, 2, n)
+        for j in (0, 1):
+            part = pa.table({"_group": [1] * n, "_i": [0] * n, "_j": [j] * n, "_side": side if j else np.zeros(n, int), "node": np.arange(n), "sketch": sketches,
+                             "size": rng.integers(90, 110, n), "label": np.arange(n) // 2})
+            for function, joined in ((near_dedup.candidate_edges, []), (near_dedup.open_forest, [(i, i // 2 * 2) for i in range(n)])):
+                monkeypatch.setattr(near_dedup, "FEW_ROWS", 12)
+                few = function(part, near_dedup.Settings())
+                monkeypatch.setattr(near_dedup, "FEW_ROWS", 0)
+                many = function(part, near_dedup.Settings())
+                assert len(few["a"]) == len(many["a"])
+                assert labels_of(range(n), [*joined, *zip(few["a"], few["b"])]) == labels_of(range(n), [*joined, *zip(many["a"], many["b"])])
+
+
 def test_a_bucket_of_many_alike_rows_moves_few_rows(spark):
     rows = spark.range(20_000).select(F.col("id").alias("node"), F.lit(1).alias("bucket"), F.lit(20_000).alias("n"))
     moved = near_dedup.block_pairs(rows, "bucket", F.ceil(F.col("n") / near_dedup.BLOCK_ROWS), "node")
@@ -374,3 +398,17 @@ def test_pipeline_stages_keep_columns_and_decide(spark, small):
     empty = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_very_long_pages_and_kept_elements(spark):
+    long = "word " * 60_000
+    page = f"<html><body><nav>menu</nav><article><h1>T</h1><p>{long}</p>" + "<p>x</p>" * 3_000 + "</article></body></html>"
+    got = texts_of(spark, [page, "<article>Let <math><mi>x</mi><mo>+</mo></math> be big, <object>fallback</object> too. Fill <label>the</label> form"
+                                 "<form><label>Name</label><input></form></article>"])
+    assert got[0] == " ".join(["T", long.strip(), *["x"] * 3_000])
+    assert got[1] == "Let x+ be big, fallback too. Fill the form"
+
+
+def test_unwanted_inline_text_leaves_no_space(spark):
+    pages = [f"<article><p>a{i}<span class='ad'>\nbuy</span>b <b>\nc</b></p></article>" for i in range(3)]
+    assert texts_of(spark, pages) == [f"a{i}b c" for i in range(3)]

@@ -225,3 +225,45 @@ def test_best_fit_is_near_the_least_number_of_bins(rule):
 def test_equal_sizes_and_ties_fill_bins():
     bins, offsets = packing.best_fit(np.full(12, 25), packing.Capacity(tokens=100))
     assert sorted(np.bincount(bins)) == [4, 4, 4] and sorted(offsets.tolist()) == [0] * 3 + [25] * 3 + [50] * 3 + [75] * 3
+
+
+LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 20_000
+
+
+def test_very_long_texts_pass_whole(spark):
+    rows = [(1, LONG), (2, LONG), (3, LONG + "end"), (4, "short\n" + LONG), (5, None)]
+    kept = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(documents(spark, rows)).collect()}
+    assert kept == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+    lines = {r.doc_id: r.text for r in line_dedup.line_dedup(documents(spark, rows), 10).collect()}
+    assert lines == {1: LONG, 2: "", 3: LONG + "end", 4: "short", 5: ""}
+    packed = packing.pack_documents(documents(spark, rows[:2]), VOCABULARY).collect()
+    library = Tokenizer.from_file(VOCABULARY)
+    assert sum(r.length for r in packed) == 2 * (len(library.encode(LONG, add_special_tokens=False).ids) + 1)
+    assert all(r.length == 4096 for r in packed if r.piece < max(p.piece for p in packed))
+
+
+def test_classifiers_take_repeated_rows_and_empty_labels(spark):
+    rows = [(i, f"text number {i % 3}") for i in range(30)] + [(3, "text number 0")] * 4 + [(None, None)] * 3
+    df = documents(spark, rows)
+    for module, column in ((quality, "quality"), (toxicity, "toxic")):
+        none = spark.createDataFrame([], f"doc_id bigint, {column} int")
+        some = spark.createDataFrame([(i, i % 2) for i in range(30)] * 2 + [(3, None), (None, 1)], f"doc_id bigint, {column} int")
+        for labels in (none, some):
+            if module is quality:
+                got = quality.quality_classifier(df, labels, fold("doc_id", 3) != 1, quality.Settings(epochs=1))
+            else:
+                got = toxicity.toxicity(df, df, labels, fold("doc_id", 4) != 2)
+            found = [(r.doc_id, r.score) for r in got.collect()]
+            assert len(found) == len(rows) and all(0 <= s <= 1 for _, s in found)
+            assert len({s for i, s in found if i in (0, 3)}) == 1 and len({s for i, s in found if i is None}) == 1
+
+
+def test_held_out_is_known_without_identifier(spark):
+    from syllabix.llm.queries import held_out_fold
+    df = spark.createDataFrame([(1,), (None,)], "doc_id bigint").select("doc_id", held_out_fold(3, 1).alias("h"))
+    assert {r.doc_id: r.h for r in df.collect()}[None] is False
+
+
+def test_long_words_are_not_remembered():
+    words = toxicity.WordWeights(toxicity.Model({"a" * 1000: 2.0}, -1.0))
+    assert words["a" * 1000] == 2.0 and words["short"] == 0.0 and list(words) == ["short"]
