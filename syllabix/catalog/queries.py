@@ -513,8 +513,11 @@ def e6_merge_sources_bucketed(t: Tables) -> DataFrame:
 
 
 def _labels(t: Tables) -> DataFrame:
-    answers = studies.demographics(OBSERVATIONAL, t.survey_responses, t.survey_codebook)
-    return describe.widen_labels(t.merged(), answers, list(studies.DEMOGRAPHIC_LABELS))
+    answers = studies.survey_answers(OBSERVATIONAL, t.survey_responses, t.survey_codebook)
+    students = studies.combined_students(
+        OBSERVATIONAL, answers, t.construct_lookup, t.views(), t.quiz_responses, t.quiz_pages(OBSERVATIONAL))
+    labels = survey.label_codes(answers, studies.DEMOGRAPHIC_LABELS)
+    return describe.widen_labels(students, labels, list(studies.DEMOGRAPHIC_LABELS))
 
 
 @registered

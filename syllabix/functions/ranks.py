@@ -15,6 +15,28 @@ from syllabix.session import pin
 MAX_GROUP_ROWS = 5_000_000
 # A table the planner puts below this fits one task whole: no group needs counting.
 SMALL_TABLE_BYTES = 32 * 1024 * 1024
+# Groups are first counted together in so many buckets.
+GROUP_BUCKETS = 4096
+
+
+def group_sizes(
+    df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS, rows_of: Column | None = None,
+) -> tuple[int, int]:
+    """Rows of the largest group (or, up to ``max_group_rows``, a bound of them) and of the table.
+
+    A row counts as ``rows_of`` (default 1). A small table counts as 0. Groups are hashed into
+    buckets, which combine map-side whatever the number of groups; no group is larger than
+    its bucket. Only if a bucket is above the limit are the groups counted one by one.
+    """
+    if max_group_rows >= MAX_GROUP_ROWS and planned_bytes(df) <= SMALL_TABLE_BYTES:
+        return 0, 0
+    amount = F.lit(1) if rows_of is None else rows_of
+    counted = df.select(*keys, amount.cast("bigint").alias("_n"))
+    for grouped in (counted.groupBy(F.pmod(F.xxhash64(*keys), F.lit(GROUP_BUCKETS))), counted.groupBy(*keys)):
+        largest, rows = grouped.agg(F.sum("_n").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+        if (largest or 0) <= max_group_rows:
+            break
+    return largest or 0, rows or 0
 
 
 def running_total(
@@ -24,22 +46,19 @@ def running_total(
     out: str,
     weight: str | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Running sum of ``weight`` (or row number, if none) inside each group.
 
     ``order_by`` must order the rows of a group without ties. Unless the table is
-    small, its largest group is counted first (a partial aggregate over the key
-    columns only). If that fits one task this is a plain window. Otherwise rows are range-partitioned on keys and
+    small, its largest group is counted first (``group_sizes``; a caller that has counted
+    passes ``sizes``). If that fits one task this is a plain window. Otherwise rows are range-partitioned on keys and
     order, so that a hot group spans many partitions; each partition is summed on
     its own and shifted by the total of the partitions before it.
     """
-    if max_group_rows >= MAX_GROUP_ROWS and planned_bytes(df) <= SMALL_TABLE_BYTES:
-        largest = rows = 0
-    else:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        largest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    largest, rows = group_sizes(df, keys, max_group_rows) if sizes is None else sizes
     step = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    if (largest or 0) <= max_group_rows:
+    if largest <= max_group_rows:
         window = Window.partitionBy(*keys).orderBy(*order_by)
         if weight is None:
             return df.withColumn(out, F.row_number().over(window).cast("bigint"))

@@ -112,6 +112,16 @@ def merge_sources(
     return null_safe_join(survey, chapters, STUDENT)
 
 
+def in_both(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The ``keys`` that rows of both tables have, each once; a missing key matches a missing key.
+
+    Membership is gathered per key in one aggregation, so repeated rows combine map-side.
+    """
+    tagged = a.select(*keys, F.lit(True).alias("_a")).unionByName(b.select(*keys, F.lit(False).alias("_a")))
+    members = tagged.groupBy(*keys).agg(F.bool_or("_a").alias("_in_a"), (~F.bool_and("_a")).alias("_in_b"))
+    return members.filter(F.col("_in_a") & F.col("_in_b")).select(*keys)
+
+
 def merge_bucketed(
     survey: DataFrame,
     engagement: DataFrame,

@@ -44,12 +44,17 @@ def _submissions():
     ]
 
 
+def number_chapters(responses: DataFrame, pages: DataFrame) -> DataFrame:
+    """Responses with their page's chapter number, missing for an unknown page."""
+    return lookup_join(responses, pages.select(*PAGE_KEYS, "chapter_num"), list(PAGE_KEYS))
+
+
 def score_quiz_codebook(responses: DataFrame, pages: DataFrame, totals: DataFrame, total_col: str = "mcq") -> DataFrame:
     """Score per student and chapter against the codebook's number of questions.
 
     A chapter without a codebook total, or with a total of 0, gets a missing score.
     """
-    numbered = lookup_join(responses, pages.select(*PAGE_KEYS, "chapter_num"), list(PAGE_KEYS))
+    numbered = number_chapters(responses, pages)
     scored = numbered.groupBy(*STUDENT_CHAPTER).agg(
         *_submissions(), F.coalesce(F.sum("points_possible"), F.lit(0.0)).alias("n_attempted")
     )
@@ -61,7 +66,7 @@ def score_quiz_codebook(responses: DataFrame, pages: DataFrame, totals: DataFram
 
 def score_quiz_observed(responses: DataFrame, pages: DataFrame) -> DataFrame:
     """Score per student and chapter against the distinct questions seen in the class."""
-    numbered = lookup_join(responses, pages.select(*PAGE_KEYS, "chapter_num"), list(PAGE_KEYS))
+    numbered = number_chapters(responses, pages)
     seen_keys = ["class_id", "chapter", "chapter_num"]
     seen = numbered.groupBy(*seen_keys).agg(count_tuples("lrn_question_reference").cast("double").alias("n_total"))
     scored = numbered.groupBy(*STUDENT_CHAPTER).agg(*_submissions())

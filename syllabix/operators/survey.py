@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from syllabix.functions.joins import lookup_join
-from syllabix.functions.ranks import MAX_GROUP_ROWS, running_total
+from syllabix.functions.ranks import MAX_GROUP_ROWS, group_sizes, running_total
 from syllabix.functions.text import strip
 
 
@@ -31,19 +32,23 @@ def explode_multiselect(
     sep: str = ",",
     out: str = "response_choice",
     max_group_rows: int = MAX_GROUP_ROWS,
+    deal_by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per selected choice, numbered 1..n inside ``keys`` as ``order``.
 
     ``order_by`` is the file order of the responses. Numbering continues across
     repeated submissions of a question. Missing and empty responses keep one row.
+    Groups are counted on the responses as they come, by their separators; ``deal_by`` (some
+    of ``keys``) then deals them out before they multiply.
     """
-    cleaned = strip(F.regexp_replace(col, r'[\[\]"]', ""))
-    choices = df.select(
-        *df.columns,
-        F.posexplode_outer(F.split(cleaned, f"\\Q{sep}\\E")).alias("_pos", out),
-    ).withColumn(out, strip(out))
+    # Plain character functions and a pattern without quoting: both run per row, and neither compiles a pattern there.
+    parts = F.split(strip(F.translate(col, '[]"', "")), re.escape(sep))
+    separators = F.length(col) - F.length(F.replace(F.col(col), F.lit(sep[0]), F.lit("")))
+    sizes = group_sizes(df, keys, max_group_rows, F.coalesce(separators, F.lit(0)) + 1)
+    dealt = df.repartition(*deal_by) if deal_by else df
+    choices = dealt.select(*df.columns, F.posexplode_outer(parts).alias("_pos", out)).withColumn(out, strip(out))
     order = [F.col(c).asc_nulls_last() for c in (*order_by, "_pos")]
-    return running_total(choices, keys, order, "order", max_group_rows=max_group_rows).drop("_pos")
+    return running_total(choices, keys, order, "order", max_group_rows=max_group_rows, sizes=sizes).drop("_pos")
 
 
 def normalize_response(

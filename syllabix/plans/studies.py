@@ -18,7 +18,8 @@ from syllabix.functions.text import strip
 from syllabix.operators import clusters, describe, engagement, merge, models, quiz, resample, survey
 from syllabix.session import pin
 
-SURVEY_ITEM = ("class_id", "release", "student_id", "lrn_question_reference")
+# Sorts compare the first key fastest: students differ more than classes.
+SURVEY_ITEM = ("student_id", "class_id", "release", "lrn_question_reference")
 
 # Answer codes of the demographic items and their labels.
 DEMOGRAPHIC_LABELS: Mapping[str, Mapping[str, str]] = {
@@ -91,8 +92,7 @@ def survey_choices(study: Study, responses: DataFrame) -> DataFrame:
     if study.drop_free_text:
         kept = survey.drop_item_types(kept)
     # One exchange serves the numbering of choices here and the collapsing of questions later.
-    kept = kept.repartition("class_id", "student_id", "lrn_question_reference")
-    choices = survey.explode_multiselect(kept, SURVEY_ITEM, ["ord"])
+    choices = survey.explode_multiselect(kept, SURVEY_ITEM, ["ord"], deal_by=("class_id", "student_id", "lrn_question_reference"))
     if study.drop_missing_answers:
         return survey.normalize_response(choices, null_tokens=study.null_tokens)
     return choices
@@ -119,6 +119,15 @@ def survey_items(
     )
 
 
+def survey_answers(study: Study, responses: DataFrame, codebook: DataFrame) -> DataFrame:
+    """Students' numeric answers, multi-select questions collapsed, pinned: constructs and labels both derive from it.
+
+    Collapsing touches no demographic item, so their labels are those of ``demographics``.
+    """
+    collapsed = survey.collapse_multiselect(survey_with_codebook(study, responses, codebook))
+    return pin(collapsed.select(*merge.STUDENT, "variable_name", "response_choice"))
+
+
 def construct_scores(items: DataFrame) -> DataFrame:
     """Construct mean and row count per student; kept missing answers count as rows."""
     return merge.construct_means(items)
@@ -155,7 +164,7 @@ def page_views(study: Study, views: DataFrame, classes: DataFrame, pages: DataFr
 
 def first_completions(study: Study, views: DataFrame) -> DataFrame:
     return engagement.first_completion(
-        views, ("class_id", "student_id", study.chapter, "page"), completed=completed(study, views)
+        views, ("student_id", "class_id", study.chapter, "page"), completed=completed(study, views)
     )
 
 
@@ -193,6 +202,8 @@ def quiz_scores(study: Study, responses: DataFrame, pages: DataFrame) -> DataFra
     """Quiz score per student and chapter; the denominator depends on the study."""
     review = quiz.select_review(responses)
     if study.page_codebook:
+        # Page numbers and totals both read it.
+        pages = pin(pages)
         return quiz.score_quiz_codebook(review, pages, quiz.codebook_totals(pages))
     return quiz.score_quiz_observed(review, pages)
 
@@ -203,6 +214,21 @@ def combined(study: Study, items: DataFrame, engaged: DataFrame, quizzes: DataFr
     return merge.merge_sources(wide, engaged, quizzes, study.chapter_keys)
 
 
+def combined_students(
+    study: Study, answers: DataFrame, lookup: DataFrame, views: DataFrame, responses: DataFrame, pages: DataFrame
+) -> DataFrame:
+    """The students of ``combined``, each once, from the sources' keys alone: no score or share is computed.
+
+    ``answers`` are ``survey_answers``, ``views`` enriched ones. Quiz responses are far more than
+    students, so those of students without survey or engagement leave before they are numbered.
+    """
+    chapter = [*merge.STUDENT, *study.chapter_keys]
+    engaged = pin(first_completions(study, views).select(*chapter).distinct())
+    surveyed = survey.attach_construct(answers, lookup, study.construct_overrides)
+    asked = lookup_join(quiz.select_review(responses), merge.in_both(engaged, surveyed, merge.STUDENT), merge.STUDENT, "left_semi")
+    return merge.in_both(engaged, quiz.number_chapters(asked, pages), chapter).select(*merge.STUDENT).distinct()
+
+
 def observational_models(averages: DataFrame, outcome: str, specs: Mapping[str, Sequence[str]]) -> DataFrame:
     """End of the first study's chain: random-intercept models of the students' averages, grouped by class."""
     return models.model_sweep(averages, outcome, "class_id", specs)

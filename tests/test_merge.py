@@ -120,3 +120,75 @@ def test_bucketed_merge_moves_nothing_and_keeps_the_rows(spark, tmp_path):
     assert rows == sorted(map(str, want.collect())) and len(rows) == 12
     for i in range(3):
         spark.sql(f"DROP TABLE layout_{i}")
+
+
+def test_in_both_matches_missing_keys_and_repeats_none(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, None), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([("x", None), ("x", 1), (None, None), (None, None), ("z", 2)], "v string, k int")
+    got = [tuple(r) for r in merge.in_both(a, b, ["k", "v"]).collect()]
+    assert len(got) == 3 and set(got) == {(1, "x"), (None, "x"), (None, None)}
+    assert merge.in_both(a, b.limit(0), ["k", "v"]).count() == 0
+
+
+def test_merged_students_need_no_measures(spark, monkeypatch):
+    import random
+
+    from syllabix.catalog.queries import CONSTRUCTS
+    from syllabix.plans import studies
+    from syllabix.plans.studies import OBSERVATIONAL
+
+    rng = random.Random(7)
+    who = "release string, book string, institution_id int, class_id int, student_id int"
+    students = [("r1", "b1", rng.choice([1, 2]), c, s) for s in [*range(40), None] for c in (1, None)]
+
+    def some(n):
+        return [rng.choice(students) for _ in range(n)]
+
+    answers = spark.createDataFrame(
+        [(*s, i, "Pre_Survey_1", "mcq", f"Q{rng.randrange(4)}", "p", rng.choice(["null", "[]", '["1"]', '["1", "0"]', "?"])) for i, s in enumerate(some(150))],
+        who + ", ord int, lrn_activity_reference string, lrn_type string, lrn_question_reference string, prompt string, response string")
+    book = spark.createDataFrame(
+        [("r1", "Pre_Survey_1", q, n, v, "p", "mcq", "a") for q, n, v in
+         [("Q0", 1, "anx"), ("Q1", 1, " gender"), ("Q2", 1, "ma_prep_a"), ("Q2", 2, "ma_prep_b"), ("Q3", 2, "other")]],
+        "release string, lrn_activity_reference string, lrn_question_reference string, `order` int, variable_name string, prompt string, lrn_type string, lrn_option_0 string")
+    lookup = spark.createDataFrame([("anx", "anxiety_math", 6, False, "p")], "id string, construct string, scale_values int, scale_flipped boolean, question string")
+    views = spark.createDataFrame(
+        [(s[2], s[3], s[4], i, f"Chapter {c}", f"{c}.{rng.randrange(3)} Topic ", rng.choice(["2024-01-01 00:00:05", "bad", None]), rng.choice(["true", "false"]))
+         for i, s in enumerate(some(200)) for c in [rng.randrange(1, 4)]],
+        "institution_id int, class_id int, student_id int, ord int, chapter string, page string, dt_accessed string, was_complete string")
+    classes = spark.createDataFrame([(i, c, "r1", "b1", 9) for i in (1, 2) for c in (1, None)], "institution_id int, class_id int, release string, book string, n_students int")
+    pages = spark.createDataFrame([("r1", "b1", f"Chapter {c}", c, f"{c}.{p} Topic", p) for c in (1, 2) for p in range(3)],
+                                  "release string, book string, chapter string, chapter_num int, page string, page_num int")
+    quizzes = spark.createDataFrame(
+        [(*s, f"Chapter {c}", f"{c}.11 Review Questions ", "mcq", "L1", 1.0, 1.0) for s in some(200) for c in [rng.randrange(1, 4)]],
+        who + ", chapter string, page string, lrn_type string, lrn_question_reference string, points_earned double, points_possible double")
+    quiz_pages = spark.createDataFrame([("r1", "b1", f"Chapter {c}", c, f"{c}.11 Review Questions", 11, 20, 2) for c in (1, 2)],
+                                       "release string, book string, chapter string, chapter_num int, page string, page_num int, mcq int, plaintext int")
+    enriched = studies.page_views(OBSERVATIONAL, views, classes, pages)
+    whole = studies.combined(
+        OBSERVATIONAL, studies.survey_items(OBSERVATIONAL, answers, book, lookup), studies.student_engagement(OBSERVATIONAL, enriched),
+        studies.quiz_scores(OBSERVATIONAL, quizzes, quiz_pages), CONSTRUCTS)
+    want = sorted(map(str, whole.select(*merge.STUDENT).distinct().collect()))
+    labels = sorted(map(str, studies.demographics(OBSERVATIONAL, answers, book).select(*merge.STUDENT, "variable_name", "response_choice", "response_label").collect()))
+
+    def unwanted(*_, **__):
+        raise AssertionError("a measure was computed")
+
+    for name in ("engagement.running_progress", "quiz.codebook_totals", "merge.construct_means"):
+        monkeypatch.setattr(f"syllabix.operators.{name}", unwanted)
+    pinned = studies.survey_answers(OBSERVATIONAL, answers, book)
+    got = studies.combined_students(OBSERVATIONAL, pinned, lookup, enriched, quizzes, quiz_pages)
+    assert want == sorted(map(str, got.collect())) and 5 < len(want) < len(students)
+    labelled = studies.survey.label_codes(pinned, studies.DEMOGRAPHIC_LABELS).select(*merge.STUDENT, "variable_name", "response_choice", "response_label")
+    assert labels == sorted(map(str, labelled.collect())) and labels
+
+
+def test_labels_read_the_survey_once_and_compute_no_measures(spark, small, monkeypatch):
+    from syllabix.catalog.queries import REGISTRY
+    from syllabix.operators import engagement, quiz, survey
+
+    calls = []
+    for module, name in ((survey, "explode_multiselect"), (engagement, "running_progress"), (quiz, "codebook_totals"), (merge, "construct_means")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: calls.append(_n) or _f(*a, **k))
+    assert REGISTRY["f1_widen_labels"](spark, small).columns == ["class_id", "student_id", "gender", "race1", "year"]
+    assert calls == ["explode_multiselect"]

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from syllabix.functions import ranks
 from syllabix.functions.ranks import group_quantiles, running_total
 
 
@@ -38,3 +39,16 @@ def test_quantiles_are_exact(spark):
         for g in (0, 1):
             want = np.quantile(values[g::2], [0.25, 0.9, 1.0])
             assert np.allclose([got[g].a, got[g].b, got[g].c], want)
+
+
+def test_groups_are_counted_in_buckets_first(spark):
+    df = spark.createDataFrame([(i % 40, None if i % 7 else "x", 1 + i % 3) for i in range(400)], "a int, b string, n int")
+    sizes = df.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    # Above the limit the groups are counted exactly; below it the count is a bound of them.
+    assert ranks.group_sizes(df, ["a", "b"], 3, F.col("n")) == (largest, rows)
+    bound, total = ranks.group_sizes(df, ["a", "b"], 1000, F.col("n"))
+    assert largest <= bound <= 1000 and total == rows
+    assert ranks.group_sizes(df, ["a"], 1000)[1] == 400
+    assert ranks.group_sizes(spark.range(9), ["id"]) == (0, 0)
+    assert ranks.group_sizes(df.filter("a < 0"), ["a"], 5) == (0, 0)

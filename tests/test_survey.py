@@ -118,3 +118,19 @@ def test_construct_override_and_coverage(spark):
 def test_rescale_reverses_flipped_items(spark):
     df = spark.createDataFrame([(0.0, 6, False), (5.0, 6, False), (1.0, 6, True), (1.0, 1, False)], "response_choice double, scale_values int, scale_flipped boolean")
     assert [r.response_rescaled for r in survey.rescale_likert(df).collect()] == [0.0, 1.0, 0.8, None]
+
+
+def test_choices_are_counted_before_they_are_dealt_out(spark, monkeypatch):
+    rows = [(s, o, r) for s in (1, None) for o, r in enumerate(['["a|b", "c"]', "[]", None, "x | y", '"|"', "null"])]
+    df = spark.createDataFrame(rows, "s int, ord int, response string")
+    for sep, most in ((",", 8), ("|", 8), (", ", 8)):
+        counted, group_sizes = [], survey.group_sizes
+        monkeypatch.setattr(survey, "group_sizes", lambda *a: counted.append(group_sizes(*a)) or counted[-1])
+        plain = survey.explode_multiselect(df, ["s"], ["ord"], sep=sep)
+        got = survey.explode_multiselect(df, ["s"], ["ord"], sep=sep, max_group_rows=most, deal_by=["s"])
+        cut = survey.explode_multiselect(df, ["s"], ["ord"], sep=sep, max_group_rows=2)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, got.collect())) == sorted(map(str, cut.collect()))
+        assert all(rows >= plain.count() for _, rows in counted) and counted[2][0] > 2
+        monkeypatch.undo()
+    choices = survey.explode_multiselect(df, ["s"], ["ord"], sep="|").filter("s = 1 and ord in (0, 3, 4)").orderBy("order")
+    assert [r.response_choice for r in choices.collect()] == ["a", "b, c", "x", "y", "", ""]
